@@ -1 +1,4 @@
 """The library's operators bound to the given tables, each with SQL to check it."""
+
+from bindings.registry import CHECKS, QUERIES, bound
+from bindings import ledger_queries  # noqa: F401
