@@ -46,8 +46,9 @@ def compare(df: DataFrame, con: duckdb.DuckDBPyConnection, sql: str) -> dict:
     names = [d[0] for d in cursor.description]
     wanted = _rows(names, cursor.fetchall())
     got = _rows(df.columns, [tuple(r) for r in df.collect()])
-    missing = [r for r in wanted if r not in set(got)]
-    extra = [r for r in got if r not in set(wanted)]
+    in_got, in_wanted = set(got), set(wanted)
+    missing = [r for r in wanted if r not in in_got]
+    extra = [r for r in got if r not in in_wanted]
     return {
         "columns": sorted(df.columns) == sorted(names),
         "names": (sorted(df.columns), sorted(names)),

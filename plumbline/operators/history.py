@@ -80,13 +80,12 @@ def reachable(parents: DataFrame, tips: DataFrame) -> DataFrame:
     reached = cut_lineage(start.groupBy(*key).agg(F.max("pos").alias("top")))
     fresh = reached.withColumn("below", F.lit(-1).cast("bigint"))
     while not fresh.isEmpty():
-        steps = fresh.join(
-            crossing,
-            (fresh["repo"] == crossing["repo"])
-            & (fresh["chain"] == crossing["from_chain"])
-            & (crossing["from_pos"] <= fresh["top"])
-            & (crossing["from_pos"] > fresh["below"]),
-        ).select(fresh["repo"], fresh["branch"], crossing["to_chain"].alias("chain"), crossing["to_pos"].alias("pos"))
+        steps = (
+            fresh.withColumnRenamed("chain", "from_chain")
+            .join(crossing, ["repo", "from_chain"])
+            .where((F.col("from_pos") <= F.col("top")) & (F.col("from_pos") > F.col("below")))
+            .select("repo", "branch", F.col("to_chain").alias("chain"), F.col("to_pos").alias("pos"))
+        )
         best = steps.groupBy(*key).agg(F.max("pos").alias("found"))
         known = reached.withColumnRenamed("top", "known")
         fresh = cut_lineage(
