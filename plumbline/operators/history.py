@@ -77,24 +77,24 @@ def reachable(parents: DataFrame, tips: DataFrame) -> DataFrame:
     )
     key = ["repo", "branch", "chain"]
     start = tips.where(F.col("sha").isNotNull()).join(placed, ["repo", "sha"])
-    reached = cut_lineage(start.groupBy(*key).agg(F.max("pos").alias("top")))
-    fresh = reached.withColumn("below", F.lit(-1).cast("bigint"))
-    while not fresh.isEmpty():
+    none = F.lit(None).cast("bigint")
+    state = cut_lineage(start.groupBy(*key).agg(F.max("pos").alias("top")).withColumn("before", none))
+    grown = F.col("before").isNull() | (F.col("top") > F.col("before"))
+    while True:
+        fresh = state.where(grown)
+        if fresh.isEmpty():
+            break
         steps = (
             fresh.withColumnRenamed("chain", "from_chain")
             .join(crossing, ["repo", "from_chain"])
-            .where((F.col("from_pos") <= F.col("top")) & (F.col("from_pos") > F.col("below")))
-            .select("repo", "branch", F.col("to_chain").alias("chain"), F.col("to_pos").alias("pos"))
+            .where((F.col("from_pos") <= F.col("top")) & (F.col("from_pos") > F.coalesce("before", F.lit(-1))))
+            .select("repo", "branch", F.col("to_chain").alias("chain"), F.col("to_pos").alias("top"), none.alias("before"))
         )
-        best = steps.groupBy(*key).agg(F.max("pos").alias("found"))
-        known = reached.withColumnRenamed("top", "known")
-        fresh = cut_lineage(
-            best.join(known, key, "left")
-            .where(F.col("known").isNull() | (F.col("found") > F.col("known")))
-            .select(*key, F.col("found").alias("top"), F.coalesce("known", F.lit(-1).cast("bigint")).alias("below"))
+        known = state.select(*key, "top", F.col("top").alias("before"))
+        state = cut_lineage(
+            known.unionByName(steps).groupBy(*key).agg(F.max("top").alias("top"), F.max("before").alias("before"))
         )
-        merged = reached.unionByName(fresh.select(*key, "top"))
-        reached = cut_lineage(merged.groupBy(*key).agg(F.max("top").alias("top")))
+    reached = state.select(*key, "top")
     return (
         placed.join(reached, ["repo", "chain"])
         .where(F.col("pos") <= F.col("top"))
