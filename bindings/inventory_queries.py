@@ -538,10 +538,15 @@ def _(v):
         "o_orderkey", F.concat(F.lit("x"), labels.safe_label(F.col("o_orderpriority"))).alias("label"),
         labels.na_string(labels.blank_to_null(F.replace("o_orderstatus", F.lit("P"), F.lit("")))).alias("shown"),
         labels.int_or_zero(number).alias("parsed"), labels.days_since(F.col("o_orderdate"), F.lit(datetime(2002, 1, 1)).cast("date")).alias("days"),
-        text.parse_ts(iso).alias("instant"),
+        text.parse_ts(iso).cast("timestamp_ntz").alias("instant"),
     )
 
 
+def as_given(runs):
+    """Run records with the zone-free times of the given tables."""
+    return runs.withColumn("execution_ts", F.col("execution_ts").cast("timestamp_ntz"))
+
+
 # --- ledger writes, sinks, streams -----------------------------------------------------
 @query("ledger_append_twice", "SELECT * FROM {runs}")
 def _(v):
@@ -550,7 +555,7 @@ def _(v):
     for _ in range(2):
         fresh = ledger.new_runs(v.runs, ledger.read_ledger(v.spark, base, "executions"), as_of)
         ledger.append_ledger(fresh, base, "executions")
-    return ledger.read_ledger(v.spark, base, "executions").drop("execution_day")
+    return as_given(ledger.read_ledger(v.spark, base, "executions").drop("execution_day"))
 
 
 @query("sink_roundtrip", """
@@ -587,7 +592,7 @@ def stream_of_runs(v):
         .when(F.col("event_type") == "purchase", F.lit("env_drift")).otherwise(F.lit("orphan_datasets"))
     )
     status = F.when(F.col("value") < 5, F.lit("failed")).when(F.col("value") < 10, F.lit("skipped")).otherwise(F.lit("success"))
-    return stream.select(F.col("event_id").cast("string").alias("execution_id"), kind.alias("report_type"), F.col("ts").alias("execution_ts"), status.alias("status"))
+    return stream.select(F.col("event_id").cast("string").alias("execution_id"), kind.alias("report_type"), F.col("ts").cast("timestamp").alias("execution_ts"), status.alias("status"))
 
 
 @query("ingest_stream", "SELECT execution_id, report_type, execution_ts, status FROM {runs}")
@@ -595,7 +600,7 @@ def _(v):
     base = scratch_path(v.spark, "stream")
     runs = stream_of_runs(v)
     ledger_stream.ingest_runs(runs.union(runs), f"{base}/out", f"{base}/state").awaitTermination()
-    return ledger_stream.read_ingested(v.spark, f"{base}/out")
+    return as_given(ledger_stream.read_ingested(v.spark, f"{base}/out"))
 
 
 @query("daily_summary_stream", "SELECT * FROM {daily}")

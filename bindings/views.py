@@ -336,6 +336,7 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.folder = spark, sf_dir.rstrip("/")
         self._frames: dict[str, DataFrame] = {}
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # ledger times are UTC
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):

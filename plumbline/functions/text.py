@@ -110,11 +110,13 @@ def create_columns(c: Column) -> Column:
     """
     nested = r"(?:[^()]++|\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\))*+"
     head = rf"create\s+(?:or\s+replace\s+)?table\s+(?:if\s+not\s+exists\s+)?{QUALIFIED}\s*"
+    # Comment lines, and line ends that are a comment for certain (no quote in them).
+    comments = r"""(?m)^\s*--[^\n]*|--[^\n"']*$"""
     body = F.regexp_extract(
-        F.regexp_replace(c, r"(?m)^\s*--[^\n]*", ""), rf"(?i){head}\(({nested})\)\s*(?:options|partition|cluster|;)", 3
+        F.regexp_replace(c, comments, ""), rf"(?i){head}\(({nested})\)\s*(?:options|partition|cluster|;)", 3
     )
     rest = r"(?:[^,()<>]++|\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\))*+"
-    column = rf"(?:^|,)\s*`?({NAME})`?\s+({TYPE}){rest}(?=,|$)"
+    column = rf"(?:^|,)\s*(?:--[^\n]*\n\s*)*`?(\w[\w\-]*)`?\s+({TYPE}){rest}(?=,|$)"
     return _pairs(
         F.regexp_extract_all(body, F.lit(column), F.lit(1)), F.regexp_extract_all(body, F.lit(column), F.lit(2))
     )

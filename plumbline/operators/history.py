@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.constants import BRANCHES
-from plumbline.session import cut_lineage
+from plumbline.session import cut_and_count, cut_lineage
 
 MAX_ROUNDS = 64
 
@@ -36,24 +36,27 @@ def chains(parents: DataFrame, tips: DataFrame) -> DataFrame:
         .distinct()
     )
     linked = F.col("parent_sha").isNotNull()
-    state = cut_lineage(
+    state, active = cut_and_count(
         nodes.join(links, ["repo", "sha"], "left").select(
             "repo",
             "sha",
             F.coalesce("parent_sha", "sha").alias("chain"),
             F.when(linked, F.lit(1)).otherwise(F.lit(0)).cast("bigint").alias("pos"),
-        )
+        ),
+        F.col("pos") == 1,
     )
     for round_ in range(MAX_ROUNDS):
+        if active == 0:
+            return state
         reach = 1 << round_
         jumping = state.where(F.col("pos") == reach)
-        if jumping.isEmpty():
-            return state
         ahead = state.select("repo", F.col("sha").alias("chain"), F.col("chain").alias("next"), F.col("pos").alias("more"))
         jumped = jumping.join(ahead, ["repo", "chain"]).select(
             "repo", "sha", F.col("next").alias("chain"), (F.col("pos") + F.col("more")).alias("pos")
         )
-        state = cut_lineage(state.where(F.col("pos") != reach).unionByName(jumped))
+        state, active = cut_and_count(
+            state.where(F.col("pos") != reach).unionByName(jumped), F.col("pos") == 2 * reach
+        )
     raise ValueError("the parent table has a cycle")
 
 
@@ -78,21 +81,21 @@ def reachable(parents: DataFrame, tips: DataFrame) -> DataFrame:
     key = ["repo", "branch", "chain"]
     start = tips.where(F.col("sha").isNotNull()).join(placed, ["repo", "sha"])
     none = F.lit(None).cast("bigint")
-    state = cut_lineage(start.groupBy(*key).agg(F.max("pos").alias("top")).withColumn("before", none))
     grown = F.col("before").isNull() | (F.col("top") > F.col("before"))
-    while True:
-        fresh = state.where(grown)
-        if fresh.isEmpty():
-            break
+    state, active = cut_and_count(
+        start.groupBy(*key).agg(F.max("pos").alias("top")).withColumn("before", none), grown
+    )
+    while active > 0:
         steps = (
-            fresh.withColumnRenamed("chain", "from_chain")
+            state.where(grown)
+            .withColumnRenamed("chain", "from_chain")
             .join(crossing, ["repo", "from_chain"])
             .where((F.col("from_pos") <= F.col("top")) & (F.col("from_pos") > F.coalesce("before", F.lit(-1))))
             .select("repo", "branch", F.col("to_chain").alias("chain"), F.col("to_pos").alias("top"), none.alias("before"))
         )
         known = state.select(*key, "top", F.col("top").alias("before"))
-        state = cut_lineage(
-            known.unionByName(steps).groupBy(*key).agg(F.max("top").alias("top"), F.max("before").alias("before"))
+        state, active = cut_and_count(
+            known.unionByName(steps).groupBy(*key).agg(F.max("top").alias("top"), F.max("before").alias("before")), grown
         )
     reached = state.select(*key, "top")
     return (

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.labels import canonical_type, finding_severity, is_deployable, technology
 from plumbline.functions.text import definition_body, normalize_sql, strip_project
 from plumbline.operators.skew import with_parts
+from plumbline.session import cut_lineage
 
 FINDING = ["area", "product", "name", "dataset", "status", "severity", "source_technology", "details", "source_hash", "env_hash"]
 
@@ -162,24 +163,32 @@ def column_diff(source: DataFrame, actual: DataFrame, keys: Sequence[str] = OBJE
     """One row per differing column of the objects that have columns on both sides.
 
     Inputs hold ``keys, column_name, data_type``. ``difference`` is one of
-    missing, extra, retyped.
+    missing, extra, retyped. Both sides are united and grouped by column once,
+    and that narrow table is written, since it is read for the objects as well.
     """
 
     def compact(c: Column) -> Column:
         return F.upper(F.regexp_replace(F.trim(c), r"\s*([,<>()])\s*", "$1"))
 
     keys = list(keys)
-    left = source.select(*keys, "column_name", F.coalesce("data_type", F.lit("")).alias("source_type"))
-    right = actual.select(*keys, "column_name", F.coalesce("data_type", F.lit("")).alias("env_type"))
-    left = left.join(right.select(*keys).distinct(), keys, "left_semi")
-    right = right.join(source.select(*keys).distinct(), keys, "left_semi")
-    both = left.join(right, [*keys, "column_name"], "full_outer")
+    nothing = F.lit(None).cast("string")
+    kind = F.coalesce("data_type", F.lit(""))
+    rows = source.select(*keys, "column_name", kind.alias("source_type"), nothing.alias("env_type")).unionByName(
+        actual.select(*keys, "column_name", nothing.alias("source_type"), kind.alias("env_type"))
+    )
+    merged = cut_lineage(
+        rows.groupBy(*keys, "column_name").agg(F.max("source_type").alias("source_type"), F.max("env_type").alias("env_type")),
+        "columns",
+    )
+    sides = merged.groupBy(*keys).agg(F.count("source_type").alias("in_source"), F.count("env_type").alias("in_env"))
+    two_sided = sides.where((F.col("in_source") > 0) & (F.col("in_env") > 0)).select(*keys)
     difference = (
         F.when(F.col("env_type").isNull(), F.lit("missing"))
         .when(F.col("source_type").isNull(), F.lit("extra"))
         .when(compact(F.col("source_type")) != compact(F.col("env_type")), F.lit("retyped"))
     )
-    return both.withColumn("difference", difference).where(F.col("difference").isNotNull())
+    changed = merged.withColumn("difference", difference).where(F.col("difference").isNotNull())
+    return changed.join(two_sided, keys, "left_semi")
 
 
 def schema_diff(source: DataFrame, actual: DataFrame, part_size: int = 1000) -> DataFrame:

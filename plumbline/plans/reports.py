@@ -12,6 +12,7 @@ from plumbline.constants import DIRECT, MERGE_BASE
 from plumbline.functions.labels import stamp
 from plumbline.operators import branches, history, inventory, reconcile
 from plumbline.operators.executive import count_rows
+from plumbline.session import cut_lineage
 from plumbline.sources.ledger import record_run, run_path
 from plumbline.sources.reports import write_report_csv
 
@@ -90,8 +91,15 @@ def file_drift(
 def catalog_findings(
     catalog: DataFrame, catalog_columns: DataFrame, parsed: DataFrame, models: DataFrame
 ) -> DataFrame:
-    """All catalog findings of a product set; ``parsed`` comes from ``ddl_files``."""
-    ddl = inventory.ddl_inventory(parsed)
+    """All catalog findings of a product set; ``parsed`` comes from ``ddl_files``.
+
+    Texts are parsed and the catalog is united once; the five comparisons read
+    the written results, and of the texts only those of views are kept.
+    """
+    is_view = F.col("kind").isin("view", "materialized_view", "unknown")
+    parsed = cut_lineage(parsed.withColumn("text", F.when(is_view, F.col("text"))), "parsed")
+    catalog, ddl = cut_lineage(catalog, "catalog"), cut_lineage(inventory.ddl_inventory(parsed), "ddl")
+    models = cut_lineage(models, "models")
     frames = [
         reconcile.only_in_catalog(catalog, ddl, models),
         reconcile.only_in_source(catalog, ddl, models),

@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(app: str = "plumbline", cores: str = "8", **conf: str) -> SparkSession:
@@ -15,6 +16,7 @@ def local_session(app: str = "plumbline", cores: str = "8", **conf: str) -> Spar
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.sql.adaptive.enabled", "true")
@@ -53,7 +55,22 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), "plumbline", f"{label}-{uuid.uuid4().hex}")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably, so that later stages survive lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back.
+
+    Later stages survive lost executors, read only the columns they need, and
+    are planned with the true size of the table.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_and_count(df: DataFrame, condition: Column, label: str = "step") -> tuple[DataFrame, int]:
+    """As :func:`cut_lineage`, and the number of rows that meet ``condition``.
+
+    The count is observed while the rows are written and needs no job of its own.
+    """
+    seen = Observation()
+    counted = df.observe(seen, F.count_if(condition).alias("n"))
+    return cut_lineage(counted, label), seen.get["n"]
