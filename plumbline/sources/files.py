@@ -27,10 +27,14 @@ def scan_tree(spark: SparkSession, root: str) -> DataFrame:
 
 
 def scan_text(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    """``path, text`` of the files whose name matches ``glob``, one row per file."""
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-    texts = reader.option("wholetext", True).text(root)
-    return texts.select(relative(F.col("_metadata.file_path"), root).alias("path"), F.col("value").alias("text"))
+    """``path, text`` of the files whose name matches ``glob``, one row per file.
+
+    Files are read as bytes, since a text scan drops the last line end; bytes
+    that are no UTF-8 become replacement characters.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    return reader.load(root).select(relative(F.col("path"), root).alias("path"), text.alias("text"))
 
 
 def file_inventory(files: DataFrame) -> DataFrame:
