@@ -79,7 +79,7 @@ SELECT product, dataset, object_name, c.name AS column_name, c.type AS data_type
 V["ddl_objects"] = """
 SELECT product, CASE WHEN variant <> 4 THEN dataset END AS dataset, object_name,
        CASE variant WHEN 0 THEN 'table' WHEN 1 THEN 'table' WHEN 2 THEN 'view' WHEN 3 THEN 'procedure' ELSE 'unknown' END AS object_type,
-       CASE WHEN variant = 0 THEN 2 ELSE 1 END AS file_count, variant = 0 AS multi_statement, path AS first_path FROM {ddl_sources}"""
+       cast(CASE WHEN variant = 0 THEN 2 ELSE 1 END AS bigint) AS file_count, variant = 0 AS multi_statement, path AS first_path FROM {ddl_sources}"""
 
 
 def parsed(v):
@@ -192,7 +192,7 @@ def _(v):
     return catalog_source.catalog_union(v.catalog_tables, v.catalog_routines)
 
 
-def finding(status: str, kind: str, details: str, rest: str, dataset: str = "dataset", hashes: str = "NULL AS source_hash, NULL AS env_hash") -> str:
+def finding(status: str, kind: str, details: str, rest: str, dataset: str = "dataset", hashes: str = "cast(NULL AS string) AS source_hash, cast(NULL AS string) AS env_hash") -> str:
     severity = "medium" if status == "only_in_source" else "high"
     return f"""
 SELECT 'bigquery' AS area, product, object_name AS name, {dataset} AS dataset, '{status}' AS status, '{severity}' AS severity, {kind} AS source_technology,
@@ -362,7 +362,7 @@ UNION ALL SELECT repo, 'GCP_BUCKET' AS key, 'b_' || c_mktsegment AS value FROM {
 V["ci_base"] = "SELECT 'repo_' || c_custkey AS repo, * FROM {customer}"
 V["declared"] = """
 SELECT repo, 'origin/production' AS git_ref, CASE WHEN c_custkey % 3 = 0 THEN 'ds_' || c_custkey * 3 ELSE 'ds_' || c_custkey * 3 || ', ds_' || (c_custkey * 3 + 1) END AS datasets,
-       CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 2 END AS dataset_count FROM {ci_base}"""
+       cast(CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 2 END AS bigint) AS dataset_count FROM {ci_base}"""
 V["refs"] = "SELECT DISTINCT unnest(string_split(datasets, ', ')) AS dataset, repo FROM {declared}"
 
 
@@ -440,7 +440,7 @@ def _(v):
 
 @query("orphan_rows", """
 SELECT u.dataset AS dataset_name, u.project_id, 'orphan' AS orphan_status, false AS source_reference_found, coalesce(t.object_count, 0) AS table_count,
-       CASE WHEN coalesce(t.object_count, 0) > 0 THEN 2 ELSE 1 END AS risk_score FROM {unmatched} u LEFT JOIN {type_counts} t ON t.dataset = u.dataset""")
+       cast(CASE WHEN coalesce(t.object_count, 0) > 0 THEN 2 ELSE 1 END AS bigint) AS risk_score FROM {unmatched} u LEFT JOIN {type_counts} t ON t.dataset = u.dataset""")
 def _(v):
     rows = unmatched(v)
     return inventory.orphan_rows(rows, inventory.type_counts(inventory.unmatched_objects(v.dataset_objects, rows)))
@@ -511,7 +511,7 @@ def _(v):
 @query("severity_grades", """
 SELECT l_orderkey, l_linenumber, CASE WHEN q = 0 THEN 'none' WHEN q <= 5 THEN 'low' WHEN q <= 20 THEN 'medium' ELSE 'high' END AS commit_severity,
        CASE WHEN q = 0 THEN 'none' WHEN q <= 10 THEN 'low' WHEN q <= 50 THEN 'medium' ELSE 'high' END AS file_severity,
-       CASE WHEN l_returnflag = 'A' THEN 'medium' ELSE 'high' END AS finding_severity, CASE WHEN q > 0 THEN 2 ELSE 1 END AS risk_score,
+       CASE WHEN l_returnflag = 'A' THEN 'medium' ELSE 'high' END AS finding_severity, cast(CASE WHEN q > 0 THEN 2 ELSE 1 END AS bigint) AS risk_score,
        CASE WHEN q = 0 THEN 4 WHEN q <= 5 THEN 3 WHEN q <= 20 THEN 2 ELSE 1 END AS severity_rank,
        CASE WHEN q = 0 THEN 4 WHEN q <= 5 THEN 3 WHEN q <= 20 THEN 2 ELSE 1 END AS detail_rank
 FROM (SELECT *, cast(l_quantity AS int) - 1 AS q FROM {lineitem})""")

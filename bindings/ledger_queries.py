@@ -354,7 +354,8 @@ LEFT JOIN {objects_agg} o ON o.execution_id = d.execution_id AND o.dataset_name
 
 
 def orphan_report(v):
-    return dashboards.orphan_summary_report(v.executions, v.orphans, v.orphan_objects, AS_OF)
+    report = dashboards.orphan_summary_report(v.executions, v.orphans, v.orphan_objects, AS_OF)
+    return report.withColumn("dataset_last_modified", F.col("dataset_last_modified").cast("timestamp_ntz"))
 
 
 @query("orphan_summary_report", "SELECT * FROM {orphan_report}")

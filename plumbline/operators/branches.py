@@ -33,6 +33,7 @@ from plumbline.functions.labels import (
 )
 from plumbline.operators.history import branch_flags, on
 from plumbline.operators.skew import rank_within
+from plumbline.session import cut_lineage
 
 DIRECTION_KEY = ["repo", "discrepancy"]
 
@@ -255,6 +256,7 @@ def with_renames(diff: DataFrame, wide: DataFrame | None = None, mode: str = MER
     at once; only groups with unequal numbers are ranked, and the ranking splits
     a blob that very many paths share.
     """
+    diff = cut_lineage(diff, "diff")  # read four times below; names and hashes only
     blob = F.when(F.col("code") == "A", F.col("right_hash")).otherwise(F.col("left_hash"))
     moved = diff.where(F.col("code").isin("A", "D")).withColumn("blob", blob)
     group = ["repo", "discrepancy", "blob"]

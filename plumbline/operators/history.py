@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from plumbline.constants import BRANCHES
 from plumbline.session import cut_and_count, cut_lineage
 
-MAX_ROUNDS = 64
+MAX_ROUNDS = 40  # a line of a trillion commits
 
 
 def chains(parents: DataFrame, tips: DataFrame) -> DataFrame:

@@ -36,9 +36,10 @@ def commit_drift(
     directed = branches.repo_directions(presence)
     unique = branches.patch_unique(commits, closure)
     complete = directed.where(F.col("status") == "ok").select("repo", "discrepancy")
-    unique = unique.join(complete, ["repo", "discrepancy"], "left_semi")
-    kpis = branches.commit_kpis(directed, branches.commit_counts(unique, commit_files))
-    details = branches.commit_details(unique, commits, commit_files)
+    # Each of these feeds several report files and the ledger, so each is computed once.
+    unique = cut_lineage(unique.join(complete, ["repo", "discrepancy"], "left_semi"), "unique")
+    kpis = cut_lineage(branches.commit_kpis(directed, branches.commit_counts(unique, commit_files)), "kpis")
+    details = cut_lineage(branches.commit_details(unique, commits, commit_files), "details")
     evidence = details.select(
         "repo", F.lit("commit").alias("drift_type"), "discrepancy", F.col("commit").cast("string").alias("commit_sha"),
         F.col("created_at").alias("commit_date"), "author", "file_path", F.lit(None).cast("string").alias("change_type"),
@@ -66,9 +67,9 @@ def file_drift(
     wide = branches.wide_files(branch_files, None if mode == DIRECT else base_files)
     complete = directed.where(F.col("status") == "ok").select("repo", "discrepancy")
     diff = branches.tree_diff(wide, mode).join(complete, ["repo", "discrepancy"], "left_semi")
-    diff = branches.with_renames(diff, mode=mode)
-    kpis = branches.file_kpis(directed, branches.difference_counts(diff), mode)
-    details = branches.content_details(diff, meta, branch_files, mode)
+    diff = cut_lineage(branches.with_renames(diff, mode=mode), "renamed")
+    kpis = cut_lineage(branches.file_kpis(directed, branches.difference_counts(diff), mode), "kpis")
+    details = cut_lineage(branches.content_details(diff, meta, branch_files, mode), "details")
     blank = F.lit("")
     evidence = details.select(
         "repo", F.lit("content").alias("drift_type"), "discrepancy",
@@ -94,10 +95,10 @@ def catalog_findings(
     """All catalog findings of a product set; ``parsed`` comes from ``ddl_files``.
 
     Texts are parsed and the catalog is united once; the five comparisons read
-    the written results, and of the texts only those of views are kept.
+    the written results. Texts of files that define nothing are left behind.
     """
-    is_view = F.col("kind").isin("view", "materialized_view", "unknown")
-    parsed = cut_lineage(parsed.withColumn("text", F.when(is_view, F.col("text"))), "parsed")
+    defines = F.col("dataset").isNotNull()
+    parsed = cut_lineage(parsed.withColumn("text", F.when(defines, F.col("text"))), "parsed")
     catalog, ddl = cut_lineage(catalog, "catalog"), cut_lineage(inventory.ddl_inventory(parsed), "ddl")
     models = cut_lineage(models, "models")
     frames = [
@@ -119,8 +120,8 @@ def env_drift(
     source_files: DataFrame, deployed_files: DataFrame,
 ) -> Report:
     """Source definitions and files against the catalog and the file store."""
-    in_catalog = catalog_findings(catalog, catalog_columns, parsed, models)
-    in_files = reconcile.compare_files(source_files, deployed_files)
+    in_catalog = cut_lineage(catalog_findings(catalog, catalog_columns, parsed, models), "findings")
+    in_files = cut_lineage(reconcile.compare_files(source_files, deployed_files), "findings")
     return Report(
         "env_drift",
         {"env_drift_findings": reconcile.ledger_findings(in_catalog, in_files)},
@@ -142,9 +143,9 @@ def orphan_datasets(datasets: DataFrame, objects: DataFrame, ci_texts: DataFrame
     """Catalog datasets that no repository declares, with the objects they hold."""
     declared = inventory.repo_datasets(ci_texts)
     refs = inventory.dataset_refs(declared)
-    unmatched = inventory.unmatched_datasets(datasets, refs)
-    held = inventory.unmatched_objects(objects, unmatched)
-    counts = inventory.type_counts(held)
+    unmatched = cut_lineage(inventory.unmatched_datasets(datasets, refs), "unmatched")
+    held = cut_lineage(inventory.unmatched_objects(objects, unmatched), "held")
+    counts = cut_lineage(inventory.type_counts(held), "counts")
     object_rows = held.select(F.col("dataset").alias("dataset_name"), "object_type", "object_name")
     listing = unmatched.select("dataset").join(counts, "dataset", "left").select(
         "dataset", F.coalesce("object_count", F.lit(0)).alias("object_count"),
