@@ -254,7 +254,7 @@ def definition_mismatch(catalog: DataFrame, fragments: DataFrame, project: Colum
     summed = sizes.groupBy(*OBJECT).agg(
         F.count(F.lit(1)).alias("files"), (F.sum("n") + F.count(F.lit(1)) - 1).alias("source_length"), F.max("h").alias("one_hash")
     )
-    paired = summed.join(actual, OBJECT)
+    paired = cut_lineage(summed.join(actual, OBJECT), "views")  # one narrow row per view, read three times
     split = paired.where((F.col("files") > 1) & (F.col("source_length") == F.col("env_length"))).select(*OBJECT)
     joined = (
         parts.join(split, OBJECT, "left_semi")
@@ -341,11 +341,17 @@ def finding_sources(findings: DataFrame, ddl_files: DataFrame, models: DataFrame
 REPORT_KEY = ["repo", "discrepancy", "commit", "file_path"]
 
 
-def report_diff(old: DataFrame, new: DataFrame, order: str, keys: Sequence[str] = REPORT_KEY) -> DataFrame:
+def report_diff(
+    old: DataFrame, new: DataFrame, order: str, keys: Sequence[str] = REPORT_KEY, ignore_case: bool = False
+) -> DataFrame:
     """Rows of one report only, with ``side``; the last of repeated rows (by ``order``) stands for a key.
 
-    Both reports are tagged, united and grouped once by the key.
+    Both reports are tagged, united and grouped once by the key. With
+    ``ignore_case`` keys are compared, and shown, in lower case.
     """
+    if ignore_case:
+        lowered = {k: F.lower(F.col(k)) for k in keys}
+        old, new = old.withColumns(lowered), new.withColumns(lowered)
     payload = [c for c in old.columns if c not in (*keys, order)]
     tagged = old.withColumn("side", F.lit("old")).unionByName(new.withColumn("side", F.lit("new")))
     row = F.struct(*[F.col(c) for c in payload], F.lit(1).alias("_present"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.constants import DIRECT, MERGE_BASE
-from plumbline.functions.labels import stamp
+from plumbline.functions.labels import filter_names, stamp
 from plumbline.operators import branches, history, inventory, reconcile
 from plumbline.operators.executive import count_rows
 from plumbline.session import cut_lineage
@@ -139,17 +139,30 @@ def env_drift(
     )
 
 
-def orphan_datasets(datasets: DataFrame, objects: DataFrame, ci_texts: DataFrame) -> Report:
-    """Catalog datasets that no repository declares, with the objects they hold."""
-    declared = inventory.repo_datasets(ci_texts)
+def orphan_datasets(
+    datasets: DataFrame, objects: DataFrame, ci_texts: DataFrame, include: str = ".*", exclude: str | None = "^_"
+) -> Report:
+    """Catalog datasets that no repository declares, with the objects they hold.
+
+    ``datasets`` holds dataset, project_id and error, the text of a partly
+    failed scan; objects of such a dataset are kept as far as they were read.
+    """
+    datasets = filter_names(datasets, "dataset", include, exclude)
+    declared = cut_lineage(inventory.repo_datasets(ci_texts), "declared")
     refs = inventory.dataset_refs(declared)
-    unmatched = cut_lineage(inventory.unmatched_datasets(datasets, refs), "unmatched")
+    unmatched = cut_lineage(inventory.unmatched_datasets(datasets, refs, include, exclude), "unmatched")
     held = cut_lineage(inventory.unmatched_objects(objects, unmatched), "held")
     counts = cut_lineage(inventory.type_counts(held), "counts")
     object_rows = held.select(F.col("dataset").alias("dataset_name"), "object_type", "object_name")
-    listing = unmatched.select("dataset").join(counts, "dataset", "left").select(
+    listing = unmatched.join(counts, "dataset", "left").select(
         "dataset", F.coalesce("object_count", F.lit(0)).alias("object_count"),
         F.coalesce(F.to_json("object_type_counts"), F.lit("{}")).alias("object_type_counts"),
+        F.coalesce("error", F.lit("")).alias("error"),
+    )
+    errors = inventory.dataset_errors(unmatched)
+    summary = count_rows(
+        datasets_scanned=datasets, repos_scanned=ci_texts, repos_with_dataset_refs=declared.where("dataset_count > 0"),
+        datasets_referenced=refs.select("dataset").distinct(), unmatched_datasets=unmatched, datasets_with_errors=errors,
     )
     return Report(
         "orphan_datasets",
@@ -157,7 +170,9 @@ def orphan_datasets(datasets: DataFrame, objects: DataFrame, ci_texts: DataFrame
         {
             "unmatched_datasets": (listing, ["dataset"]),
             "unmatched_objects": (held, ["dataset", "object_name"]),
+            "dataset_errors": (errors, ["dataset"]),
             "repo_dataset_references": (declared.drop("names"), ["repo"]),
+            "summary": (summary, []),
         },
     )
 

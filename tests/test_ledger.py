@@ -166,6 +166,41 @@ def test_commit_report_end_to_end(spark, table, tmp_path):
     assert [(r.file_path, r.discrepancy) for r in details.orderBy("file_path").collect()] == [("f1", "test_not_in_master"), ("f2", "test_not_in_master")]
 
 
+def test_orphan_report_end_to_end(spark, table, tmp_path):
+    datasets = table("dataset string, project_id string, error string", ("a", "p", None), ("b", "p", "tables: denied"), ("c", "p", None), ("_x", "p", None))
+    objects = table("dataset string, object_name string, object_type string", ("b", "t", "view"), ("a", "t", "view"))
+    ci = table("repo string, git_ref string, text string", ("r", "production", "variables:\n  BQ_DATASET_NAMES: a\n"))
+    report = reports.orphan_datasets(datasets, objects, ci)
+    base, prefix = str(tmp_path / "ledger"), str(tmp_path / "out")
+    assert reports.publish(spark, report, base, prefix, "run1", datetime(2024, 1, 5))
+    read = {n: ledger.read_ledger(spark, base, n) for n in ("executions", "orphan_datasets", "orphan_dataset_objects")}
+    shown = dashboards.orphan_summary_report(read["executions"], read["orphan_datasets"], read["orphan_dataset_objects"], date(2024, 3, 1)).collect()
+    assert [(r.dataset_name, r.risk_score, r.reported_table_count, r.scanned_views) for r in shown] == [("b", 2, 1, 1), ("c", 1, 0, 0)]
+    csv = {n: sinks.read_report_csv(spark, f"{prefix}/run1/orphan_datasets/{n}").collect() for n in ("unmatched_datasets", "dataset_errors", "summary")}
+    assert [(r.dataset, r.object_type_counts) for r in csv["unmatched_datasets"]] == [("b", '{"view":1}'), ("c", "{}")]
+    assert [(r.dataset, r.error) for r in csv["dataset_errors"]] == [("b", "tables: denied")]
+    assert (csv["summary"][0].datasets_scanned, csv["summary"][0].unmatched_datasets, csv["summary"][0].datasets_with_errors) == ("3", "2", "1")
+
+
+def test_file_report_end_to_end(spark, table, tmp_path):
+    repos, tips = table("repo string", ("r",)), table("repo string, branch string, sha string", ("r", "master", "a"), ("r", "test", "b"))
+    branch_files = table("repo string, branch string, path string, blob_hash string", ("r", "master", "x", "1"), ("r", "test", "x", "2"), ("r", "test", "y", "3"))
+    bases = table("repo string, left_name string, right_name string", ("r", "master", "test"))
+    base_files = table("repo string, left_name string, right_name string, path string, blob_hash string", ("r", "master", "test", "x", "1"))
+    facts = ["commit", "at", "author", "author_email", "message"]
+    names = ", ".join(f"{p}_{f} string" for p in ("created", "last_change") for f in facts)
+    meta = table(f"repo string, branch string, path string, {names}", ("r", "test", "x", *["c0", "2024-01-01", "n", "m", "t"], *["c1", "2024-01-02 03:00:00", "ann", "m", "t"]))
+    report = reports.file_drift(repos, tips, branch_files, base_files, bases, meta)
+    base = str(tmp_path / "ledger")
+    assert reports.publish(spark, report, base, str(tmp_path / "out"), "run1", datetime(2024, 1, 5))
+    read = {n: ledger.read_ledger(spark, base, n) for n in ("executions", "branch_drift_kpis", "branch_drift_evidence")}
+    shown = dashboards.file_kpi_report(read["executions"], read["branch_drift_kpis"], read["branch_drift_evidence"]).collect()
+    assert [(r.drift_direction, r.unique_files, r.files_added, r.files_modified, r.distinct_authors) for r in shown] == [
+        ("test differs from master", 2, 1, 1, 1), ("master differs from test", 0, None, None, None),
+    ]
+    assert {r.file_path: (r.commit_sha, r.commit_date) for r in read["branch_drift_evidence"].collect()} == {"x": ("c1", datetime(2024, 1, 2, 3)), "y": (None, None)}
+
+
 def test_failed_run_is_recorded(spark, table, tmp_path):
     broken = table("repo string", ("r",)).withColumn("x", F.raise_error(F.lit("boom")).cast("string"))
     report = reports.Report("commit_drift", {}, {"details": (broken, ["repo"])})
