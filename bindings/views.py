@@ -240,10 +240,9 @@ SELECT p_brand AS product, 'proj' AS project, {DS} AS dataset, CASE WHEN p_partk
        CASE WHEN p_partkey % 17 = 0 THEN 'MATERIALIZED VIEW' WHEN p_size % 5 = 2 THEN 'VIEW' ELSE 'BASE TABLE' END AS object_type,
        concat('CREATE TABLE ', {OBJ}) AS ddl, p_size % 5 AS variant, p_partkey, p_name
 FROM {{part}}"""
-VIEWS["catalog_routines"] = f"""
-SELECT p_brand AS product, 'proj' AS project, {DS} AS dataset, {OBJ} AS object_name, 'PROCEDURE' AS object_type,
-       concat('BEGIN SELECT ', cast(p_partkey AS string), '; END') AS routine_definition
-FROM {{part}} WHERE p_size % 5 = 3"""
+VIEWS["catalog_routines"] = """
+SELECT product, 'proj' AS project, dataset, object_name, 'PROCEDURE' AS object_type, concat('BEGIN SELECT ', cast(p_partkey AS string), '; END') AS routine_definition
+FROM {ddl_sources} WHERE variant = 3"""
 VIEWS["catalog_views"] = """
 SELECT product, project, dataset, object_name,
        concat('SELECT id, ''', p_name, ''' AS n', chr(10), '   FROM `', dataset, '.', CASE WHEN p_partkey % 4 = 0 THEN 'other' ELSE 'base' END, '`') AS view_definition

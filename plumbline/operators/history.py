@@ -17,24 +17,60 @@ from plumbline.session import cut_and_count, cut_lineage
 MAX_ROUNDS = 40  # a line of a trillion commits
 
 
+def descendants(nodes: DataFrame, main: DataFrame) -> DataFrame:
+    """Number of commits, itself included, that come down to each commit by first parents.
+
+    In round k a commit knows its ancestor 2**k steps up and how many commits
+    are fewer than 2**k steps below it; the counts below that many steps up are
+    added to the ancestor, and the step doubles.
+    """
+    state, active = cut_and_count(
+        nodes.join(main, ["repo", "sha"], "left").select(
+            "repo", "sha", F.col("parent_sha").alias("up"), F.lit(1).cast("bigint").alias("size")
+        ),
+        F.col("up").isNotNull(),
+    )
+    for _ in range(MAX_ROUNDS):
+        if active == 0:
+            return state.select("repo", "sha", "size")
+        climbing = state.where(F.col("up").isNotNull())
+        gained = climbing.groupBy("repo", F.col("up").alias("sha")).agg(F.sum("size").alias("gain"))
+        ahead = state.select("repo", F.col("sha").alias("up"), F.col("up").alias("next"))
+        moved = climbing.join(ahead, ["repo", "up"]).select("repo", "sha", F.col("next").alias("up"), "size")
+        rows = moved.unionByName(state.where(F.col("up").isNull()))
+        state, active = cut_and_count(
+            rows.join(gained, ["repo", "sha"], "left").select(
+                "repo", "sha", "up", (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size")
+            ),
+            F.col("up").isNotNull(),
+        )
+    raise ValueError("the parent table has a cycle")
+
+
 def chains(parents: DataFrame, tips: DataFrame) -> DataFrame:
     """Split the graph into straight chains: ``repo, sha, chain, pos``.
 
-    Each commit continues in at most one parent and each parent in at most one
-    child, so a chain is a line; ``chain`` is its oldest commit and ``pos`` the
-    distance to it. Distances double per round, so a history of a million
-    commits in a row takes twenty rounds, not a million. Commits that still jump
-    have distinct targets, which keeps every round free of hot keys.
+    Each commit continues in its first parent, and each parent in the child that
+    carries the most commits, so a chain is a line; ``chain`` is its oldest
+    commit and ``pos`` the distance to it. Following the larger side keeps a
+    main line in one piece: no path by first parents meets more chains than the
+    logarithm of the number of commits. Distances double per round, so a history
+    of a million commits in a row takes twenty rounds, not a million. Commits
+    that still jump have distinct targets, which keeps these rounds free of hot
+    keys.
     """
     edges = parents.where(F.col("parent_sha").isNotNull())
-    main = edges.groupBy("repo", "sha").agg(F.min_by("parent_sha", "parent_index").alias("parent_sha"))
-    links = main.groupBy("repo", "parent_sha").agg(F.min("sha").alias("sha"))
-    nodes = (
+    main = cut_lineage(edges.groupBy("repo", "sha").agg(F.min_by("parent_sha", "parent_index").alias("parent_sha")), "main")
+    nodes = cut_lineage(
         parents.select("repo", "sha")
         .unionByName(edges.select("repo", F.col("parent_sha").alias("sha")))
         .unionByName(tips.select("repo", "sha"))
-        .distinct()
+        .where(F.col("sha").isNotNull())
+        .distinct(),
+        "nodes",
     )
+    sized = main.join(descendants(nodes, main), ["repo", "sha"])
+    links = sized.groupBy("repo", "parent_sha").agg(F.max_by("sha", F.struct("size", "sha")).alias("sha"))
     linked = F.col("parent_sha").isNotNull()
     state, active = cut_and_count(
         nodes.join(links, ["repo", "sha"], "left").select(
