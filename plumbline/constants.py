@@ -71,3 +71,16 @@ MERGE_BASE = "merge_base"
 DIRECT = "direct"
 
 NOT_AVAILABLE = "N/A"
+
+# Sentences of report rows, in printf form.
+COMMIT_PROBLEM = "Commits in %s not present in %s (cherry-pick, no merges)."
+BASE_PROBLEM = "File differs between merge-base(%s, %s) and %s, matching GitLab compare semantics."
+TIPS_PROBLEM = "File differs between branch tips %s and %s."
+FILE_ONLY_SOURCE = "File exists in rendered source snapshot but not in deployed GCS bucket."
+FILE_ONLY_DEPLOYED = "File exists in deployed GCS bucket but not in rendered source snapshot."
+FILE_DIFFERS = "File exists in both places but content hash differs."
+OBJECT_ONLY_CATALOG = "Selected GCP environment contains %s with no matching DDL or dbt model in the selected source snapshot."
+OBJECT_ONLY_SOURCE = "Object exists in the selected source snapshot but not in the selected GCP dataset inventory. source_kind=%s"
+TYPE_DIFFERS = "Source type=%s, selected GCP object type=%s."
+SCHEMA_DIFFERS = "missing_in_prod=%s; extra_in_prod=%s; type_mismatch=%s"
+DEFINITION_DIFFERS = "Source view definition and selected GCP view definition differ after normalization."

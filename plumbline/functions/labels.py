@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.constants import (
+    BASE_PROBLEM,
     COMMIT_CUTS,
+    COMMIT_PROBLEM,
     DIFFERENCE_TYPES,
     DIRECTIONS,
     FILE_CUTS,
     NOT_AVAILABLE,
     REMOTE,
     SEVERITY_RANKS,
+    TIPS_PROBLEM,
     TYPE_ALIASES,
 )
 
@@ -206,15 +209,13 @@ def safe_label(c: Column) -> Column:
 def content_problem(mode: str, left: Column, right: Column) -> Column:
     """Problem statement of a file-drift row."""
     if mode == "merge_base":
-        text = "File differs between merge-base(%s, %s) and %s, matching GitLab compare semantics."
-        return F.format_string(text, left, right, right)
-    return F.format_string("File differs between branch tips %s and %s.", left, right)
+        return F.format_string(BASE_PROBLEM, left, right, right)
+    return F.format_string(TIPS_PROBLEM, left, right)
 
 
 def commit_problem(left: Column, right: Column) -> Column:
     """Problem statement of a commit-drift row."""
-    text = "Commits in %s not present in %s (cherry-pick, no merges)."
-    return F.format_string(text, branch_name(right), branch_name(left))
+    return F.format_string(COMMIT_PROBLEM, branch_name(right), branch_name(left))
 
 
 def ref(branch: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline import constants
 from plumbline.functions.labels import canonical_type, finding_severity, is_deployable, technology
 from plumbline.functions.text import definition_body, normalize_sql, strip_project
 from plumbline.operators.skew import with_parts
@@ -58,9 +59,9 @@ def compare_files(source: DataFrame, deployed: DataFrame) -> DataFrame:
         .otherwise(F.lit("content_mismatch"))
     )
     details = (
-        F.when(status == "only_in_source", F.lit("File exists in rendered source snapshot but not in deployed GCS bucket."))
-        .when(status == "only_in_gcs", F.lit("File exists in deployed GCS bucket but not in rendered source snapshot."))
-        .otherwise(F.lit("File exists in both places but content hash differs."))
+        F.when(status == "only_in_source", F.lit(constants.FILE_ONLY_SOURCE))
+        .when(status == "only_in_gcs", F.lit(constants.FILE_ONLY_DEPLOYED))
+        .otherwise(F.lit(constants.FILE_DIFFERS))
     )
     return both.select(
         *_finding(
@@ -88,7 +89,6 @@ def only_in_catalog(catalog: DataFrame, ddl: DataFrame, models: DataFrame) -> Da
     by_name = by_name.unionByName(models.where(is_deployable(F.col("materialized"))).select("product", "object_name"))
     rest = catalog.join(placed, ["product", "dataset", "object_name"], "left_anti")
     rest = rest.join(by_name, ["product", "object_name"], "left_anti")
-    text = "Selected GCP environment contains %s with no matching DDL or dbt model in the selected source snapshot."
     return rest.select(
         *_finding(
             "bigquery",
@@ -97,7 +97,7 @@ def only_in_catalog(catalog: DataFrame, ddl: DataFrame, models: DataFrame) -> Da
             name=F.col("object_name"),
             dataset=F.col("dataset"),
             source_technology="unknown",
-            details=F.format_string(text, F.col("object_type")),
+            details=F.format_string(constants.OBJECT_ONLY_CATALOG, F.col("object_type")),
         )
     )
 
@@ -122,7 +122,6 @@ def only_in_source(catalog: DataFrame, ddl: DataFrame, models: DataFrame) -> Dat
             missing_models.select("product", F.lit(None).cast("string").alias("dataset"), "object_name", F.lit("dbt_model").alias("kind"))
         )
     )
-    text = "Object exists in the selected source snapshot but not in the selected GCP dataset inventory. source_kind=%s"
     return rows.select(
         *_finding(
             "bigquery",
@@ -131,7 +130,7 @@ def only_in_source(catalog: DataFrame, ddl: DataFrame, models: DataFrame) -> Dat
             name=F.col("object_name"),
             dataset=F.col("dataset"),
             source_technology=F.col("kind"),
-            details=F.format_string(text, F.col("kind")),
+            details=F.format_string(constants.OBJECT_ONLY_SOURCE, F.col("kind")),
         )
     )
 
@@ -145,7 +144,6 @@ def type_mismatch(catalog: DataFrame, ddl: DataFrame) -> DataFrame:
         catalog.select(*OBJECT, F.col("object_type").alias("env_type")), OBJECT
     )
     source, env = canonical_type(F.col("source_type")), canonical_type(F.col("env_type"))
-    text = "Source type=%s, selected GCP object type=%s."
     return both.where(~source.isin("unknown", "") & (source != env)).select(
         *_finding(
             "bigquery",
@@ -154,7 +152,7 @@ def type_mismatch(catalog: DataFrame, ddl: DataFrame) -> DataFrame:
             name=F.col("object_name"),
             dataset=F.col("dataset"),
             source_technology="bq",
-            details=F.format_string(text, F.col("source_type"), F.col("env_type")),
+            details=F.format_string(constants.TYPE_DIFFERS, F.col("source_type"), F.col("env_type")),
         )
     )
 
@@ -212,7 +210,6 @@ def schema_diff(source: DataFrame, actual: DataFrame, part_size: int = 1000) ->
 
 
 def schema_mismatch(source: DataFrame, actual: DataFrame) -> DataFrame:
-    text = "missing_in_prod=%s; extra_in_prod=%s; type_mismatch=%s"
     return schema_diff(source, actual).select(
         *_finding(
             "bigquery",
@@ -221,7 +218,7 @@ def schema_mismatch(source: DataFrame, actual: DataFrame) -> DataFrame:
             name=F.col("object_name"),
             dataset=F.col("dataset"),
             source_technology="bq",
-            details=F.format_string(text, "missing_in_prod", "extra_in_prod", "type_mismatch"),
+            details=F.format_string(constants.SCHEMA_DIFFERS, "missing_in_prod", "extra_in_prod", "type_mismatch"),
         )
     )
 
@@ -273,7 +270,7 @@ def definition_mismatch(catalog: DataFrame, fragments: DataFrame, project: Colum
             name=F.col("object_name"),
             dataset=F.col("dataset"),
             source_technology="bq",
-            details="Source view definition and selected GCP view definition differ after normalization.",
+            details=F.lit(constants.DEFINITION_DIFFERS),
             source_hash=F.col("source_hash"),
             env_hash=F.col("env_hash"),
         )
