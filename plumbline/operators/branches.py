@@ -16,7 +16,6 @@ from plumbline.constants import (
     BRANCHES,
     COMMIT_MODE,
     DIFFERENCE_COLUMNS,
-    DIRECT,
     DIRECTIONS,
     MATRIX_ORDER,
     MERGE_BASE,

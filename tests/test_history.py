@@ -1,7 +1,6 @@
 import random
 from datetime import datetime
 
-from pyspark.sql import functions as F
 
 from plumbline.operators import history
 from tests.conftest import rows
