@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__
+from bindings import CHECKS, bound
 from bindings.compare import checker, compare
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, CHECKS = __spark_entry__.queries(), __spark_entry__.oracle_sql()
+QUERIES = bound()
 
 
 @pytest.fixture(scope="module")
