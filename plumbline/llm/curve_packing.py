@@ -27,8 +27,8 @@ PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\s{LETTE
 WORD_END = "</w>"
 
 #: Words and pieces whose ids a Python worker keeps; more are encoded again each time they are met.
-KEPT_WORDS = 500_000
-KEPT_PIECES = 500_000
+KEPT_WORDS = 600_000
+KEPT_PIECES = 700_000
 #: Pieces that are encoded in one call.
 AT_ONCE = 1000
 
@@ -63,9 +63,10 @@ class WordEncoder:
         for i in range(0, len(pieces), AT_ONCE):
             part = pieces[i : i + AT_ONCE]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype=self.kind)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist()
             if len(cuts) == len(part):
-                found.update(zip(part, (x.tobytes() for x in np.split(ids, cuts[:-1]))))
+                raw = ids.tobytes()
+                found.update(zip(part, [raw[a:b] for a, b in zip([0, *cuts], cuts)]))
             else:
                 found.update((p, self.whole(p)) for p in part)
         return found
@@ -73,20 +74,28 @@ class WordEncoder:
     def encode(self, words: list[str]) -> list[bytes]:
         out = list(map(self.words.get, words))
         missing = [i for i, ids in enumerate(out) if ids is None]
-        cut_up = {}
+        pieces, single, several, new = self.pieces, [], [], {}
         for i in missing:
             word = words[i]
-            if word.isprintable() and "<|" not in word and (word.isascii() or max(word) < "Ā"):
-                cut_up[i] = PIECE.findall(word.lower())
+            if word.isalpha() and (word.isascii() or max(word) < "\u0100"):
+                piece = word.lower()
+                ids = out[i] = pieces.get(piece)
+                if ids is None:
+                    single.append((i, piece))
+                    new[piece] = None
+            elif word.isprintable() and "<|" not in word and (word.isascii() or max(word) < "\u0100"):
+                own = PIECE.findall(word.lower())
+                several.append((i, own))
+                new.update((p, None) for p in own if p not in pieces)
             else:
                 out[i] = self.whole(word)
-        new = list(dict.fromkeys(p for pieces in cut_up.values() for p in pieces if p not in self.pieces))
-        fresh = self.encode_pieces(new)
-        if len(self.pieces) < KEPT_PIECES:
-            self.pieces.update(fresh)
-            fresh = {}
-        for i, pieces in cut_up.items():
-            out[i] = b"".join([self.pieces.get(p) or fresh[p] for p in pieces])
+        fresh = self.encode_pieces(list(new))
+        if len(pieces) < KEPT_PIECES:
+            pieces.update(fresh)
+        for i, piece in single:
+            out[i] = fresh[piece]
+        for i, own in several:
+            out[i] = b"".join([fresh[p] if p in fresh else pieces[p] for p in own])
         if len(self.words) < KEPT_WORDS:
             self.words.update((words[i], out[i]) for i in missing)
         return out
@@ -152,9 +161,11 @@ def tokenized(
             ids, at = gather(flat, np.cumsum(lengths) - lengths, lengths, codes)
             bounds = at[offsets]
             sums = np.zeros((batch.num_rows, dims))
-            full = bounds[1:] > bounds[:-1]
-            if full.any():
-                sums[full] = np.add.reduceat(directions[ids], bounds[:-1][full], axis=0, dtype=np.float64)
+            full = offsets[1:] > offsets[:-1]
+            if full.any():  # of each distinct word first
+                of_word, some = np.zeros((len(words), dims), dtype=np.float32), lengths > 0
+                of_word[some] = np.add.reduceat(directions[flat], (np.cumsum(lengths) - lengths)[some], axis=0) if len(flat) else 0
+                sums[full] = np.add.reduceat(of_word[codes], offsets[:-1][full], axis=0, dtype=np.float64)
             norm = np.maximum(np.sqrt((sums**2).sum(1)), 1e-9)[:, None]
             cells = np.clip(((sums / norm + 1) * (1 << bits - 1)).astype(np.int64), 0, (1 << bits) - 1)
             tail = np.array([end_id], dtype=coder.kind)
