@@ -126,89 +126,140 @@ def _all(frames: list[DataFrame]) -> DataFrame:
 
 
 CANDIDATES = "a long, b long"
+ROWS = "group long, id long, label long, n_shingles long, side int, signature binary"
+_COLUMNS = [f.split()[0] for f in ROWS.split(", ")]
 
 
-def _compare(spanning: bool, percent: int, margin: float):
-    """Candidate pairs of sorted groups (node, left block, right block) of member rows.
+def _near_pairs(table: pa.Table, percent: int, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a group that may be linked, and their estimates: left and right rows with other labels and close signatures."""
+    label, size, side = (table.column(c).to_numpy() for c in ("label", "n_shingles", "side"))
+    raw = b"".join(table.column("signature").to_pylist())
+    signatures = np.frombuffer(raw, dtype=np.uint8).reshape(len(label), -1)[:, -COORDINATES:]
+    left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
+    ok = label[left][:, None] != label[right][None, :]
+    low = np.minimum(size[left][:, None], size[right][None, :])
+    ok &= 100 * low >= percent * np.maximum(size[left][:, None], size[right][None, :])
+    x, y = np.nonzero(ok)
+    x, y = left[x], right[y]
+    if not len(x):
+        return x, y, np.zeros(0)
+    steps = range(0, len(x), 8192)
+    near = np.concatenate([(signatures[x[i : i + 8192]] == signatures[y[i : i + 8192]]).mean(axis=1) for i in steps])
+    good = near >= percent / 100 - margin
+    return x[good], y[good], near[good]
 
-    A pair is kept if its label differs, its set sizes allow the similarity and the signatures' estimate comes near
-    it. With ``spanning``, only a forest of the closest pairs is kept, which is enough if they hold.
-    """
-    least = percent / 100 - margin
-
-    def of_group(ids, labels, sizes, left, right, signatures):
-        rows, columns = np.flatnonzero(left), np.flatnonzero(right)
-        ok = labels[rows][:, None] != labels[columns][None, :]
-        low = np.minimum(sizes[rows][:, None], sizes[columns][None, :])
-        ok &= 100 * low >= percent * np.maximum(sizes[rows][:, None], sizes[columns][None, :])
-        x, y = np.nonzero(ok)
-        x, y = rows[x], columns[y]
-        if not len(x):
-            return []
-        near = np.concatenate([(signatures[x[i : i + 8192]] == signatures[y[i : i + 8192]]).mean(axis=1) for i in range(0, len(x), 8192)])
-        good = near >= least
-        x, y, near = x[good], y[good], near[good]
-        if spanning:
-            root = list(range(len(ids)))
-
-            def find(i):
-                while root[i] != i:
-                    root[i] = root[root[i]]
-                    i = root[i]
-                return i
 
-            kept = []
-            for k in np.argsort(-near, kind="stable"):
-                i, j = find(x[k]), find(y[k])
-                if i != j:
-                    root[i] = j
-                    kept.append(k)
-            x, y = x[kept], y[kept]
-        a, b = ids[x], ids[y]
-        return list(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
+class _Classes:
+    """Union-find over the rows of a group."""
+
+    def __init__(self, labels):
+        seen: dict = {}
+        self.root = [seen.setdefault(label, i) for i, label in enumerate(labels)]
+
+    def find(self, i: int) -> int:
+        while self.root[i] != i:
+            self.root[i] = self.root[self.root[i]]
+            i = self.root[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.find(i), self.find(j)
+        self.root[i] = j
+        return i != j
+
+
+def _pairs(table: pa.Table, pairs: list[tuple[int, int]]) -> pa.Table:
+    ids = table.column("id").to_numpy()
+    x, y = (ids[[p[i] for p in pairs]] for i in (0, 1)) if pairs else (ids[:0], ids[:0])
+    return pa.table({"a": pa.array(np.minimum(x, y), pa.int64()), "b": pa.array(np.maximum(x, y), pa.int64())})
+
+
+def _forest(percent: int, margin: float):
+    """A forest of a group's closest pairs, which is enough if they hold."""
+
+    def of_group(table):
+        x, y, near = _near_pairs(table, percent, margin)
+        classes = _Classes(range(table.num_rows))
+        return _pairs(table, [(x[k], y[k]) for k in np.argsort(-near, kind="stable") if classes.join(x[k], y[k])])
+
+    return of_group
+
+
+def _touched(percent: int, margin: float):
+    """The rows of a group that are in some pair."""
+
+    def of_group(table):
+        x, y, _ = _near_pairs(table, percent, margin)
+        return table.take(pa.array(np.union1d(x, y)))
+
+    return of_group
+
+
+def _linked(percent: int, margin: float):
+    """Links that join a group's classes, confirmed on the full sets in ``found``."""
+
+    def of_group(table):
+        x, y, near = _near_pairs(table, percent, margin)
+        sets = [np.frombuffer(s, dtype=np.uint64) for s in table.column("found").to_pylist()]
+        classes, links = _Classes(table.column("label").to_pylist()), []
+        for i in np.unique(x):
+            others = [j for j in y[x == i] if classes.find(i) != classes.find(j)]
+            if not others or not len(sets[i]):
+                continue
+            sizes = np.array([len(sets[j]) for j in others])
+            flat = np.concatenate([sets[j] for j in others])
+            place = np.minimum(np.searchsorted(sets[i], flat), len(sets[i]) - 1)
+            shared = np.add.reduceat((sets[i][place] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+            good = 100 * shared >= percent * (len(sets[i]) + sizes - shared)
+            links += [(i, j) for j, yes in zip(others, good) if yes and classes.join(i, j)]
+        return _pairs(table, links)
+
+    return of_group
+
+
+def _by_group(rows: DataFrame, of_group, schema: str) -> DataFrame:
+    """``of_group`` on each group of rows; a task holds one group at a time."""
+    names = [f.strip().split()[0] for f in schema.split(",")]
 
     def stream(batches):
-        held, key = [], None
+        held: list[pa.Table] = []
 
         def close():
-            ids, labels, sizes, sides = (np.array(v) for v in list(zip(*held))[:4])
-            signatures = np.frombuffer(b"".join(h[4] for h in held), dtype=np.uint8).reshape(len(held), -1)[:, -COORDINATES:]
-            return of_group(ids, labels, sizes, (sides & 1) > 0, (sides & 2) > 0, signatures)
+            table = pa.concat_tables(held).combine_chunks()
+            held.clear()
+            if table.num_rows > 1:
+                yield from of_group(table).select(names).to_batches()
 
         for batch in batches:
-            found = []
-            for group, *row in zip(*[batch.column(c).to_pylist() for c in ("group", "id", "label", "n_shingles", "side", "signature")]):
-                if group != key and held:
-                    if len(held) > 1:
-                        found += close()
-                    held = []
-                key = group
-                held.append(row)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*set(found))], ["a", "b"])
-        if len(held) > 1 and (found := set(close())):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
-
-    return stream
+            table = pa.Table.from_batches([batch])
+            groups = table.column("group").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(groups)) + 1), len(groups)]
+            for i, j in zip(edges, edges[1:]):
+                if j > i:
+                    if held and held[-1].column("group")[0].as_py() != groups[i]:
+                        yield from close()
+                    held.append(table.slice(i, j - i))
+        if held:
+            yield from close()
 
-
-def _grouped(rows: DataFrame, members: DataFrame, compare) -> DataFrame:
-    rows = rows.join(members.select("id", "n_shingles", "signature"), "id")
-    rows = rows.repartition("group").sortWithinPartitions("group")
-    return map_arrow(rows.select("group", "id", "label", "n_shingles", "side", "signature"), compare, CANDIDATES).distinct()
+    return map_arrow(rows.repartition("group").sortWithinPartitions("group"), stream, schema)
 
 
 def first_candidates(small: DataFrame, tight: DataFrame, members: DataFrame, percent: int, margin: float) -> DataFrame:
     """A forest of close pairs of each small node, and each tight node's members with its first member."""
     inside = small.select(F.col("node").alias("group"), "id", F.col("id").alias("label"), F.lit(3).alias("side"))
-    forest = _grouped(inside, members, _compare(True, percent, margin))
+    inside = inside.join(members.select("id", "n_shingles", "signature"), "id").select(_COLUMNS)
+    forest = _by_group(inside, _forest(percent, margin), CANDIDATES)
     firsts = tight.groupBy("node").agg(F.min("id").alias("a"))
     stars = tight.join(firsts, "node").where("id != a").select("a", F.col("id").alias("b"))
     return forest.unionByName(stars).distinct()
 
 
-def further_candidates(nodes: DataFrame, labels: DataFrame, members: DataFrame, percent: int, margin: float) -> DataFrame:
-    """All pairs of a node whose members are not of one class yet: those outside its largest class with all others, in blocks."""
+def open_rows(nodes: DataFrame, labels: DataFrame, members: DataFrame, percent: int, margin: float) -> DataFrame:
+    """Rows of nodes whose members are not of one class yet, in blocks: those outside a node's largest class meet all others.
+
+    Rows without a close partner of another class in their block are left out.
+    """
     labelled = cut(
         nodes.join(labels, "id", "left").select("node", "id", F.coalesce("label", "id").alias("label")), "open"
     )
@@ -229,7 +280,8 @@ def further_candidates(nodes: DataFrame, labels: DataFrame, members: DataFrame,
     left = many.where(other).select("node", "id", "label", own("lefts").alias("l"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rights") - 1)).alias("r"), F.lit(1).alias("side"))
     right = many.select("node", "id", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lefts") - 1)).alias("l"), own("rights").alias("r"), F.lit(2).alias("side"))
     blocks = left.unionByName(right).select(F.xxhash64("node", "l", "r").alias("group"), "id", "label", "side")
-    return _grouped(small.unionByName(blocks), members, _compare(False, percent, margin))
+    rows = small.unionByName(blocks).join(members.select("id", "n_shingles", "signature"), "id").select(_COLUMNS)
+    return cut(_by_group(rows, _touched(percent, margin), ROWS), "open")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -294,12 +346,11 @@ def near_classes(documents: DataFrame, percent: int = 85, width: int = WORDS, ma
     sets = _sets(documents, first_ids, width)
     links = cut(confirmed(first, sets, percent), "links")
     labels = cut(components(links), "labels")
-    more = further_candidates(small.unionByName(tight), labels, members, percent, margin)
-    more = cut(more.join(first, ["a", "b"], "left_anti"), "pairs")
-    if more.take(1):
-        more_ids = more.select(F.col("a").alias("id")).unionByName(more.select(F.col("b").alias("id"))).distinct()
-        links = links.unionByName(cut(confirmed(more, _sets(documents, more_ids, width), percent), "links"))
-        labels = components(links)
+    rows = open_rows(small.unionByName(tight), labels, members, percent, margin)
+    if rows.take(1):
+        full = rows.join(_sets(documents, rows.select("id").distinct(), width), "id").select(*_COLUMNS, "found")
+        more = _by_group(full, _linked(percent, margin), CANDIDATES).distinct()
+        labels = components(links.unionByName(cut(more, "links")))
     reached = classes.join(labels, "id", "left").select("high", "low", F.coalesce("label", "id").alias("label"))
     joined = docs.join(reached, ["high", "low"], "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("label"))
