@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import chunks, cut, map_arrow, split_words
+from plumbline.llm.common import chunks, cut, map_arrow, send_if_small, split_words
 from plumbline.session import cut_and_count
 
 WORDS = 5
@@ -368,11 +368,12 @@ def _sets(documents: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), pa.array(found, pa.binary())], ["id", "found"])
 
     texts = documents.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
+    ids = send_if_small(cut(ids, "ids"))
     return cut(map_arrow(texts.join(ids, "id", "left_semi"), find, "id long, found binary"), "sets")
 
 
 def one_of_each(documents: DataFrame, percent: int = 85, width: int = WORDS) -> DataFrame:
     """The rows of ``documents``, with all their columns, without those whose group keeps another document."""
     dropped = near_classes(documents, percent, width).where("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    dropped = cut(dropped, "dropped")
+    dropped = send_if_small(cut(dropped, "dropped"))
     return documents.join(dropped, documents["doc_id"] == dropped["_dropped"], "left_anti")

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumbline.session import scratch_path
 
@@ -29,6 +30,15 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Most keys (up to 40 bytes each) that are sent to every task; larger key tables are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def send_if_small(keys: DataFrame) -> DataFrame:
+    """Marks a written table of keys for broadcast if it has at most ``BROADCAST_KEYS`` rows."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 _shipped: set[str] = set()
 
 

@@ -12,7 +12,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut
+from plumbline.llm.common import cut, send_if_small
 
 WINDOW = 10
 #: Windows of a benchmark up to which they and their gram hashes are broadcast (about 0.2 KB each); more are joined by a shuffle.
@@ -103,7 +103,7 @@ def find_passages(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     grams = cut(gram_hashes(windows, lengths), "grams")
     small = windows.count() <= BROADCAST_WINDOWS
     scan = cut(scanned(documents, F.broadcast(grams) if small else grams, lengths), "scan")
-    hit_rows = scan.where("gram IS NOT NULL").select("row").distinct()
+    hit_rows = send_if_small(cut(scan.where("gram IS NOT NULL").select("row").distinct(), "hits"))
     suspects = documents.select(_row().alias("row"), "text").join(hit_rows, "row", "left_semi").dropDuplicates(["row"])
     suspects = cut(suspects.select("row", words(F.col("text")).alias("w")), "suspects")
     hashed = windows.withColumn("hash", F.xxhash64("window"))
@@ -137,4 +137,5 @@ def find_passages(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 def clean_documents(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``documents``, with all their columns, that hold no benchmark window."""
     found = find_passages(documents, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias("_hit")).distinct()
+    found = send_if_small(cut(found, "hits"))
     return documents.join(found, documents["doc_id"].cast("long").eqNullSafe(found["_hit"]), "left_anti")

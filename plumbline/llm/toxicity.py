@@ -24,7 +24,7 @@ BUCKETS, DIMS = 1 << 20, 8
 #: Fewest texts (counted word by word) that an n-gram must occur in to be trained.
 MIN_TEXTS = 5
 #: Most labelled rows a model is trained on: those with the smallest hashes of their ids.
-MAX_TRAIN = 4000
+MAX_TRAIN = 2500
 STEPS, RATE, DECAY, EPSILON = 100, 0.2, 1e-8, 1e-4
 _PRIME = np.uint64(0x100000001B3)
 
@@ -61,7 +61,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     value = (value ^ (value >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     order = np.argsort(owner, kind="stable")
     buckets = ((value >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64)
-    return buckets[order], np.bincount(owner, minlength=len(words))
+    return buckets[order].astype(np.int32), np.bincount(owner, minlength=len(words))
 
 
 @dataclass
@@ -127,7 +127,7 @@ def train(texts: pa.Array, toxic: np.ndarray, seed: int = 7) -> Model:
     in_texts = np.bincount(np.unique(bags.codes.astype(np.int64) * len(toxic) + text_of) // len(toxic), minlength=len(counts))
     common = np.bincount(buckets, np.repeat(in_texts, counts), minlength=BUCKETS) >= MIN_TEXTS
     places = np.flatnonzero(common)  # n-grams of fewer texts keep a zero vector
-    owners = np.repeat(np.arange(len(counts)), counts)[common[buckets]]
+    owners = np.repeat(np.arange(len(counts), dtype=np.int32), counts)[common[buckets]]
     buckets = np.searchsorted(places, buckets[common[buckets]])
     kept = np.bincount(owners, minlength=len(counts))
     rng = np.random.default_rng(seed)
