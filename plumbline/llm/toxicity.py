@@ -21,6 +21,8 @@ from plumbline.llm.common import chunks, map_arrow, ship, split_words
 BAG = 4
 SIZES = range(3, 6)
 BUCKETS, DIMS = 1 << 20, 8
+#: Distinct words that are scored at once inside a task.
+AT_ONCE = 20_000
 #: Fewest texts (counted word by word) that an n-gram must occur in to be trained.
 MIN_TEXTS = 5
 #: Most labelled rows a model is trained on: those with the smallest hashes of their ids.
@@ -110,7 +112,9 @@ class Model:
 
     def score(self, texts: pa.Array) -> np.ndarray:
         bags = bags_of(texts)
-        logits = _bag_sums(_word_scores(self.table, *subwords(bags.words)), bags) + self.bias
+        slices = [bags.words[i : i + AT_ONCE] for i in range(0, len(bags.words), AT_ONCE)]
+        by_word = np.concatenate([np.zeros(0), *(_word_scores(self.table, *subwords(words)) for words in slices)])
+        logits = _bag_sums(by_word, bags) + self.bias
         top = np.maximum.reduceat(logits, bags.text_starts) if len(logits) else logits
         return 1 / (1 + np.exp(-np.clip(top, -50, 50)))
 
