@@ -26,7 +26,7 @@ AT_ONCE = 20_000
 #: Fewest texts (counted word by word) that an n-gram must occur in to be trained.
 MIN_TEXTS = 5
 #: Most labelled rows a model is trained on: those with the smallest hashes of their ids.
-MAX_TRAIN = 2500
+MAX_TRAIN = 2000
 STEPS, RATE, DECAY, EPSILON = 100, 0.2, 1e-8, 1e-4
 _PRIME = np.uint64(0x100000001B3)
 
@@ -126,9 +126,12 @@ def train(texts: pa.Array, toxic: np.ndarray, seed: int = 7) -> Model:
     if not len(toxic) or toxic.min() == toxic.max():
         return Model(np.zeros(BUCKETS), bias)
     bags = bags_of(texts)
-    buckets, counts = subwords(bags.words)
+    parts = [subwords(bags.words[i : i + AT_ONCE]) for i in range(0, len(bags.words), AT_ONCE)]
+    buckets, counts = (np.concatenate([np.zeros(0, dtype=np.int32), *found]) for found in zip(*parts)) if parts else (np.zeros(0, dtype=np.int32),) * 2
+    del parts
     text_of = np.repeat(np.arange(len(toxic)), np.add.reduceat(bags.bag_sizes, bags.text_starts))
     in_texts = np.bincount(np.unique(bags.codes.astype(np.int64) * len(toxic) + text_of) // len(toxic), minlength=len(counts))
+    del text_of
     common = np.bincount(buckets, np.repeat(in_texts, counts), minlength=BUCKETS) >= MIN_TEXTS
     places = np.flatnonzero(common)  # n-grams of fewer texts keep a zero vector
     owners = np.repeat(np.arange(len(counts), dtype=np.int32), counts)[common[buckets]]
@@ -178,9 +181,10 @@ def fit(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) ->
     chosen = one.orderBy(F.xxhash64("_id"), "_id").limit(max_train)
     rows = documents.join(F.broadcast(chosen), documents["doc_id"] == chosen["_id"])  # max_train rows of 12 bytes
     table = rows.select(F.col("text").cast("string").alias("text"), "_toxic", "_id").orderBy("_id").limit(max_train).toArrow()
-    table = table.combine_chunks()
-    texts = table.column("text").chunk(0) if table.num_rows else pa.array([], pa.string())
-    return train(texts, (table.column("_toxic").to_numpy() > 0).astype(float))
+    toxic = (table.column("_toxic").to_numpy() > 0).astype(float)
+    texts = pa.concat_arrays(table.column("text").chunks) if table.num_rows else pa.array([], pa.string())
+    del table
+    return train(texts, toxic)
 
 
 def scores(documents: DataFrame, model: Model) -> DataFrame:
