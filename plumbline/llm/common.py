@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from plumbline.session import scratch_path
 
 #: Characters of text that are worked on at once inside a task.
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 3_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -27,8 +27,8 @@ PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\s{LETTE
 WORD_END = "</w>"
 
 #: Words and pieces whose ids a Python worker keeps; more are encoded again each time they are met.
-KEPT_WORDS = 250_000
-KEPT_PIECES = 350_000
+KEPT_WORDS = 150_000
+KEPT_PIECES = 250_000
 #: Pieces that are encoded in one call.
 AT_ONCE = 1000
 
