@@ -149,7 +149,7 @@ def ci_block(c: Column, name: str, indent: int = 0, whole_tail: bool = False) ->
     begun, including later blocks, as a dot-matches-newline pattern would.
     """
     pad, inner = " " * indent, " " * (indent + 2)
-    line = rf"{inner}(?s:.*)" if whole_tail else rf"(?:{inner}[^\n]*\n?)*"
+    line = rf"{inner}(?s:.*)" if whole_tail else rf"(?:{inner}[^\n]*+\n?+)*+"  # possessive: a long block needs no stack
     return F.regexp_extract(c, rf"(?m)^{pad}\Q{name}\E:\s*\n({line})", 1)
 
 

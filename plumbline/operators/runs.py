@@ -34,16 +34,11 @@ def at_latest(fact: DataFrame, latest: DataFrame, run_columns: list[str]) -> Dat
     """Fact rows of one run, with columns of that run.
 
     The id is compared as a scalar subquery, which reaches the parquet scan as
-    a filter; the broadcast side is the single run. A fact partitioned by
-    ``run_date`` is read only around the day of the run: a run writes its own
-    date, which can differ by one from the date of its record.
+    a filter; the broadcast side is the single run. Rows are found by the id
+    alone, whatever their ``run_date`` says.
     """
+    latest = latest.limit(1)
     wanted = latest.select("execution_id").scalar()
-    if "run_date" in fact.columns:
-        day = F.to_date("execution_ts")
-        since = latest.select(F.date_sub(day, 1).alias("d")).scalar()
-        until = latest.select(F.date_add(day, 1).alias("d")).scalar()
-        fact = fact.where((F.col("run_date") >= since) & (F.col("run_date") <= until))
     run = F.broadcast(latest.select("execution_id", *run_columns))
     return fact.where(F.col("execution_id") == wanted).join(run, "execution_id")
 
