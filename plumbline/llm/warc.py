@@ -31,6 +31,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = b"\r\n\r\n"
 
 _START = re.compile(rb"WARC/1\.[01]\r\n")
+_CONTROL = re.compile(rb"[\x00-\x08\x0b-\x1f\x7f]")
 _MEMBER = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]")
 
 
@@ -98,7 +99,7 @@ def _headers(raw: bytes) -> dict[str, str]:
     found = {}
     for line in raw.split(b"\r\n")[1:]:
         name, mark, value = line.partition(b":")
-        if not mark:
+        if not mark or _CONTROL.search(line):
             raise ValueError("header line")
         found[name.strip().lower().decode("utf-8", "strict")] = value.strip().decode("utf-8", "strict")
     return found
