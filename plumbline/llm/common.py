@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -12,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from plumbline.session import scratch_path
 
@@ -59,10 +61,23 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` with this package at hand in the workers."""
+def give_back_memory() -> None:
+    """Return freed memory to the system: an idle Python worker would keep it while others run."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim:
+        trim(0)
+
+
+def map_arrow(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` with this package at hand in the workers, which give memory back after each task."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def task(batches):
+        yield from function(batches)
+        give_back_memory()
+
+    return df.mapInArrow(task, schema)
 
 
 def chunks(batches, column: str = "text") -> Iterator[pa.RecordBatch]:

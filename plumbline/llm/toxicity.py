@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import chunks, map_arrow, ship, split_words
+from plumbline.llm.common import chunks, map_arrow, split_words
 
 BAG = 4
 SIZES = range(3, 6)
@@ -208,5 +208,4 @@ def without_toxic(documents: DataFrame, model: Model, limit: float = 0.7) -> Dat
         for batch in chunks(batches):
             yield batch.filter(pa.array(model.score(batch.column("text")) < limit))
 
-    ship(documents.sparkSession)
-    return texts.mapInArrow(keep, texts.schema)
+    return map_arrow(texts, keep, texts.schema)
