@@ -256,7 +256,7 @@ def first_candidates(small: DataFrame, tight: DataFrame, members: DataFrame, per
 
 
 def open_rows(nodes: DataFrame, labels: DataFrame, members: DataFrame, percent: int, margin: float) -> DataFrame:
-    """Rows of nodes whose members are not of one class yet, in blocks: those outside a node's largest class meet all others.
+    """Rows of nodes whose members are not of one class yet, in blocks: those outside a node's largest class meet all others, once.
 
     Rows without a close partner of another class in their block are left out.
     """
@@ -269,17 +269,25 @@ def open_rows(nodes: DataFrame, labels: DataFrame, members: DataFrame, percent:
         F.sum("n").alias("all"),
         (F.sum("n") - F.max("n")).alias("others"),
     ).where("others > 0")
-    rows = labelled.join(
-        largest.select("node", "top", F.ceil(F.col("others") / BLOCK).alias("lefts"), F.ceil(F.col("all") / BLOCK).alias("rights")), "node"
-    )
+    split = largest.select("node", "top", F.ceil(F.col("others") / BLOCK).alias("lefts"), F.ceil((F.col("all") - F.col("others")) / BLOCK).alias("tops"), "all")
+    rows = labelled.join(split, "node")
     other = F.col("label") != F.col("top")
-    one = (F.col("lefts") == 1) & (F.col("rights") == 1)
-    small = rows.where(one).select(F.xxhash64("node", F.lit(0), F.lit(0)).alias("group"), "id", "label", F.when(other, 3).otherwise(2).alias("side"))
-    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    one = F.col("all") <= BLOCK
+    small = rows.where(one).select(F.xxhash64("node", F.lit(-1), F.lit(-1)).alias("group"), "id", "label", F.when(other, 3).otherwise(2).alias("side"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias("at")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).alias("own")
     many = rows.where(~one)
-    left = many.where(other).select("node", "id", "label", own("lefts").alias("l"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rights") - 1)).alias("r"), F.lit(1).alias("side"))
-    right = many.select("node", "id", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lefts") - 1)).alias("l"), own("rights").alias("r"), F.lit(2).alias("side"))
-    blocks = left.unionByName(right).select(F.xxhash64("node", "l", "r").alias("group"), "id", "label", "side")
+    # Blocks outside the largest class meet each other once, and each block of the largest class.
+    outside = many.where(other).select("node", "id", "label", own("lefts"), each("lefts"))
+    among = outside.select(
+        F.xxhash64("node", F.least("own", "at"), F.greatest("own", "at"), F.lit(0)).alias("group"), "id", "label",
+        F.when(F.col("own") < F.col("at"), 1).when(F.col("own") > F.col("at"), 2).otherwise(3).alias("side"),
+    )
+    left = many.where(other).select("node", "id", "label", own("lefts"), each("tops"))
+    left = left.select(F.xxhash64("node", "own", "at", F.lit(1)).alias("group"), "id", "label", F.lit(1).alias("side"))
+    right = many.where(~other).select("node", "id", "label", own("tops"), each("lefts"))
+    right = right.select(F.xxhash64("node", "at", "own", F.lit(1)).alias("group"), "id", "label", F.lit(2).alias("side"))
+    blocks = among.unionByName(left).unionByName(right)
     rows = small.unionByName(blocks).join(members.select("id", "n_shingles", "signature"), "id").select(_COLUMNS)
     return cut(_by_group(rows, _touched(percent, margin), ROWS), "open")
 

@@ -111,6 +111,26 @@ def test_large_nodes(table):
     assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
 
 
+def test_common_passage(table, monkeypatch):
+    """A passage that all share keeps nodes large, while only some documents are linked: blocks must meet completely."""
+    monkeypatch.setattr(chosen_path, "BLOCK", 32)
+    monkeypatch.setattr(chosen_path, "SMALL_NODE", 16)
+    rng = np.random.default_rng(5)
+    passage, rows = [f"w{j}" for j in range(60)], []
+    for i in range(300):
+        tail = [f"t{i // 2}_{j}" for j in range(12)] if i % 5 < 3 else [f"u{i}_{j}" for j in range(int(rng.integers(9, 15)))]
+        rows.append((i, " ".join(passage + tail[:-1] + [f"x{i}"])))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    label = {i: i for i in sets}
+    for b in sets:  # ids in order, so a label is always the smallest id reached so far
+        for a in range(b):
+            if label[a] != label[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                low, high = sorted((label[a], label[b]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    got = {r.doc_id: r.component_id for r in chosen_path.near_classes(table("doc_id long, text string", *rows)).collect()}
+    assert got == label and 100 < len(set(label.values())) < 300
+
+
 def test_shards(edges, empty):
     rows = hash_tree.place(edges, hash_tree.regular_tree(3), hash_tree.regular_tree(4)).collect()
     assert len(rows) == len(EDGES)
