@@ -188,13 +188,14 @@ SELECT r.repo, p.discrepancy, 'origin/' || p.left_name AS left_branch, 'origin/'
              AND EXISTS (SELECT 1 FROM {{tips}} t WHERE t.repo = r.repo AND t.branch = p.right_name) THEN 'ok' ELSE 'missing_branch' END AS status
 FROM {{repos}} r, {PAIRS}"""
 V["sided"] = f"""
-SELECT p.discrepancy, c.repo, c.sha, c.patch_id,
-       EXISTS (SELECT 1 FROM {{closure}} b WHERE b.repo = c.repo AND b.sha = c.sha AND b.branch = p.left_name) AS in_left,
-       EXISTS (SELECT 1 FROM {{closure}} b WHERE b.repo = c.repo AND b.sha = c.sha AND b.branch = p.right_name) AS in_right
-FROM {{commits}} c, {PAIRS} WHERE NOT c.is_merge"""
+SELECT p.discrepancy, c.repo, c.sha, c.patch_id, coalesce(list_contains(b.branches, p.left_name), false) AS in_left,
+       coalesce(list_contains(b.branches, p.right_name), false) AS in_right
+FROM {{commits}} c LEFT JOIN (SELECT repo, sha, list(DISTINCT branch) AS branches FROM {{closure}} GROUP BY repo, sha) b ON b.repo = c.repo AND b.sha = c.sha, {PAIRS}
+WHERE NOT c.is_merge"""
 V["unique_commits"] = """
-SELECT u.repo, u.discrepancy, u.sha FROM {sided} u WHERE u.in_right AND NOT u.in_left
-AND NOT EXISTS (SELECT 1 FROM {sided} l WHERE l.discrepancy = u.discrepancy AND l.repo = u.repo AND l.patch_id = u.patch_id AND l.in_left AND NOT l.in_right)"""
+SELECT u.repo, u.discrepancy, u.sha FROM {sided} u
+ANTI JOIN (SELECT DISTINCT discrepancy, repo, patch_id FROM {sided} WHERE in_left AND NOT in_right) l
+ON l.discrepancy = u.discrepancy AND l.repo = u.repo AND l.patch_id = u.patch_id WHERE u.in_right AND NOT u.in_left"""
 V["commit_counts"] = """
 SELECT u.repo, u.discrepancy, count(DISTINCT u.sha) AS unique_commits, count(DISTINCT f.path) AS unique_files, count(f.path) AS total_file_lines
 FROM {unique_commits} u LEFT JOIN {commit_files} f ON f.repo = u.repo AND f.sha = u.sha GROUP BY ALL"""
