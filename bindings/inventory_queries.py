@@ -247,13 +247,10 @@ WHERE (product, dataset, object_name) IN (SELECT (product, dataset, object_name)
   AND (s IS NULL OR e IS NULL OR replace(upper(s), ', ', ',') <> replace(upper(e), ', ', ','))"""
 
 
-def names_of(kind: str) -> str:
-    return f"'[' || coalesce(string_agg('''' || column_name || '''', ', ' ORDER BY column_name) FILTER (WHERE difference = '{kind}'), '') || ']'"
-
-
-V["schema_diff"] = f"""
-SELECT product, dataset, object_name, 0 AS part, {names_of('missing')} AS missing_in_prod, {names_of('extra')} AS extra_in_prod, {names_of('retyped')} AS type_mismatch
-FROM {{column_diff}} GROUP BY product, dataset, object_name"""
+V["schema_diff"] = """
+SELECT product, dataset, object_name, count(*) FILTER (WHERE difference = 'missing') AS missing_in_prod, count(*) FILTER (WHERE difference = 'extra') AS extra_in_prod,
+       count(*) FILTER (WHERE difference = 'retyped') AS type_mismatch
+FROM {column_diff} GROUP BY product, dataset, object_name"""
 V["f_schema"] = finding("schema_mismatch", "'bq'", "'missing_in_prod=' || missing_in_prod || '; extra_in_prod=' || extra_in_prod || '; type_mismatch=' || type_mismatch", "{schema_diff}")
 
 
@@ -268,6 +265,23 @@ def _(v):
     return reconcile.schema_diff(inventory.ddl_columns(parsed(v)), v.catalog_columns)
 
 
+V["wide_columns"] = "SELECT 'p' AS product, 'd' AS dataset, l_returnflag AS object_name, 'c' || l_orderkey || '_' || l_linenumber AS column_name, l_linenumber AS n FROM {lineitem}"
+
+
+@query("schema_diff_wide", """
+SELECT product, dataset, object_name, count(*) FILTER (WHERE n = 2) AS missing_in_prod, count(*) FILTER (WHERE n = 1) AS extra_in_prod, count(*) FILTER (WHERE n = 3) AS type_mismatch
+FROM (SELECT DISTINCT * FROM {wide_columns}) GROUP BY ALL""")
+def _(v):
+    """Three objects that share all order lines as their columns."""
+    name = F.concat(F.lit("c"), F.col("l_orderkey"), F.lit("_"), F.col("l_linenumber"))
+    columns = v.lineitem.select(
+        F.lit("p").alias("product"), F.lit("d").alias("dataset"), F.col("l_returnflag").alias("object_name"), name.alias("column_name"), "l_linenumber"
+    )
+    source = columns.where("l_linenumber <> 1").withColumn("data_type", F.lit("INT64"))
+    actual = columns.where("l_linenumber <> 2").withColumn("data_type", F.when(F.col("l_linenumber") == 3, F.lit("BYTES")).otherwise(F.lit("int64")))
+    return reconcile.schema_diff(source, actual)
+
+
 V["view_pairs"] = f"""
 SELECT s.product, s.dataset, s.object_name,
        sha256('select id, ''' || lower(p.p_name) || ''' as n from ' || lower(s.dataset) || '.base') AS source_hash,
@@ -287,6 +301,24 @@ def _(v):
     return reconcile.definition_mismatch(catalog(v), fragments, F.lit("proj"))
 
 
+V["split_views"] = """
+SELECT product, dataset, object_name, '1.sql' AS path, 'select id, ''' || lower(p_name) || ''' as n' AS text, p_partkey FROM {catalog_tables} WHERE variant = 2
+UNION ALL SELECT product, dataset, object_name, '2.sql' AS path, 'from ' || lower(dataset) || '.base' AS text, p_partkey FROM {catalog_tables} WHERE variant = 2"""
+
+
+@query("definition_diff_split", """
+SELECT product, dataset, object_name AS name, sha256(cast(sum(cast('0x' || substring(sha256(path || chr(10) || sha256(text)), 1, 15) AS BIGINT)) AS string)) AS source_hash
+FROM {split_views} WHERE p_partkey % 4 = 0 GROUP BY product, dataset, object_name""")
+def _(v):
+    """Every view in two files; a finding always carries a source hash."""
+    views = v.catalog_tables.where("variant = 2").select("product", "dataset", "object_name", "p_name")
+    head = F.concat(F.lit("CREATE VIEW proj.d.v AS SELECT id, '"), "p_name", F.lit("' AS n"))
+    texts = F.array(F.struct(F.lit("1.sql").alias("path"), head.alias("text")), F.struct(F.lit("2.sql").alias("path"), F.concat(F.lit("FROM `"), "dataset", F.lit(".base`;")).alias("text")))
+    fragments = views.select("product", "dataset", "object_name", F.inline(texts))
+    actual = v.catalog_views.withColumn("ddl", F.lit(None).cast("string")).withColumnRenamed("view_definition", "view_query")
+    return reconcile.definition_mismatch(actual, fragments, F.lit("proj")).select("product", "dataset", "name", "source_hash")
+
+
 FINDINGS = ["f_catalog", "f_source", "f_type", "f_schema", "f_definition"]
 V["catalog_findings"] = " UNION ALL BY NAME ".join(f"SELECT * FROM {{{f}}}" for f in FINDINGS)
 
@@ -308,12 +340,20 @@ def _(v):
     return reconcile.ledger_findings(catalog_findings(v), files)
 
 
+V["source_paths"] = """
+SELECT DISTINCT f.product, f.dataset, f.name, f.source_technology, p.path FROM {catalog_findings} f
+JOIN (SELECT product, dataset, object_name, 'bq' AS kind, path FROM {ddl_expected}
+      UNION ALL SELECT product, NULL, object_name, 'dbt_model', relative_path FROM {model_names}) p
+  ON p.kind = f.source_technology AND p.product = f.product AND p.object_name = f.name AND p.dataset IS NOT DISTINCT FROM f.dataset"""
 V["finding_sources"] = """
-SELECT f.*, CASE WHEN d.paths IS NOT NULL OR m.relative_path IS NOT NULL THEN 0 END AS part, coalesce(d.paths, m.relative_path) AS source_path
-FROM {catalog_findings} f
-LEFT JOIN (SELECT product, dataset, object_name, string_agg(path, ', ' ORDER BY path) AS paths FROM {ddl_expected} GROUP BY ALL) d
-  ON f.source_technology = 'bq' AND d.product = f.product AND d.object_name = f.name AND d.dataset IS NOT DISTINCT FROM f.dataset
-LEFT JOIN {model_names} m ON f.source_technology = 'dbt_model' AND m.product = f.product AND m.object_name = f.name"""
+SELECT f.*, coalesce(p.n, 0) AS source_files, p.source_path FROM {catalog_findings} f
+LEFT JOIN (SELECT product, dataset, name, source_technology, count(*) AS n, min(path) AS source_path FROM {source_paths} GROUP BY ALL) p
+  ON p.source_technology = f.source_technology AND p.product = f.product AND p.name = f.name AND p.dataset IS NOT DISTINCT FROM f.dataset"""
+
+
+@query("source_paths", "SELECT * FROM {source_paths}")
+def _(v):
+    return reconcile.source_paths(catalog_findings(v), parsed(v), models(v))
 
 
 def finding_sources(v):
@@ -335,13 +375,7 @@ FROM (SELECT *, row_number() OVER (ORDER BY {name}, product, coalesce(dataset, '
 
 @query("render_findings", line_sql())
 def _(v):
-    files = reconcile.compare_files(source_inventory(v), deployed_inventory(v))
-    rows = finding_sources(v).unionByName(files, allowMissingColumns=True)
-    seq = F.struct("product", F.coalesce("dataset", F.lit("")).alias("d"), "name", "status")
-    return sinks.render_findings(
-        rows.select(F.when(F.col("area") == "gcs", F.lit(1)).otherwise(F.lit(0)).alias("section"), seq.alias("seq"),
-                    "status", "name", "source_technology", "source_path", "details")
-    )
+    return reports.numbered(finding_sources(v), reconcile.compare_files(source_inventory(v), deployed_inventory(v)))
 
 
 @query("env_run_summary", """
@@ -584,9 +618,9 @@ def _(v):
     return v.spark.read.schema("record string, section string").json(path).select("section", "record")
 
 
-def stream_of_runs(v):
+def stream_of_runs(v, folder=None):
     """The event table as a stream of run records."""
-    stream = v.spark.readStream.schema(v.events.schema).option("pathGlobFilter", "events.parquet").parquet(v.folder)
+    stream = v.spark.readStream.schema(v.events.schema).option("pathGlobFilter", "*.parquet" if folder else "events.parquet").parquet(folder or v.folder)
     kind = (
         F.when(F.col("event_type") == "click", F.lit("commit_drift")).when(F.col("event_type") == "view", F.lit("file_drift"))
         .when(F.col("event_type") == "purchase", F.lit("env_drift")).otherwise(F.lit("orphan_datasets"))
@@ -603,6 +637,16 @@ def _(v):
     return as_given(ledger_stream.read_ingested(v.spark, f"{base}/out"))
 
 
+@query("ingest_stream_batches", "SELECT execution_id, report_type, execution_ts, status FROM {runs}")
+def _(v):
+    """Runs of late days of a month come first, then all: late runs arrive, repeats do not."""
+    base = scratch_path(v.spark, "stream")
+    for part in (v.events.where(F.dayofmonth("ts") > 15), v.events):
+        part.write.mode("append").parquet(f"{base}/in")
+        ledger_stream.ingest_runs(stream_of_runs(v, f"{base}/in"), f"{base}/out", f"{base}/state").awaitTermination()
+    return as_given(ledger_stream.read_ingested(v.spark, f"{base}/out"))
+
+
 @query("daily_summary_stream", "SELECT * FROM {daily}")
 def _(v):
     base = scratch_path(v.spark, "stream")

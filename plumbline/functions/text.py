@@ -18,9 +18,12 @@ from plumbline.functions.labels import blank_to_null
 SPACES = (
     r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 )
-# An identifier, and a type that may nest angle brackets three deep or take arguments.
 NAME = r"[\w\-]+"
-TYPE = r"[A-Za-z0-9_]+(?:\s*<(?:[^<>]++|<(?:[^<>]++|<[^<>]*+>)*+>)*+>|\s*\([^()]*+\))?"
+# Quoted text, and comments. Loops are possessive, so that a long text needs no stack.
+QUOTED = r'"""(?s:.*?)"""|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|\'[^\'\\\n]*+(?:\\.[^\'\\\n]*+)*+\''
+COMMENT = r"--[^\n]*+|/\*(?s:.*?)\*/"
+# Stands behind the bracket that closes a type, while columns are split.
+TYPE_END = "\u0001"
 QUALIFIED = rf"`?(?:(?:{NAME})\.)?({NAME})\.({NAME})`?"
 # Object kinds a definition can create, strongest first.
 KINDS = ["materialized view", "view", "table", "procedure", "function"]
@@ -48,10 +51,19 @@ def strip_project(c: Column, project: Column) -> Column:
     return F.regexp_replace(text, F.concat(F.lit(r"\b"), quoted_project, F.lit(pair + r"\b")), F.lit("$1"))
 
 
+def strip_comments(c: Column) -> Column:
+    """Text without comments; what looks like one inside quotes stays."""
+    return F.regexp_replace(c, rf"({QUOTED}|`[^`\n]*+`)|{COMMENT}", "$1")
+
+
 def definition_body(c: Column) -> Column:
-    """View text without its ``create … as`` head, so a file and a catalog body compare."""
-    head = rf"(?is)^.*?\bcreate\s+(?:or\s+replace\s+)?(?:materialized\s+)?view\s+(?:if\s+not\s+exists\s+)?{QUALIFIED}.*?\bas\b"
-    body = F.regexp_replace(c, head, "")
+    """View text without its ``create … as`` head, so a file and a catalog body compare.
+
+    The head ends at the first word ``as`` outside quotes and comments.
+    """
+    create = rf"\bcreate\s+(?:or\s+replace\s+)?(?:materialized\s+)?view\s+(?:if\s+not\s+exists\s+)?{QUALIFIED}"
+    unit = rf"(?:{QUOTED}|(?!as\b)\w++|[^\w\"']|[\"'])"
+    body = F.regexp_replace(strip_comments(c), rf"(?i)^(?s:.*?){create}{unit}*+as\b", "")
     return F.regexp_replace(body, r"[\s;]+$", "")
 
 
@@ -87,45 +99,73 @@ def _clean_type(c: Column) -> Column:
     return F.upper(F.regexp_replace(F.trim(c), r"\s*([,<>()])\s*", "$1"))
 
 
-def _pairs(names: Column, types: Column) -> Column:
-    """Array of (name, type) structs in text order; a name may occur again."""
-    return F.transform(names, lambda n, i: F.struct(n.alias("name"), _clean_type(F.get(types, i)).alias("type")))
+def _top_level_items(c: Column) -> Column:
+    """Comma-separated items of ``c`` up to the parenthesis that closes them, whatever is nested in them.
 
+    One pass over brackets and the text between them keeps the depths. The end
+    of an outermost angle bracket is marked, so a type can be cut out later.
+    ``closed`` is false when the text ends first.
+    """
+    tokens = F.regexp_extract_all(c, F.lit(r"[(),<>]|[^(),<>]++"), F.lit(0))
+    zero, none = F.lit(0), F.array().cast("array<string>")
+    start = F.struct(
+        zero.alias("round"), zero.alias("angle"), F.lit(False).alias("closed"), F.lit("").alias("item"), none.alias("items")
+    )
 
-def as_map(pairs: Column) -> Column:
-    """Map of (name, type) structs; the last type of a repeated name stands."""
-    empty = F.create_map().cast("map<string,string>")
-    return F.aggregate(
-        pairs,
-        empty,
-        lambda acc, p: F.map_concat(F.map_filter(acc, lambda k, v: k != p["name"]), F.create_map(p["name"], p["type"])),
+    def step(s: Column, t: Column) -> Column:
+        outside = s["round"] == 0
+        ends = (t == ")") & outside
+        splits = (t == ",") & outside & (s["angle"] == 0)
+        turn = F.when(t == "(", F.lit(1)).when(t == ")", F.lit(-1)).otherwise(zero)
+        bend = F.when(outside & (t == "<"), F.lit(1)).when(outside & (t == ">") & (s["angle"] > 0), F.lit(-1)).otherwise(zero)
+        token = F.when((bend == -1) & (s["angle"] == 1), F.concat(t, F.lit(TYPE_END))).otherwise(t)
+        cut = F.struct(
+            zero.alias("round"), zero.alias("angle"), ends.alias("closed"), F.lit("").alias("item"),
+            F.concat(s["items"], F.array(s["item"])).alias("items"),
+        )
+        grown = F.struct(
+            (s["round"] + turn).alias("round"), (s["angle"] + bend).alias("angle"), F.lit(False).alias("closed"),
+            F.concat(s["item"], token).alias("item"), s["items"].alias("items"),
+        )
+        return F.when(s["closed"], s).when(ends | splits, cut).otherwise(grown)
+
+    def finish(s: Column) -> Column:
+        rest = F.when(s["closed"], none).otherwise(F.array(s["item"]))
+        return F.struct(F.concat(s["items"], rest).alias("items"), s["closed"].alias("closed"))
+
+    return F.aggregate(tokens, start, step, finish)
+
+
+def _pairs(items: Column) -> Column:
+    """(name, type) structs of items that begin with both, in text order; a name may occur again."""
+    column = rf"^\s*`?({NAME})`?\s+(\w+(?:\s*<[^{TYPE_END}]*|\s*\([^()]*+\))?)"
+    pairs = F.transform(
+        items,
+        lambda i: F.struct(F.regexp_extract(i, column, 1).alias("name"), _clean_type(F.regexp_extract(i, column, 2)).alias("type")),
     )
+    return F.filter(pairs, lambda p: p["name"] != "")
 
 
 def create_columns(c: Column) -> Column:
     """(name, type) structs of a CREATE TABLE body, split at top-level commas.
 
-    The body is the balanced parenthesis that OPTIONS, PARTITION, CLUSTER or the
-    end of the statement follows.
+    Quoted strings and comments are blanked first, so brackets and commas in
+    them count for nothing; brackets may nest to any depth. A body that never
+    closes has no columns.
     """
-    nested = r"(?:[^()]++|\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\))*+"
-    head = rf"create\s+(?:or\s+replace\s+)?table\s+(?:if\s+not\s+exists\s+)?{QUALIFIED}\s*"
-    # Comment lines, and line ends that are a comment for certain (no quote in them).
-    comments = r"""(?m)^\s*--[^\n]*|--[^\n"']*$"""
-    body = F.regexp_extract(
-        F.regexp_replace(c, comments, ""), rf"(?i){head}\(({nested})\)\s*(?:options|partition|cluster|;)", 3
-    )
-    rest = r"(?:[^,()<>]++|\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\))*+"
-    column = rf"(?:^|,)\s*(?:--[^\n]*\n\s*)*`?(\w[\w\-]*)`?\s+({TYPE}){rest}(?=,|$)"
-    return _pairs(
-        F.regexp_extract_all(body, F.lit(column), F.lit(1)), F.regexp_extract_all(body, F.lit(column), F.lit(2))
-    )
+    head = rf"(?i)create\s+(?:or\s+replace\s+)?table\s+(?:if\s+not\s+exists\s+)?{QUALIFIED}\s*\((?s:(.*))$"
+    plain = F.regexp_replace(c, rf"{QUOTED}|{COMMENT}", " ")
+    none = F.array().cast("array<struct<name:string,type:string>>")
+    body = F.transform(F.array(F.regexp_extract(plain, head, 3)), _top_level_items)  # bound once, read twice below
+    return F.get(F.transform(body, lambda b: F.when(b["closed"], _pairs(b["items"])).otherwise(none)), F.lit(0))
 
 
 def added_columns(c: Column) -> Column:
     """(name, type) structs of ALTER … ADD COLUMN clauses."""
-    clause = rf"(?i)add\s+column(?:\s+if\s+not\s+exists)?\s+`?({NAME})`?\s+({TYPE})"
-    return _pairs(F.regexp_extract_all(c, F.lit(clause), F.lit(1)), F.regexp_extract_all(c, F.lit(clause), F.lit(2)))
+    plain = F.regexp_replace(c, rf"{QUOTED}|{COMMENT}", " ")
+    clauses = F.split(plain, r"(?i)\badd\s+column(?:\s+if\s+not\s+exists)?(?=[\s`])")
+    first = F.transform(F.slice(clauses, 2, F.greatest(F.size(clauses) - 1, F.lit(0))), lambda x: F.get(_top_level_items(x)["items"], F.lit(0)))
+    return _pairs(first)
 
 
 def materialization(c: Column) -> Column:

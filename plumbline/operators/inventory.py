@@ -121,14 +121,9 @@ def ci_settings(text: Column, jobs: Sequence[str] = DEPLOY_JOBS, whole_tail: boo
 
 
 def settings_table(ci_files: DataFrame, jobs: Sequence[str] = DEPLOY_JOBS) -> DataFrame:
-    """Effective settings per repository as rows, the last pair of a key standing.
-
-    A CI file is one cell, so the precedence is resolved inside the row.
-    """
-    pairs = ci_files.select("repo", ci_settings(F.col("text"), jobs).alias("pairs"))
-    rows = pairs.select("repo", "pairs", F.posexplode("pairs").alias("at", "p"))
-    later = F.exists(F.slice("pairs", F.col("at") + 2, F.size("pairs")), lambda x: x["key"] == F.col("p.key"))
-    return rows.where(~later).select("repo", F.col("p.key").alias("key"), F.col("p.value").alias("value"))
+    """Effective settings per repository as rows, the last pair of a key standing."""
+    pairs = ci_files.select("repo", F.posexplode(ci_settings(F.col("text"), jobs)).alias("at", "p"))
+    return pairs.groupBy("repo", F.col("p.key").alias("key")).agg(F.max_by(F.col("p.value"), "at").alias("value"))
 
 
 def branch_texts(remote: DataFrame, local: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from plumbline import constants
 from plumbline.functions.labels import canonical_type, finding_severity, is_deployable, technology
 from plumbline.functions.text import definition_body, normalize_sql, strip_project
-from plumbline.operators.skew import with_parts
 from plumbline.session import cut_lineage
 
 FINDING = ["area", "product", "name", "dataset", "status", "severity", "source_technology", "details", "source_hash", "env_hash"]
@@ -189,27 +188,16 @@ def column_diff(source: DataFrame, actual: DataFrame, keys: Sequence[str] = OBJE
     return changed.join(two_sided, keys, "left_semi")
 
 
-def schema_diff(source: DataFrame, actual: DataFrame, part_size: int = 1000) -> DataFrame:
-    """Column differences per object as sorted lists.
-
-    An object with more than ``part_size`` differing columns is reported in
-    several parts, so no list grows without bound.
-    """
-    columns = with_parts(column_diff(source, actual), OBJECT, "column_name", part_size)
-
-    def listed(kind: str) -> Column:
-        names = F.sort_array(F.collect_list(F.when(F.col("difference") == kind, F.col("column_name"))))
-        quoted = F.array_join(F.transform(names, lambda n: F.concat(F.lit("'"), n, F.lit("'"))), ", ")
-        return F.concat(F.lit("["), quoted, F.lit("]"))
-
-    return columns.groupBy(*OBJECT, "part").agg(
-        listed("missing").alias("missing_in_prod"),
-        listed("extra").alias("extra_in_prod"),
-        listed("retyped").alias("type_mismatch"),
+def schema_diff(source: DataFrame, actual: DataFrame) -> DataFrame:
+    """Numbers of differing columns per object; the columns themselves are the rows of :func:`column_diff`."""
+    counts = {"missing_in_prod": "missing", "extra_in_prod": "extra", "type_mismatch": "retyped"}
+    return column_diff(source, actual).groupBy(*OBJECT).agg(
+        *[F.count_if(F.col("difference") == kind).alias(name) for name, kind in counts.items()]
     )
 
 
 def schema_mismatch(source: DataFrame, actual: DataFrame) -> DataFrame:
+    """One finding per object with differing columns, however many they are."""
     return schema_diff(source, actual).select(
         *_finding(
             "bigquery",
@@ -233,11 +221,12 @@ def definition_mismatch(catalog: DataFrame, fragments: DataFrame, project: Colum
     """Views whose source text and catalog text differ after normalisation.
 
     ``fragments`` has one row per source file of a view (OBJECT, path, text).
-    Texts are normalised and hashed where they are read; hashes and lengths are
-    all that is shuffled. A view in one file compares by hash. A view spread
-    over files can equal the catalog text only when their lengths add up to its
-    length: for those alone the parts are put together, so what is gathered
-    is never longer than a definition the catalog holds in one cell.
+    Texts are normalised and hashed where they are read. A view in one file
+    compares by hash. A view in several files has as ``source_hash`` one hash
+    over the sum of its files' hashes, at every size. Its joined text can equal
+    the catalog text only when the lengths add up: for those alone the parts are
+    put together and compared, so what is gathered is never longer than a
+    definition the catalog holds in one cell.
     """
     project = F.col("project") if project is None else project
     actual = catalog.select(
@@ -247,9 +236,14 @@ def definition_mismatch(catalog: DataFrame, fragments: DataFrame, project: Colum
     parts = fragments.select(*OBJECT, "path", view_text(F.col("text"), project).alias("source_text")).where(
         F.col("source_text") != ""
     )
-    sizes = parts.select(*OBJECT, F.length("source_text").alias("n"), F.sha2("source_text", 256).alias("h"))
+    text_hash = F.sha2("source_text", 256)
+    placed = F.conv(F.substring(F.sha2(F.concat("path", F.lit("\n"), text_hash), 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    sizes = parts.select(*OBJECT, F.length("source_text").alias("n"), text_hash.alias("h"), placed.alias("placed"))
     summed = sizes.groupBy(*OBJECT).agg(
-        F.count(F.lit(1)).alias("files"), (F.sum("n") + F.count(F.lit(1)) - 1).alias("source_length"), F.max("h").alias("one_hash")
+        F.count(F.lit(1)).alias("files"),
+        (F.sum("n") + F.count(F.lit(1)) - 1).alias("source_length"),
+        F.max("h").alias("one_hash"),
+        F.sha2(F.sum("placed").cast("string"), 256).alias("files_hash"),
     )
     paired = cut_lineage(summed.join(actual, OBJECT), "views")  # one narrow row per view, read three times
     split = paired.where((F.col("files") > 1) & (F.col("source_length") == F.col("env_length"))).select(*OBJECT)
@@ -259,10 +253,11 @@ def definition_mismatch(catalog: DataFrame, fragments: DataFrame, project: Colum
         .agg(F.sort_array(F.collect_list(F.struct("path", "source_text"))).alias("parts"))
         .select(*OBJECT, F.sha2(F.array_join(F.col("parts.source_text"), " "), 256).alias("joined_hash"))
     )
+    compared = F.when(F.col("files") == 1, F.col("one_hash")).otherwise(F.col("joined_hash"))
     hashed = paired.join(joined, OBJECT, "left").withColumn(
-        "source_hash", F.when(F.col("files") == 1, F.col("one_hash")).otherwise(F.col("joined_hash"))
+        "source_hash", F.when(F.col("files") == 1, F.col("one_hash")).otherwise(F.col("files_hash"))
     )
-    return hashed.where(~F.col("source_hash").eqNullSafe(F.col("env_hash"))).select(
+    return hashed.where(~compared.eqNullSafe(F.col("env_hash"))).select(
         *_finding(
             "bigquery",
             "definition_mismatch",
@@ -295,44 +290,34 @@ def ledger_findings(catalog_findings: DataFrame, file_findings: DataFrame) -> Da
     return rows(catalog_findings, "bigquery").unionByName(rows(file_findings, "gcs"))
 
 
-def finding_sources(findings: DataFrame, ddl_files: DataFrame, models: DataFrame, part_size: int = 1000) -> DataFrame:
-    """Source path of each catalog finding: its definition files, or the model file.
+def source_paths(findings: DataFrame, ddl_files: DataFrame, models: DataFrame) -> DataFrame:
+    """Source paths of catalog findings as rows: the definition files of the object, or the model file.
 
-    ``ddl_files`` holds product, dataset, object_name, path. More than
-    ``part_size`` files of one object are listed in several parts.
+    ``ddl_files`` holds product, dataset, object_name, path. An object with very
+    many files stays as many rows.
     """
-    keys = ["product", "dataset", "object_name"]
-    files = ddl_files.select(*keys, "path").distinct()
-    listed = (
-        with_parts(files, keys, "path", part_size)
-        .groupBy(*keys, "part")
-        .agg(F.array_join(F.sort_array(F.collect_list("path")), ", ").alias("source_path"))
-        .select(
-            F.col("product").alias("l_product"),
-            F.col("dataset").alias("l_dataset"),
-            F.col("object_name").alias("l_name"),
-            F.lit("bq").alias("l_kind"),
-            "part",
-            "source_path",
-        )
-    )
+    keys = ["product", "dataset", "name", "source_technology"]
+    files = ddl_files.select("product", "dataset", F.col("object_name").alias("name"), F.lit("bq").alias("source_technology"), "path")
     model_files = models.select(
-        F.col("product").alias("l_product"),
-        F.lit(None).cast("string").alias("l_dataset"),
-        F.col("object_name").alias("l_name"),
-        F.lit("dbt_model").alias("l_kind"),
-        F.lit(0).alias("part"),
-        F.col("relative_path").alias("source_path"),
+        "product",
+        F.lit(None).cast("string").alias("dataset"),
+        F.col("object_name").alias("name"),
+        F.lit("dbt_model").alias("source_technology"),
+        F.col("relative_path").alias("path"),
     )
-    lookup = listed.unionByName(model_files)
-    return findings.join(
-        lookup,
-        (findings["product"] == lookup["l_product"])
-        & (findings["name"] == lookup["l_name"])
-        & (findings["source_technology"] == lookup["l_kind"])
-        & findings["dataset"].eqNullSafe(lookup["l_dataset"]),
-        "left",
-    ).select(findings["*"], "part", "source_path")
+    found = findings.select(*keys).distinct()
+    paths = files.unionByName(model_files).distinct()
+    return paths.join(found, [paths[k].eqNullSafe(found[k]) for k in keys], "left_semi")
+
+
+def finding_sources(findings: DataFrame, ddl_files: DataFrame, models: DataFrame) -> DataFrame:
+    """Catalog findings, one row each, with the number of source files and the first of them by path."""
+    keys = ["product", "dataset", "name", "source_technology"]
+    first = source_paths(findings, ddl_files, models).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("source_files"), F.min("path").alias("source_path")
+    )
+    joined = findings.join(first, [findings[k].eqNullSafe(first[k]) for k in keys], "left")
+    return joined.select(findings["*"], F.coalesce("source_files", F.lit(0)).alias("source_files"), "source_path")
 
 
 REPORT_KEY = ["repo", "discrepancy", "commit", "file_path"]
@@ -343,23 +328,24 @@ def report_diff(
 ) -> DataFrame:
     """Rows of one report only, with ``side``; the last of repeated rows (by ``order``) stands for a key.
 
-    Both reports are tagged, united and grouped once by the key. With
-    ``ignore_case`` keys are compared, and shown, in lower case.
+    One-sided keys are found from the keys alone; only rows of such keys are
+    moved with all their columns. With ``ignore_case`` keys are compared, and
+    shown, in lower case.
     """
     if ignore_case:
         lowered = {k: F.lower(F.col(k)) for k in keys}
         old, new = old.withColumns(lowered), new.withColumns(lowered)
     payload = [c for c in old.columns if c not in (*keys, order)]
     tagged = old.withColumn("side", F.lit("old")).unionByName(new.withColumn("side", F.lit("new")))
-    row = F.struct(*[F.col(c) for c in payload], F.lit(1).alias("_present"))
-    grouped = tagged.groupBy(*keys).agg(
-        F.count_if(F.col("side") == "old").alias("in_old"),
-        F.count_if(F.col("side") == "new").alias("in_new"),
-        F.max_by(row, order).alias("row"),
+    lonely = (
+        tagged.select(*keys, "side").groupBy(*keys).agg(F.min("side").alias("_first"), F.max("side").alias("_last"))
+        .where(F.col("_first") == F.col("_last")).select(*[F.col(k).alias(f"_k_{k}") for k in keys])
     )
-    side = F.when(F.col("in_new") == 0, F.lit("only_in_old")).otherwise(F.lit("only_in_new"))
-    lonely = grouped.where((F.col("in_old") == 0) | (F.col("in_new") == 0))
-    return lonely.select(side.alias("side"), *keys, *[F.col(f"row.{c}").alias(c) for c in payload])
+    rows = tagged.join(lonely, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], "left_semi")
+    row = F.struct(*[F.col(c) for c in payload], F.lit(1).alias("_present"))
+    last = rows.groupBy("side", *keys).agg(F.max_by(row, order).alias("row"))
+    side = F.when(F.col("side") == "old", F.lit("only_in_old")).otherwise(F.lit("only_in_new"))
+    return last.select(side.alias("side"), *keys, *[F.col(f"row.{c}").alias(c) for c in payload])
 
 
 def pair_delta(old: DataFrame, new: DataFrame) -> DataFrame:

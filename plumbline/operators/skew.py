@@ -36,22 +36,6 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
     return joined.withColumn(name, F.col("_offset") + F.col("_local")).drop("_slice", "_local", "_offset")
 
 
-def with_parts(df: DataFrame, keys: Sequence[str], item: str, size: int = 1000) -> DataFrame:
-    """Add ``part``: 0 for ordinary keys, a hash part for keys of more than ``size`` rows.
-
-    A list per (key, part) then stays near ``size`` entries however large the key is.
-    """
-    heavy = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > size)
-        .select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.ceil(F.col("_n") / size).alias("_parts"))
-    )
-    condition = [df[k].eqNullSafe(heavy[f"_k_{k}"]) for k in keys]
-    part = F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(item), F.col("_parts")))
-    return df.join(heavy, condition, "left").select(df["*"], part.cast("int").alias("part"))
-
-
 def fill_forward(
     df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str, block: int = 65_536
 ) -> DataFrame:

@@ -13,17 +13,19 @@ from plumbline.functions.labels import filter_names, stamp
 from plumbline.operators import branches, history, inventory, reconcile
 from plumbline.operators.executive import count_rows
 from plumbline.session import cut_lineage
-from plumbline.sources.ledger import record_run, run_path
-from plumbline.sources.reports import write_report_csv
+from plumbline.sources.ledger import new_runs, read_ledger, record_run, run_path
+from plumbline.sources.reports import render_findings, write_report_csv, write_snapshot_json, write_text_report
 
 
 @dataclass
 class Report:
-    """Frames of one run: rows for the ledger, and report files with their sort keys."""
+    """Frames of one run: rows for the ledger, CSV files with their sort keys, numbered lines, JSON snapshots by section."""
 
     report_type: str
     ledger: dict[str, DataFrame]
     files: dict[str, tuple[DataFrame, list[str]]] = field(default_factory=dict)
+    texts: dict[str, DataFrame] = field(default_factory=dict)
+    snapshots: dict[str, dict[str, DataFrame]] = field(default_factory=dict)
 
 
 def commit_drift(
@@ -115,27 +117,51 @@ def catalog_findings(
     return out
 
 
+def numbered(catalog_side: DataFrame, file_side: DataFrame) -> DataFrame:
+    """Numbered lines of all findings, catalog findings first; the former carry source paths."""
+    rows = catalog_side.unionByName(file_side, allowMissingColumns=True)
+    seq = F.struct("product", F.coalesce("dataset", F.lit("")).alias("dataset"), "name", "status")
+    section = F.when(F.col("area") == "gcs", F.lit(1)).otherwise(F.lit(0)).alias("section")
+    return render_findings(rows.select(section, seq.alias("seq"), "status", "name", "source_technology", "source_path", "details"))
+
+
 def env_drift(
     catalog: DataFrame, catalog_columns: DataFrame, parsed: DataFrame, models: DataFrame,
     source_files: DataFrame, deployed_files: DataFrame,
 ) -> Report:
-    """Source definitions and files against the catalog and the file store."""
+    """Source definitions and files against the catalog and the file store.
+
+    Findings are one row each in the CSV files, the numbered report and the
+    ledger; the columns and the source paths behind them are tables of their own.
+    """
     in_catalog = cut_lineage(catalog_findings(catalog, catalog_columns, parsed, models), "findings")
     in_files = cut_lineage(reconcile.compare_files(source_files, deployed_files), "findings")
+    with_source = cut_lineage(reconcile.finding_sources(in_catalog, parsed, models), "sources")
+    inventories = cut_lineage(inventory.ddl_inventory(parsed), "ddl")
     return Report(
         "env_drift",
         {"env_drift_findings": reconcile.ledger_findings(in_catalog, in_files)},
         {
-            "bigquery_findings": (in_catalog, ["status", "name"]),
+            "bigquery_findings": (with_source, ["status", "name"]),
+            "schema_columns": (reconcile.column_diff(inventory.ddl_columns(parsed), catalog_columns), [*inventory.OBJECT, "column_name"]),
+            "source_paths": (reconcile.source_paths(in_catalog, parsed, models), ["product", "name", "path"]),
             "gcs_findings": (in_files, ["name"]),
             "summary": (
                 count_rows(
-                    bigquery_findings=in_catalog, gcs_findings=in_files, source_bq_objects=inventory.ddl_inventory(parsed),
+                    bigquery_findings=in_catalog, gcs_findings=in_files, source_bq_objects=inventories,
                     source_dbt_models=models, source_files=source_files, actual_bq_objects=catalog, actual_gcs_objects=deployed_files,
                 ),
                 [],
             ),
         },
+        {"findings": numbered(with_source, in_files)},
+        {
+            "snapshot": {
+                "bigquery_findings": with_source, "gcs_findings": in_files, "source_bq_objects": inventories,
+                "source_dbt_models": models, "source_files": source_files, "actual_gcs_objects": deployed_files,
+                "actual_bq_objects": catalog.drop("ddl", "view_query", "definition_body"),
+            }
+        },
     )
 
 
@@ -174,6 +200,12 @@ def orphan_datasets(
             "repo_dataset_references": (declared.drop("names"), ["repo"]),
             "summary": (summary, []),
         },
+        snapshots={
+            "snapshot": {
+                "unmatched_datasets": listing, "unmatched_objects": held, "dataset_errors": errors,
+                "repo_dataset_references": declared.drop("names"),
+            }
+        },
     )
 
 
@@ -182,8 +214,8 @@ def publish(
 ) -> bool:
     """Write the report files, then the ledger rows, the run record last.
 
-    A failing write leaves a ``failed`` run record and raises again. Returns
-    False when the ledger already held this id.
+    Returns False, and writes nothing, when the ledger already holds this id.
+    A failing write leaves a ``failed`` run record and raises again.
     """
     folder = run_path(prefix, execution_id, report.report_type)
     record = {
@@ -194,9 +226,15 @@ def publish(
     def run_row(status: str) -> DataFrame:
         return stamp(spark.range(1), **record, status=status).drop("id")
 
+    if new_runs(run_row("success"), read_ledger(spark, base, "executions"), as_of).isEmpty():
+        return False
     try:
         for name, (frame, order) in report.files.items():
             write_report_csv(frame, order, f"{folder}/{name}")
+        for name, lines in report.texts.items():
+            write_text_report(lines, ["finding_number"], f"{folder}/{name}")
+        for name, sections in report.snapshots.items():
+            write_snapshot_json(sections, f"{folder}/{name}")
         stamped = {
             name: stamp(rows, execution_id=execution_id, run_date=as_of.date()) for name, rows in report.ledger.items()
         }

@@ -33,7 +33,8 @@ def local_session(app: str = "plumbline", cores: str = "8", **conf: str) -> Spar
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only a local master may fall back to a temporary folder of this machine.
+    Only a master whose executors are threads of this process may fall back to
+    a temporary folder of this machine.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
@@ -43,7 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if context.getCheckpointDir():
         return context.getCheckpointDir()
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="plumbline-")
     context.setCheckpointDir(folder)

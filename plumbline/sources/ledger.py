@@ -49,13 +49,15 @@ def to_ledger(df: DataFrame, name: str) -> DataFrame:
 def append_ledger(df: DataFrame, base: str, name: str, max_rows_per_file: int = 5_000_000) -> None:
     """Append rows, day-partitioned and sorted by the cluster keys inside each file.
 
-    There is no repartition by day: one run usually writes one day, and that
-    would send all of it to one task.
+    Rows are brought together by day, so that a task writes few days; adaptive
+    execution splits a large day over many tasks.
     """
     table = LEDGER[name]
     rows = to_ledger(df, name)
     if table.day and table.day_of:
         rows = rows.withColumn(table.day, F.to_date(table.day_of))
+    if table.day:
+        rows = rows.hint("rebalance", table.day)
     sort_keys = [*([table.day] if table.day else []), *table.cluster]
     if sort_keys:
         rows = rows.sortWithinPartitions(*sort_keys)

@@ -11,16 +11,25 @@ from pyspark.sql import functions as F
 from plumbline.operators.skew import rank_within
 
 
-def read_report_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Report rows as strings; give ``schema`` to skip reading the header first."""
-    reader = spark.read.option("header", True).option("multiLine", False).option("escape", '"')
+# Values are kept as they are: blanks at their ends, quotes and line ends.
+WRITE = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+READ = {**WRITE, "multiLine": True}
+
+
+def read_report_csv(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = True) -> DataFrame:
+    """Report rows as strings; give ``schema`` to skip reading the header first.
+
+    A value may hold line ends, so a file is one task, and the writer makes many
+    files. ``multi_line=False`` splits large files whose values hold none.
+    """
+    reader = spark.read.options(**READ).option("multiLine", multi_line)
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
 def write_report_csv(df: DataFrame, sort_columns: Sequence[str], path: str) -> None:
     """Sorted rows under a fixed header; the range sort keeps the part files in order."""
     ordered = df.orderBy(*sort_columns) if sort_columns else df
-    ordered.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    ordered.write.mode("overwrite").options(**WRITE).option("maxRecordsPerFile", 1_000_000).csv(path)
 
 
 def union_rows(frames: Sequence[DataFrame]) -> DataFrame:
@@ -29,7 +38,7 @@ def union_rows(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def write_union_csv(frames: Sequence[DataFrame], path: str) -> None:
-    union_rows(frames).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    union_rows(frames).write.mode("overwrite").options(**WRITE).csv(path)
 
 
 def snapshot_rows(sections: dict[str, DataFrame]) -> DataFrame:

@@ -2,31 +2,45 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from plumbline.sources.ledger import append_ledger
+from plumbline.sources.ledger import append_ledger, read_ledger
 
 
-def unique_runs(runs: DataFrame) -> DataFrame:
-    """A stream of run records without ids repeated within two days."""
-    return runs.withWatermark("execution_ts", "2 days").dropDuplicatesWithinWatermark(["execution_id"])
+def _earlier_batches(spark: SparkSession, base: str, batch_id: int) -> DataFrame | None:
+    """What batches before this one wrote; None before the first."""
+    try:
+        written = spark.read.option("basePath", base).parquet(f"{base}/batch=*")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return None
+    return written.where(F.col("batch") < batch_id)
 
 
 def ingest_runs(runs: DataFrame, base: str, checkpoint: str) -> StreamingQuery:
     """Append new run records to the ledger; processes what is there and ends.
 
-    Each batch writes its own folder key, so a batch replayed after a failure
-    overwrites what it wrote before.
+    A run is new when no earlier batch wrote its id, however late it arrives;
+    of equal ids in one batch the earliest record stands. Each batch writes its
+    own folder key, so a batch replayed after a failure overwrites what it
+    wrote before. The ids of earlier batches are all that is read of them.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/batch={batch_id}")
+        spark, columns = batch.sparkSession, batch.columns
+        row = F.struct("execution_ts", *[c for c in columns if c not in ("execution_id", "execution_ts")])
+        fresh = batch.groupBy("execution_id").agg(F.min(row).alias("r")).select("execution_id", "r.*").select(*columns)
+        known = _earlier_batches(spark, base, batch_id)
+        if known is not None:
+            fresh = fresh.join(known.select("execution_id"), "execution_id", "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{base}/batch={batch_id}")
 
     return (
-        unique_runs(runs)
-        .writeStream.foreachBatch(write)
+        runs.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -38,21 +52,22 @@ def read_ingested(spark: SparkSession, base: str) -> DataFrame:
 
 
 def publish_ingested(spark: SparkSession, base: str, ledger_base: str) -> None:
-    append_ledger(read_ingested(spark, base), ledger_base, "executions")
+    """Append the ingested runs that the ledger does not hold; a second call appends nothing."""
+    held = read_ledger(spark, ledger_base, "executions").select("execution_id")
+    fresh = read_ingested(spark, base).join(held, "execution_id", "left_anti")
+    append_ledger(fresh, ledger_base, "executions")
 
 
-def daily_counts(runs: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Streaming counterpart of the daily summary: counts per day window and report."""
-    day = F.window("execution_ts", "1 day")
-    return (
-        runs.withWatermark("execution_ts", delay)
-        .groupBy(day.alias("day"), "report_type")
-        .agg(
-            F.count_if(F.col("status") == "success").alias("success_count"),
-            F.count_if(F.col("status") == "failed").alias("failure_count"),
-            F.count(F.lit(1)).alias("total_count"),
-        )
-        .select(F.to_date("day.start").alias("execution_date"), "report_type", "success_count", "failure_count", "total_count")
+def daily_counts(runs: DataFrame) -> DataFrame:
+    """Streaming counterpart of the daily summary: counts per day and report.
+
+    There is no watermark, so a late run still counts in its day. The state has
+    one row per day and report type and does not grow with the runs.
+    """
+    return runs.groupBy(F.to_date("execution_ts").alias("execution_date"), "report_type").agg(
+        F.count_if(F.col("status") == "success").alias("success_count"),
+        F.count_if(F.col("status") == "failed").alias("failure_count"),
+        F.count(F.lit(1)).alias("total_count"),
     )
 
 

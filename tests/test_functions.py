@@ -1,3 +1,4 @@
+import time
 from datetime import datetime
 
 import pytest
@@ -138,13 +139,38 @@ def test_create_columns(one):
     assert [tuple(p) for p in pairs] == [
         ("id", "INT64"), ("amount", "NUMERIC(10,2)"), ("tags", "ARRAY<STRUCT<K STRING,V ARRAY<INT64>>>"), ("id", "STRING"),
     ]
-    assert one(sql, text.as_map(text.create_columns(C)))["id"] == "STRING"
     assert one("create table d.t as select 1", text.create_columns(C)) == []
 
 
 def test_many_columns(one):
-    body = ",\n".join(f"c{i} NUMERIC(10, {i % 9})" for i in range(3000))
-    assert len(one(f"create table d.t (\n{body}\n) options(x=1)", text.create_columns(C))) == 3000
+    body = ",\n".join(f"c{i} NUMERIC(10, {i % 9})" for i in range(5000))
+    sql, begun = f"create table d.t (\n{body}\n) options(x=1)", time.monotonic()
+    assert len(one(sql, text.create_columns(C))) == 5000
+    assert time.monotonic() - begun < 5
+
+
+def test_columns_with_quotes_comments_and_depth(one):
+    deep = "STRUCT<a " * 6 + "ARRAY<INT64>" + ">" * 6
+    sql = f"""create table d.t (
+      a INT64 OPTIONS(description="net 1) plus (tax"), /* b INT64, ( */
+      c STRING DEFAULT 'x, y INT64', -- it's (
+      d {deep} NOT NULL,
+      e NUMERIC(10, 2) DEFAULT (round(((((1.5))))), 2)
+    ) OPTIONS(labels=[("k", "v")]);"""
+    kind = "STRUCT<A " * 6 + "ARRAY<INT64>" + ">" * 6
+    pairs = one(sql, text.create_columns(C))
+    assert [tuple(p) for p in pairs[:3]] == [("a", "INT64"), ("c", "STRING"), ("d", kind)] and tuple(pairs[3]) == ("e", "NUMERIC(10,2)")
+    assert one("create table d.t (a INT64, b STRING", text.create_columns(C)) == []
+    added = one(f"alter table d.t add column a {deep} OPTIONS(description='add column z INT64'), add column b INT64", text.added_columns(C))
+    assert [tuple(p) for p in added] == [("a", kind), ("b", "INT64")]
+
+
+def test_definition_body(one):
+    body = text.definition_body(C)
+    for head in ("create view d.v", 'create or replace view `p.d.v` OPTIONS(description="same as before")', "-- create view a.b as x\ncreate view d.v (a, b) -- known as v\n",
+                 "create view d.v OPTIONS(description='it\\'s as is')", "create view d.v options(x='" + "y " * 50_000 + "')"):
+        assert one(f"{head} AS select a as b;", body).strip() == "select a as b"
+    assert one("select '--' as a -- b", body) == "select '--' as a"
 
 
 def test_added_columns(one):

@@ -5,9 +5,9 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import runs
+from plumbline.operators import inventory, runs
 from plumbline.operators.executive import count_rows, message_signals
-from plumbline.operators.skew import rank_within, with_parts
+from plumbline.operators.skew import rank_within
 from plumbline.plans import dashboards, reports, tiles
 from plumbline.sources import files, ledger
 from plumbline.sources import reports as sinks
@@ -88,15 +88,8 @@ def test_rank_within_hot_key(spark):
     assert sorted(r.n for r in rank_within(df, [], ["id"], "n").collect()) == list(range(1, 2001))
 
 
-def test_with_parts(spark):
-    df = spark.range(1000).select(F.when(F.col("id") < 900, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"), F.col("id").alias("v"))
-    sizes = with_parts(df, ["k"], "v", 100).groupBy("k", "part").count().collect()
-    assert sum(r["count"] for r in sizes) == 1000 and max(r["count"] for r in sizes) < 200
-    assert {r.part for r in sizes if r.k != "hot"} == {0}
-
-
 def test_csv_and_json(spark, table, tmp_path):
-    df = table("a string, b string", ("2", 'q"uote'), ("1", "x,y"), ("3", None))
+    df = table("a string, b string", ("2", 'q"uote'), ("1", "x,y"), ("3", None), ("4", "  two\nlines\r\n, \"so\"  "))
     sinks.write_report_csv(df, ["a"], str(tmp_path / "csv"))
     assert rows(sinks.read_report_csv(spark, str(tmp_path / "csv"))) == rows(df)
     sinks.write_union_csv([df, table("c string", ("z",))], str(tmp_path / "union"))
@@ -143,6 +136,19 @@ def test_stream_drops_repeats_and_replays(spark, table, tmp_path):
     assert rows(ledger_stream.read_daily_summary(spark, str(tmp_path / "day"))) == [(date(2024, 1, 1), "x", 3, 0, 3, 1.0), (date(2024, 1, 2), "x", 1, 1, 2, 0.5)]
 
 
+def test_late_runs_are_kept(spark, table, tmp_path):
+    source, out, day = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "day")
+    for n, at in enumerate((20, 21, 10, 22)):
+        table(RUN, (f"r{n}", "x", datetime(2024, 1, at), "success"), ("r0", "x", datetime(2024, 1, 20), "success")).coalesce(1).write.mode("append").parquet(source)
+        for start, folder in ((ledger_stream.ingest_runs, out), (ledger_stream.run_daily_summary, day)):
+            start(spark.readStream.schema(spark.read.parquet(source).schema).parquet(source), folder, f"{folder}_state").awaitTermination()
+    assert sorted(r.execution_id for r in ledger_stream.read_ingested(spark, out).collect()) == ["r0", "r1", "r2", "r3"]
+    assert {r.execution_date.day: r.total_count for r in ledger_stream.read_daily_summary(spark, day).collect()} == {10: 1, 20: 5, 21: 1, 22: 1}
+    for _ in range(2):
+        ledger_stream.publish_ingested(spark, out, str(tmp_path / "ledger"))
+    assert ledger.read_ledger(spark, str(tmp_path / "ledger"), "executions").count() == 4
+
+
 def test_commit_report_end_to_end(spark, table, tmp_path):
     repos = table("repo string", ("r",))
     tips = table("repo string, branch string, sha string", ("r", "master", "a"), ("r", "test", "b"))
@@ -182,6 +188,28 @@ def test_orphan_report_end_to_end(spark, table, tmp_path):
     assert (csv["summary"][0].datasets_scanned, csv["summary"][0].unmatched_datasets, csv["summary"][0].datasets_with_errors) == ("3", "2", "1")
 
 
+def test_env_report_end_to_end(spark, table, tmp_path):
+    catalog = table(
+        "product string, project string, dataset string, object_name string, object_type string, ddl string, view_query string, definition_body string, column_count int",
+        ("p", "pr", "d", "t", "base_table", None, None, None, 1), ("p", "pr", "d", "gone", "base_table", None, None, None, 0),
+    )
+    columns = table("product string, project string, dataset string, object_name string, column_name string, data_type string", ("p", "pr", "d", "t", "b", "INT64"))
+    texts = table("product string, path string, text string", ("p", "bq/1.sql", "create table d.t (a INT64);"), ("p", "bq/2.sql", "alter table d.t add column b INT64"))
+    models = inventory.model_inventory(texts.where("false"))
+    tree = table("product string, path string, content binary", ("p", "dbt/x.sql", bytearray(b"1")), ("p", "dbt/y.sql", bytearray(b"2")))
+    report = reports.env_drift(catalog, columns, inventory.ddl_files(texts), models, files.file_inventory(tree), files.file_inventory(tree.where("path like '%x.sql'")))
+    base, prefix = str(tmp_path / "ledger"), str(tmp_path / "out")
+    assert reports.publish(spark, report, base, prefix, "run1", datetime(2024, 1, 5))
+    folder = f"{prefix}/run1/env_drift"
+    lines = sorted(r.value for r in spark.read.text(f"{folder}/findings").collect())
+    assert len(lines) == 3 and lines[1].startswith("2. `schema_mismatch` `t` [source=bq] [source_path=bq/1.sql]: missing_in_prod=1") and "dbt/y.sql" in lines[2]
+    assert sorted(r.path for r in sinks.read_report_csv(spark, f"{folder}/source_paths").collect()) == ["bq/1.sql", "bq/2.sql"]
+    assert [(r.column_name, r.difference) for r in sinks.read_report_csv(spark, f"{folder}/schema_columns").collect()] == [("a", "missing")]
+    sections = {r.section: r.n for r in spark.read.json(f"{folder}/snapshot").groupBy("section").agg(F.count("*").alias("n")).collect()}
+    assert sections == {"bigquery_findings": 2, "gcs_findings": 1, "source_bq_objects": 1, "source_files": 2, "actual_gcs_objects": 1, "actual_bq_objects": 2}
+    assert ledger.read_ledger(spark, base, "env_drift_findings").count() == 3
+
+
 def test_file_report_end_to_end(spark, table, tmp_path):
     repos, tips = table("repo string", ("r",)), table("repo string, branch string, sha string", ("r", "master", "a"), ("r", "test", "b"))
     branch_files = table("repo string, branch string, path string, blob_hash string", ("r", "master", "x", "1"), ("r", "test", "x", "2"), ("r", "test", "y", "3"))

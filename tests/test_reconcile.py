@@ -70,17 +70,18 @@ def test_schema_diff(table):
         COLUMNS, ("p", "d", "t", "b", "NUMERIC(10,2)"), ("p", "d", "t", "c", "BYTES"), ("p", "d", "t", "x", "INT64"), ("p", "d", "t", "w", "INT64"),
         ("p", "d", "equal", "a", "INT64"),
     )
-    assert rows(reconcile.schema_diff(source, actual)) == [("p", "d", "t", 0, "['a']", "['w', 'x']", "['c']")]
+    assert rows(reconcile.schema_diff(source, actual)) == [("p", "d", "t", 1, 2, 1)]
     finding = reconcile.schema_mismatch(source, actual).first()
-    assert finding.details == "missing_in_prod=['a']; extra_in_prod=['w', 'x']; type_mismatch=['c']"
+    assert finding.details == "missing_in_prod=1; extra_in_prod=2; type_mismatch=1"
 
 
-def test_very_wide_object_is_listed_in_parts(table):
-    source = table(COLUMNS, ("p", "d", "t", "id", "INT64"), *[("p", "d", "t", f"c{i:04}", "INT64") for i in range(500)])
+@pytest.mark.parametrize("n", [1, 999, 1001, 5000])
+def test_wide_object_is_one_finding(table, spark, n):
+    names = spark.range(n).select(F.lit("p").alias("product"), F.lit("d").alias("dataset"), F.lit("t").alias("object_name"), F.format_string("c%04d", "id").alias("column_name"), F.lit("INT64").alias("data_type"))
     actual = table(COLUMNS, ("p", "d", "t", "id", "INT64"))
-    parts = reconcile.schema_diff(source, actual, part_size=100).collect()
-    listed = [n.strip("'") for r in parts for n in r.missing_in_prod.strip("[]").split(", ")]
-    assert len(parts) > 1 and sorted(listed) == [f"c{i:04}" for i in range(500)]
+    source = names.unionByName(actual)
+    assert reconcile.column_diff(source, actual).count() == n
+    assert [r.details for r in reconcile.schema_mismatch(source, actual).collect()] == [f"missing_in_prod={n}; extra_in_prod=0; type_mismatch=0"]
 
 
 def test_definitions(table):
@@ -99,7 +100,9 @@ def test_definitions(table):
         ("p", "d", "split", "3.sql", "-- nothing", "pr"),
         ("p", "d", "split_bad", "1.sql", "create view pr.d.split_bad as union all select 2", "pr"), ("p", "d", "split_bad", "2.sql", "select 1", "pr"),
     )
-    assert brief(reconcile.definition_mismatch(catalog, fragments)) == [("other", "definition_mismatch", "high"), ("split_bad", "definition_mismatch", "high")]
+    found = reconcile.definition_mismatch(catalog, fragments)
+    assert brief(found) == [("other", "definition_mismatch", "high"), ("split_bad", "definition_mismatch", "high")]
+    assert all(r.source_hash and r.env_hash for r in found.collect())
 
 
 def test_catalog_inventory_defaults(table):
@@ -139,11 +142,11 @@ def test_empty_reports(table, spark):
     assert rows(reconcile.diff_summary(empty, empty)) == [(0, 0, 0, 0, 0, 0)]
 
 
-def test_finding_sources_in_parts(table):
+@pytest.mark.parametrize("n", [1, 999, 1001, 5000])
+def test_finding_sources(table, spark, n):
     findings = table("product string, name string, dataset string, source_technology string", ("p", "o", "d", "bq"), ("p", "m", None, "dbt_model"), ("p", "x", None, "unknown"))
-    files = table("product string, dataset string, object_name string, path string", *[("p", "d", "o", f"f{i:03}") for i in range(30)])
+    files = spark.range(n).select(F.lit("p").alias("product"), F.lit("d").alias("dataset"), F.lit("o").alias("object_name"), F.format_string("f%04d", "id").alias("path"))
     models = table(MODELS, ("p", "m", "dbt/m.sql", None))
-    whole = {r.name: r.source_path for r in reconcile.finding_sources(findings, files, models).collect()}
-    assert whole["o"] == ", ".join(f"f{i:03}" for i in range(30)) and whole["m"] == "dbt/m.sql" and whole["x"] is None
-    parts = reconcile.finding_sources(findings, files, models, part_size=10).where(F.col("name") == "o").collect()
-    assert len(parts) > 1 and sorted(p for r in parts for p in r.source_path.split(", ")) == [f"f{i:03}" for i in range(30)]
+    found = {r.name: (r.source_files, r.source_path) for r in reconcile.finding_sources(findings, files.unionAll(files), models).collect()}
+    assert found == {"o": (n, "f0000"), "m": (1, "dbt/m.sql"), "x": (0, None)}
+    assert reconcile.source_paths(findings, files, models).count() == n + 1
