@@ -328,8 +328,9 @@ def report_diff(
 ) -> DataFrame:
     """Rows of one report only, with ``side``; the last of repeated rows (by ``order``) stands for a key.
 
-    One-sided keys are found from the keys alone; only rows of such keys are
-    moved with all their columns. With ``ignore_case`` keys are compared, and
+    One-sided keys are found from the keys alone. Where few keys are one-sided,
+    adaptive execution sends them to the rows, so the other columns of rows that
+    agree stay where they are read. With ``ignore_case`` keys are compared, and
     shown, in lower case.
     """
     if ignore_case:
