@@ -3,11 +3,13 @@
 A word is the mean of the vectors of its character n-grams, which are hashed into a table, so a misspelling not met
 before shares most vectors with the word it comes from. A text is cut into bags of ``BAG`` words; a bag's vector is the
 sum of its words over ``BAG`` (missing words of the last bag are zero), and the text's score is that of its most toxic
-bag, so a long text is not diluted. Table, softmax and bias are trained together.
+bag, so a long text is not diluted. Table, softmax and bias are trained together. Tasks turn the training texts into
+word hashes and n-gram buckets; only those come to the driver.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,18 +18,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import chunks, map_arrow, split_words
+from plumbline.llm.common import chunks, cut, map_arrow, split_words
 
 BAG = 4
 SIZES = range(3, 6)
 BUCKETS, DIMS = 1 << 20, 8
 #: Distinct words that are scored at once inside a task.
 AT_ONCE = 20_000
-#: Fewest texts (counted word by word) that an n-gram must occur in to be trained.
-MIN_TEXTS = 5
 #: Most labelled rows a model is trained on: those with the smallest hashes of their ids.
-MAX_TRAIN = 2000
+MAX_TRAIN = 4000
 STEPS, RATE, DECAY, EPSILON = 100, 0.2, 1e-8, 1e-4
+#: Rows of the table that a training step updates at once.
+ROWS_AT_ONCE = 1 << 16
 _PRIME = np.uint64(0x100000001B3)
 
 
@@ -66,30 +68,41 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return buckets[order].astype(np.int32), np.bincount(owner, minlength=len(words))
 
 
+def _sliced(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`subwords` of any number of words, hashed in slices."""
+    parts = [subwords(words[i : i + AT_ONCE]) for i in range(0, len(words), AT_ONCE)]
+    none = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+    return tuple(np.concatenate(found) for found in zip(none, *parts))
+
+
 @dataclass
 class Bags:
-    """Words of many texts cut into bags; a run of one word counts once, and a text without words has one empty bag."""
+    """Words of many texts cut into bags; a text without words has one empty bag."""
 
     codes: np.ndarray
     bag_starts: np.ndarray
     bag_sizes: np.ndarray
     text_starts: np.ndarray
-    words: list[str]
 
 
-def bags_of(texts: pa.Array) -> Bags:
+def runs_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Lower-case words of many texts, as ``split_words`` gives them, but a run of one word counts once."""
     offsets, codes, words = split_words(pc.utf8_lower(pc.fill_null(texts, "")))
     if len(codes):
         again = np.concatenate([[False], codes[1:] == codes[:-1]])
         again[offsets[:-1][offsets[:-1] < len(codes)]] = False
         offsets = np.concatenate([[0], np.cumsum(~again)])[offsets]
         codes = codes[~again]
+    return offsets, codes, words
+
+
+def bags_of(offsets: np.ndarray, codes: np.ndarray) -> Bags:
     sizes = np.diff(offsets)
     count = np.maximum(-(-sizes // BAG), 1)
     text_starts = np.cumsum(count) - count
     within = np.arange(count.sum()) - np.repeat(text_starts, count)
     starts = np.repeat(offsets[:-1], count) + within * BAG
-    return Bags(codes, starts, np.minimum(BAG, np.repeat(offsets[1:], count) - starts), text_starts, words)
+    return Bags(codes, starts, np.minimum(BAG, np.repeat(offsets[1:], count) - starts), text_starts)
 
 
 def _word_scores(table: np.ndarray, buckets: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -111,43 +124,43 @@ class Model:
     bias: float
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        bags = bags_of(texts)
-        slices = [bags.words[i : i + AT_ONCE] for i in range(0, len(bags.words), AT_ONCE)]
-        by_word = np.concatenate([np.zeros(0), *(_word_scores(self.table, *subwords(words)) for words in slices)])
+        offsets, codes, words = runs_of(texts)
+        bags = bags_of(offsets, codes)
+        slices = [words[i : i + AT_ONCE] for i in range(0, len(words), AT_ONCE)]
+        by_word = np.concatenate([np.zeros(0), *(_word_scores(self.table, *subwords(part)) for part in slices)])
         logits = _bag_sums(by_word, bags) + self.bias
         top = np.maximum.reduceat(logits, bags.text_starts) if len(logits) else logits
         return 1 / (1 + np.exp(-np.clip(top, -50, 50)))
 
 
-def train(texts: pa.Array, toxic: np.ndarray, seed: int = 7) -> Model:
-    """Adam over all rows on the cross entropy of each text's most toxic bag; constant if only one class is given."""
+def train(bags: Bags, buckets: np.ndarray, counts: np.ndarray, toxic: np.ndarray, seed: int = 7) -> Model:
+    """Adam over all rows on the cross entropy of each text's most toxic bag; constant if only one class is given.
+
+    ``buckets`` and ``counts`` are those of :func:`subwords` for the words that the codes of ``bags`` stand for.
+    """
     rate = (toxic.sum() + 0.5) / (len(toxic) + 1)
     bias = float(np.log(rate / (1 - rate)))
     if not len(toxic) or toxic.min() == toxic.max():
         return Model(np.zeros(BUCKETS), bias)
-    bags = bags_of(texts)
-    parts = [subwords(bags.words[i : i + AT_ONCE]) for i in range(0, len(bags.words), AT_ONCE)]
-    buckets, counts = (np.concatenate([np.zeros(0, dtype=np.int32), *found]) for found in zip(*parts)) if parts else (np.zeros(0, dtype=np.int32),) * 2
-    del parts
-    text_of = np.repeat(np.arange(len(toxic)), np.add.reduceat(bags.bag_sizes, bags.text_starts))
-    in_texts = np.bincount(np.unique(bags.codes.astype(np.int64) * len(toxic) + text_of) // len(toxic), minlength=len(counts))
-    del text_of
-    common = np.bincount(buckets, np.repeat(in_texts, counts), minlength=BUCKETS) >= MIN_TEXTS
-    places = np.flatnonzero(common)  # n-grams of fewer texts keep a zero vector
-    owners = np.repeat(np.arange(len(counts), dtype=np.int32), counts)[common[buckets]]
-    buckets = np.searchsorted(places, buckets[common[buckets]])
-    kept = np.bincount(owners, minlength=len(counts))
+    places = np.flatnonzero(np.bincount(buckets, minlength=BUCKETS))
+    buckets = np.searchsorted(places, buckets)
     rng = np.random.default_rng(seed)
-    vectors = rng.normal(0, 0.01, (len(places), DIMS))
+    vectors = rng.normal(0, 0.01, (len(places), DIMS)).astype(np.float32)
     softmax = rng.normal(0, 1.0, (2, DIMS))
     offset = np.array([0.0, -3.0])
     parameters = [vectors, softmax, offset]
     first, second = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters]
     bag_text = np.repeat(np.arange(len(toxic)), np.diff(np.append(bags.text_starts, len(bags.bag_starts))))
     words_of_bag = bags.bag_sizes
+
+    def update(p, g, m, v, step):
+        m += 0.1 * (g - m)
+        v += 0.01 * (g * g - v)
+        p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + EPSILON)
+
     for step in range(1, STEPS + 1):
         direction = softmax[1] - softmax[0]
-        by_word = np.bincount(owners, (vectors @ direction)[buckets], minlength=len(counts)) / counts
+        by_word = _word_scores(vectors @ direction.astype(np.float32), buckets, counts)
         logits = _bag_sums(by_word, bags) + offset[1] - offset[0]
         logits = np.clip(logits, -30, 30)
         chance = 1 / (1 + np.exp(-logits))
@@ -155,22 +168,50 @@ def train(texts: pa.Array, toxic: np.ndarray, seed: int = 7) -> Model:
         pull = np.where(toxic > 0, -clean / np.maximum(1 - clean, 1e-9), 1.0)
         slope = chance * pull[bag_text] / len(toxic)  # of the loss by each bag's difference of logits
         by_word = np.bincount(bags.codes, np.repeat(slope, words_of_bag) / BAG, minlength=len(counts))
-        by_bucket = np.bincount(buckets, np.repeat(by_word / counts, kept), minlength=len(places))
-        turn = by_bucket @ vectors
-        gradients = [
-            by_bucket[:, None] * direction + DECAY * vectors,
-            np.stack([-turn, turn]),
-            np.array([-slope.sum(), slope.sum()]),
-        ]
-        for p, g, m, v in zip(parameters, gradients, first, second):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + EPSILON)
+        by_bucket = np.bincount(buckets, np.repeat(by_word / counts, counts), minlength=len(places)).astype(np.float32)
+        turn = (by_bucket @ vectors).astype(np.float64)
+        for i in range(0, len(places), ROWS_AT_ONCE):
+            p, m, v = (a[i : i + ROWS_AT_ONCE] for a in (vectors, first[0], second[0]))
+            update(p, by_bucket[i : i + ROWS_AT_ONCE, None] * direction.astype(np.float32) + DECAY * p, m, v, step)
+        gradients = [np.stack([-turn, turn]), np.array([-slope.sum(), slope.sum()])]
+        for p, g, m, v in zip(parameters[1:], gradients, first[1:], second[1:]):
+            update(p, g, m, v, step)
     table = np.zeros(BUCKETS)
-    table[places] = vectors @ (softmax[1] - softmax[0])
+    table[places] = vectors @ (softmax[1] - softmax[0]).astype(np.float32)
     return Model(table, float(offset[1] - offset[0]))
 
 
+#: A text has ``_id``, ``_toxic`` and the hashes of its words; a word has no id, but its hash and its buckets.
+_FEATURES = "_id long, _toxic long, hash long, data binary"
+
+
+def _features(batches):
+    for batch in chunks(batches):
+        offsets, codes, words = runs_of(batch.column("text"))
+        buckets, counts = _sliced(words)
+        hashes = np.array([int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for w in words], dtype=np.int64)
+        of_texts = [hashes[codes[i:j]].astype("<i8").tobytes() for i, j in zip(offsets, offsets[1:])]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("_id").cast(pa.int64()), batch.column("_toxic").cast(pa.int64()), pa.nulls(len(of_texts), pa.int64()), pa.array(of_texts, pa.binary())],
+            ["_id", "_toxic", "hash", "data"],
+        )
+        ends = np.cumsum(counts)
+        for i in range(0, len(words), AT_ONCE):
+            of_words = [buckets[e - n : e].astype("<i4").tobytes() for e, n in zip(ends[i : i + AT_ONCE], counts[i : i + AT_ONCE])]
+            nothing = pa.nulls(len(of_words), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [nothing, nothing, pa.array(hashes[i : i + AT_ONCE]), pa.array(of_words, pa.binary())], ["_id", "_toxic", "hash", "data"]
+            )
+
+
+def _flat(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all binary rows end to end, and how many each row has."""
+    width = np.dtype(kind).itemsize
+    values = [np.frombuffer(v.as_buffer(), dtype=kind) for part in column.chunks for v in part]
+    sizes = np.asarray(pc.binary_length(column), dtype=np.int64) // width
+    return np.concatenate([np.zeros(0, dtype=kind), *values]), sizes
+
+
 def fit(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """A model of the labelled documents (``doc_id``, ``toxic``), at most ``max_train`` of them.
 
@@ -180,11 +221,18 @@ def fit(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) ->
     one = usable.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").alias("_toxic"))
     chosen = one.orderBy(F.xxhash64("_id"), "_id").limit(max_train)
     rows = documents.join(F.broadcast(chosen), documents["doc_id"] == chosen["_id"])  # max_train rows of 12 bytes
-    table = rows.select(F.col("text").cast("string").alias("text"), "_toxic", "_id").orderBy("_id").limit(max_train).toArrow()
-    toxic = (table.column("_toxic").to_numpy() > 0).astype(float)
-    texts = pa.concat_arrays(table.column("text").chunks) if table.num_rows else pa.array([], pa.string())
-    del table
-    return train(texts, toxic)
+    rows = rows.select("_id", F.col("_toxic").cast("long").alias("_toxic"), F.col("text").cast("string").alias("text"))
+    found = cut(map_arrow(rows, _features, _FEATURES), "features")
+    texts = found.where("_id IS NOT NULL").select("_id", "_toxic", "data").orderBy("_id", "data").limit(max_train).toArrow()
+    toxic = (texts.column("_toxic").to_numpy() > 0).astype(float)
+    of_texts, lengths = _flat(texts.column("data"), "<i8")
+    del texts
+    words = found.where("hash IS NOT NULL").groupBy("hash").agg(F.min("data").alias("data")).orderBy("hash").toArrow()
+    codes = np.searchsorted(words.column("hash").to_numpy(), of_texts)
+    del of_texts
+    buckets, sizes = _flat(words.column("data"), "<i4")
+    del words
+    return train(bags_of(np.concatenate([[0], np.cumsum(lengths)]), codes), buckets, sizes, toxic)
 
 
 def scores(documents: DataFrame, model: Model) -> DataFrame:

@@ -201,6 +201,19 @@ def test_toxicity(edges, empty, table):
     assert [r.doc_id for r in toxicity.without_toxic(probe.withColumn("extra", F.lit(1)), model).where("doc_id > 0").collect()] == [1]
 
 
+def test_toxicity_trains_rare_words(table):
+    """All 4,000 rows a model may take are learned from, and so is a word that few of them hold."""
+    assert toxicity.MAX_TRAIN == 4000
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choice(words, 12)) + (f" zq{chr(97 + i % 20)}{chr(97 + i // 20 % 20)}xj" if i < 40 else "") for i in range(800)]
+    rows = table("doc_id long, text string", *enumerate(texts))
+    model = toxicity.fit(rows, table("doc_id long, toxic int", *[(i, int(i < 40)) for i in range(800)]))
+    assert model.table[toxicity.subwords(["zqaaxj"])[0]].all()
+    score = np.array([r.score for r in toxicity.scores(rows, model).sort("doc_id").collect()])
+    assert (score[:40] > 0.5).all() and (score[40:] < 0.5).all()
+
+
 def test_token_counts(edges, empty):
     scores = {"▁": -3.0, "a": -2.0, "b": -2.0, "ab": -3.0, "▁a": -2.5, "ba": -3.5}
 
