@@ -25,7 +25,11 @@ BLOCKS = set(
     "html body div p article section main nav header footer aside ul ol li dl dt dd table thead tbody tfoot tr td th caption h1 h2 h3 h4"
     " h5 h6 form fieldset blockquote pre figure figcaption address details summary hr center dialog menu".split()
 )
-UNSEEN = ("script", "style", "noscript", "template", "svg", "iframe", "object", "textarea", "select", "button", "head", "title", "math", "canvas", "audio", "video")
+UNSEEN = {"noscript", "template", "svg", "iframe", "object", "select", "button", "title", "math", "canvas", "audio", "video"}
+#: Unseen as well; what they hold is no markup, so without an end tag they go on to the end.
+RAW = ("script", "style", "textarea")
+#: Elements that ``/>`` ends.
+FOREIGN = {"svg", "math"}
 #: Fixed values of HTML: what an opening tag closes in its list, table or flow.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -35,7 +39,7 @@ HOLDERS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<({'|'.join(UNSEEN)})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|(?=<body[\s>])|\Z)"
+    rf"|<({'|'.join(RAW)})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:.*?</\1\s*>|.*?(?=<body[\s>])|.*)"
     r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*+)>"
     r"|<[!?][^>]*+>",
     re.DOTALL | re.IGNORECASE,
@@ -109,6 +113,36 @@ def _text_features(text: str, linked: int, tag: str) -> list[int]:
     return [_buckets[n] for n in names]
 
 
+def _ends(source: str) -> dict[int, int]:
+    """Where the end tag of each unseen element is over, by where its opening tag starts; of those that have an end tag."""
+    ends: dict[int, int] = {}
+    open_at: dict[str, list[int]] = {}
+    for token in _TOKEN.finditer(source):
+        tag = (token[3] or "").lower()
+        if tag not in UNSEEN:
+            continue
+        starts = open_at.setdefault(tag, [])
+        if not token[2]:
+            if not (tag in FOREIGN and token[4].endswith("/")):
+                starts.append(token.start())
+        elif starts:
+            ends[starts.pop()] = token.end()
+    return ends
+
+
+def _tokens(source: str):
+    """Tags and comments of what is seen. An unseen element without end tag hides no more than its tag, a title its text."""
+    ends, at = None, 0
+    while token := _TOKEN.search(source, at):
+        at = token.end()
+        if not token[2] and (tag := (token[3] or "").lower()) in UNSEEN:
+            ends = _ends(source) if ends is None else ends
+            at = ends.get(token.start(), at)
+            if tag == "title" and token.start() not in ends:
+                at = len(source) if (found := source.find("<", at)) < 0 else found
+        yield token, at
+
+
 def parse(forest: Forest, page: int, source: str, label_of=None) -> None:
     """Add a page's nodes. ``label_of`` gives the label an opening tag sets for what it holds, or None to keep the parent's."""
     root = forest.add(-1, 0, [_buckets["tag root"]], "", page, 0)
@@ -126,12 +160,12 @@ def parse(forest: Forest, page: int, source: str, label_of=None) -> None:
         linked = 0
 
     at = 0
-    for token in _TOKEN.finditer(source):
+    for token, after in _tokens(source):
         if token.start() > at:
             piece = source[at : token.start()]
             run.append(piece)
             linked += len(piece) if in_link else 0
-        at = token.end()
+        at = after
         closing, tag, attributes = token[2], token[3], token[4]
         if tag is None:
             continue

@@ -186,6 +186,29 @@ def test_page_model(table):
     assert page_model.extract(df.where("false"), model).count() == 0
 
 
+@pytest.mark.parametrize(
+    "html, wanted",
+    [
+        ("<p>One <svg class=i/> two</p><p>Three.</p>", ["One two", "Three."]),
+        ("<p>One <svg class=i /> two</p><article>All</article><svg><text>no</text></svg><p>Three.", ["One two", "All", "Three."]),
+        ("<p>One <svg> two</p><article>All</article><svg><svg><text>no</text></svg>no</svg><p>Three.", ["One two", "All", "Three."]),
+        ("<button>x<p>b</p>", ["x", "b"]),
+        ("<button>no<p>no</p></button><object><select><p>b</p>", ["b"]),
+        ("<head><title>t</title><article><p>All of it", ["All of it"]),
+        ("<head><title>t<meta charset=x><article><p>All of it", ["All of it"]),
+        ("<head><script>'<body>'</script><style>p{}</style></head><body>All", ["All"]),
+        ("<p>a</p><script>no <p>no</p>", ["a"]),
+        ("<p>a</p><textarea>no <p>no</p>", ["a"]),
+        ("<noscript><p>no</p><!-- </noscript> --><p>no</p></noscript><template><script></template></script>no</template><p>b", ["b"]),
+        ("<button>" * 20_000 + "<p>b", ["b"]),
+    ],
+)
+def test_page_unseen(html, wanted):
+    forest = page_model.Forest()
+    page_model.parse(forest, 0, html)
+    assert [t for t, kind in zip(forest.text, forest.kind) if kind == 1] == wanted
+
+
 def test_toxicity(edges, empty, table):
     rng = np.random.default_rng(0)
     words = [f"w{i}" for i in range(300)]
