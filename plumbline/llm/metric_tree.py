@@ -23,8 +23,8 @@ from plumbline.llm.common import cut, map_arrow, ship
 PAGE, FAN = 64, 16
 #: Most vectors of a tree, most pivots, and most queries that are searched together.
 TREE, MAX_PIVOTS, QUERY_BLOCK = 4096, 512, 4096
-#: Components of this size or more are not exact in 64-bit sums of up to 256 components; such vectors take no part.
-MOST = float(1 << 17)
+#: Scores are 64-bit integers, which hold every inner product of vectors whose squared lengths are below this.
+MOST = float(1 << 62)
 
 PAGES = "tree long, page int, leaf boolean, ids binary, vectors binary, apart binary, radii binary, children binary"
 FOUND = "query_id long, vec_id long, score long, computed long"
@@ -33,12 +33,12 @@ FOUND = "query_id long, vec_id long, score long, computed long"
 def quantised(embeddings: DataFrame, scale: int = 1024) -> DataFrame:
     """``vec_id`` and ``x``, the components times ``scale`` rounded down, of the vectors that take part.
 
-    A vector takes part if it has an id and components, and none is null, NaN, infinite or ``MOST`` and larger. Of rows
+    A vector takes part if it has an id and components, and none is null, NaN or infinite. Of rows
     with one id, the smallest vector stays.
     """
     double = F.col("embedding").cast("array<double>")
     good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
-    good &= F.forall(double, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < MOST))
+    good &= F.forall(double, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     x = F.transform(double, lambda v: F.floor(v * F.lit(float(scale))).cast("long"))
     return embeddings.where(F.coalesce(good, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).groupBy("vec_id").agg(F.min("x").alias("x"))
 
@@ -59,7 +59,7 @@ def _dots(a: np.ndarray, b: np.ndarray, exact_floats: bool) -> np.ndarray:
 
 
 class Space:
-    """Distances of the lifted vectors: ``most`` is the largest squared length of any vector."""
+    """Distances of the lifted vectors: ``most`` is no less than the squared length of any vector."""
 
     def __init__(self, dims: int, most: int):
         self.dims, self.most, self.exact = dims, most, most < 1 << 52
@@ -174,16 +174,20 @@ def top_k(embeddings: DataFrame, is_query: F.Column, k: int = 10, scale: int = 1
     ``vec_id``. Scores are inner products of the components as :func:`quantised` gives them, the query's own id is no
     candidate, and equal scores go to the smaller id. Fewer than ``k`` candidates are all returned. A shorter vector
     counts as filled up with zeros. ``computed`` is how many vectors were compared with the query. Without vectors or
-    queries the result is empty.
+    queries the result is empty. A vector whose components make a squared length of 2**62 or more, so that scores might
+    not fit in 64 bits, is a ValueError.
     """
     spark = embeddings.sparkSession
     ship(spark)
     vectors = cut(quantised(embeddings, scale), "vectors")
-    square = F.aggregate("x", F.lit(0).cast("long"), lambda s, v: s + v * v)
+    square = F.aggregate("x", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
     total, dims, most = vectors.agg(F.count(F.lit(1)), F.max(F.size("x")), F.max(square)).first()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long, computed long")
-    space = Space(dims, most)
+    bound = int(most) if most < 1 << 52 else int(most * (1 + 1e-9)) + 1  # above the rounding error of the sum
+    if bound >= MOST:
+        raise ValueError(f"a vector has the squared length {most:.4g} in units of 1/{scale}; scores from {MOST:.4g} on do not fit in 64 bits")
+    space = Space(dims, bound)
     pivots = _pivots(vectors, min(max(-(-total // (TREE // 2)), 1), MAX_PIVOTS), dims)
 
     def assign(batches):

@@ -55,6 +55,21 @@ def test_top_k_edges(table):
     assert metric_tree.top_k(df.where("false"), F.col("vec_id") == 0).count() == 0
 
 
+def test_top_k_large_values(table):
+    """Vectors of any size take part; where scores might not fit in 64 bits the call fails and leaves nothing out."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in rng.integers(-400_000, 400_000, 5)]) for i in range(200)] + [(i, [float(v) for v in rng.integers(-9, 9, 5)]) for i in range(200, 300)]
+    df = table("vec_id long, embedding array<double>", *rows)
+    x = {i: [int(v) * 1024 for v in e] for i, e in rows}
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in metric_tree.top_k(df, F.col("vec_id") % 50 == 0).collect()}
+    for own in range(0, 300, 50):
+        wanted = sorted((-sum(a * b for a, b in zip(x[own], x[i])), i) for i in x if i != own)[:10]
+        assert [got[own, k] for k in range(1, 11)] == [(i, -s) for s, i in wanted]
+    for huge in ([131_071.0] * 300, [3e38]):
+        with pytest.raises(ValueError, match="64 bits"):
+            metric_tree.top_k(table("vec_id long, embedding array<double>", (0, [1.0]), (1, huge)), F.col("vec_id") == 0)
+
+
 def test_top_k_tree(rng=np.random.default_rng(1)):
     x = rng.integers(-50, 50, (3000, 6))
     x[:500] = x[0]
