@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -32,6 +32,14 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_key() -> Column:
+    """What tells a document from others: its id and its text. Rows that agree in it are repeats of one row."""
+    text = F.col("text").cast("string")
+    return F.struct(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.octet_length(text).alias("bytes")
+    )
+
+
 #: Most keys (up to 40 bytes each) that are sent to every task; larger key tables are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 

@@ -12,7 +12,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, send_if_small
+from plumbline.llm.common import cut, row_key, send_if_small
 
 WINDOW = 10
 #: Windows of a benchmark up to which they and their gram hashes are broadcast (about 0.2 KB each); more are joined by a shuffle.
@@ -63,7 +63,7 @@ def gram_hashes(windows: DataFrame, lengths: list[int]) -> DataFrame:
 
 def scanned(documents: DataFrame, grams: DataFrame, lengths: list[int]) -> DataFrame:
     """One row with ``n_words`` for each document (``gram`` null), and one for each gram of it that is known."""
-    row = _row()
+    row = row_key()
     tokens = documents.select(row.alias("row"), words(F.col("text")).alias("w"))
     probes = [F.array(F.lit(None).cast("long"))]
     for size, stride in sorted({gram_size(n) for n in lengths}):
@@ -74,14 +74,6 @@ def scanned(documents: DataFrame, grams: DataFrame, lengths: list[int]) -> DataF
     return joined.where("gram IS NULL OR known").select("row", "n_words", "gram")
 
 
-def _row() -> Column:
-    """What tells a document from others; rows that agree in it have the same result."""
-    text = F.col("text").cast("string")
-    return F.struct(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.octet_length(text).alias("bytes")
-    )
-
-
 def find_passages(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_hit``, ``n_items``, ``items`` and ``spans`` of every row of ``documents``.
 
@@ -91,12 +83,17 @@ def find_passages(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     first word (from 0) and length. Null texts have no words; rows that repeat each get their result. Columns other
     than ``doc_id`` and ``text``, and ``item_id`` and ``text`` of the benchmark, are not used.
     """
+    return _passages(documents, benchmark, window).drop("row")
+
+
+def _passages(documents: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """The columns of :func:`find_passages` and ``row``, the key of each row."""
     windows = cut(item_windows(benchmark, window), "windows")
     lengths = [r[0] for r in windows.select("length").distinct().sort("length").collect()]  # at most ``window`` rows
     if not lengths:
         none = F.array().cast("array<string>")
         return documents.select(
-            F.col("doc_id").cast("long").alias("doc_id"), F.size(words(F.col("text"))).cast("long").alias("n_words"),
+            row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.size(words(F.col("text"))).cast("long").alias("n_words"),
             F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"),
             none.alias("items"), F.array().cast("array<struct<first:int,length:int>>").alias("spans"),
         )
@@ -104,7 +101,7 @@ def find_passages(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     small = windows.count() <= BROADCAST_WINDOWS
     scan = cut(scanned(documents, F.broadcast(grams) if small else grams, lengths), "scan")
     hit_rows = send_if_small(cut(scan.where("gram IS NOT NULL").select("row").distinct(), "hits"))
-    suspects = documents.select(_row().alias("row"), "text").join(hit_rows, "row", "left_semi").dropDuplicates(["row"])
+    suspects = documents.select(row_key().alias("row"), "text").join(hit_rows, "row", "left_semi").dropDuplicates(["row"])
     suspects = cut(suspects.select("row", words(F.col("text")).alias("w")), "suspects")
     hashed = windows.withColumn("hash", F.xxhash64("window"))
     at = suspects.select("row", "w", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("length")).where("size(w) >= length")
@@ -125,6 +122,7 @@ def find_passages(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     same = F.col("c.row").eqNullSafe(F.col("p.row"))
     joined = counts.alias("c").join(per_row.alias("p"), same, "left")
     return joined.select(
+        F.col("c.row").alias("row"),
         F.col("c.row.doc_id").alias("doc_id"),
         "n_words",
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
@@ -136,6 +134,6 @@ def find_passages(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``documents``, with all their columns, that hold no benchmark window."""
-    found = find_passages(documents, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias("_hit")).distinct()
+    found = _passages(documents, benchmark, window).where("n_hit > 0").select(F.col("row").alias("_hit")).distinct()
     found = send_if_small(cut(found, "hits"))
-    return documents.join(found, documents["doc_id"].cast("long").eqNullSafe(found["_hit"]), "left_anti")
+    return documents.join(found, row_key() == F.col("_hit"), "left_anti")

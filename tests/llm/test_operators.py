@@ -120,6 +120,17 @@ def test_near_classes(table, edges, empty):
     assert sorted(r.doc_id for r in chosen_path.one_of_each(df).collect()) == [3, 6, 9]
 
 
+def test_near_dedup_rows(table):
+    """An id with two texts is two documents, rows without id stay, and one of exact repeats stays."""
+    text = [f"w{i}" for i in range(200)]
+    copy, other = " ".join(text[:150] + ["new"] + text[150:]), " ".join(f"v{i}" for i in range(50))
+    rows = [(3, " ".join(text), 1), (5, copy, 2), (5, other, 3), (None, "a b", 4), (None, "c d", 5), (7, "e f", 6), (7, "e f", 6), (9, other, 7), (9, other, 7)]
+    got = sorted(r.label for r in chosen_path.one_of_each(table("doc_id long, text string, label int", *rows)).collect())
+    assert got == [1, 3, 4, 5, 6]
+    got = sorted(r.label for r in chosen_path.one_of_each(table("doc_id long, text string, label int", *rows[:2], *rows[3:6])).collect())
+    assert got == [1, 4, 5, 6]
+
+
 def test_large_nodes(table):
     rows = [(i, " ".join([f"w{j}" for j in range(100)] + [f"x{i}"])) for i in range(300)]
     got = chosen_path.near_classes(table("doc_id long, text string", *rows)).collect()
@@ -280,6 +291,15 @@ def test_decontamination_edges(edges, empty, table):
     assert sorted(r.doc_id for r in decontaminate.clean_documents(edges, bench).collect()) == [1, 2, 5]
 
 
+def test_decontamination_rows(table):
+    """A contaminated row takes no other row along, with or without an id."""
+    leak = " ".join(WORDS)
+    rows = [(None, leak, 1), (None, "clean", 2), (5, leak, 3), (5, "clean too", 4), (None, None, 5), (6, leak, 6), (6, leak, 6)]
+    bench = table("item_id long, text string", (1, " ".join(WORDS[3:14])))
+    clean = decontaminate.clean_documents(table("doc_id long, text string, label int", *rows), bench)
+    assert sorted(r.label for r in clean.collect()) == [2, 4, 5]
+
+
 def test_chat(table):
     texts = ["<s>\\</s>[INST]\n<|im_start|>\\<|im_end|>", "", "a\\n\\\\", "<|im_end", None]
     for role in ("user", "a\nb", "</s>", "\\"):
