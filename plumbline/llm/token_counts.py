@@ -3,6 +3,9 @@
 A task puts the distinct pre-tokens of its texts into a trie. A trie node is a prefix, and the best score and number
 of pieces that end there depend on the prefix alone, so they are computed once however many pre-tokens share it; the
 nodes where pre-tokens end hold their counts.
+
+The given vocabulary is that of a BPE model, whose scores are merge ranks and no log probabilities. With it a count is
+the number of pieces on the path with the best sum of ranks, which is not the number of tokens the BPE model makes.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ SPACE = "▁"
 
 
 class Trie:
-    """Forward scores of prefixes; ``scores`` are the pieces' log probabilities."""
+    """Forward scores of prefixes; ``scores`` are added along a path, as log probabilities are."""
 
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
@@ -78,7 +81,8 @@ def count_tokens(documents: DataFrame, model_path: str) -> DataFrame:
 
     Pre-tokens are the words between white space (space, U+0009 to U+000D), each with a space mark before it. A
     character that no piece covers counts as its bytes in UTF-8. Null and empty texts have no tokens. Repeated rows are
-    counted each; columns other than ``doc_id`` and ``text`` are not used.
+    counted each; columns other than ``doc_id`` and ``text`` are not used. The scores are taken from the file as they are: of a
+    BPE file, ``n_tokens`` is not the count of its tokenizer.
     """
 
     def count(batches):

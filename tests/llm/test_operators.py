@@ -1,6 +1,8 @@
 """Operators of the training-data part against brute force, round trips and small edge cases."""
 
+import functools
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -281,6 +283,28 @@ def test_token_counts(edges, empty):
     assert token_counts.count_tokens(empty, public_tokenizers.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_token_counts_real_texts(spark):
+    """``n_tokens`` of real texts against the recurrence word by word, without a trie; the file's scores are ranks."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    scores = token_counts.piece_scores(path)
+    longest = max(map(len, scores))
+    assert sorted(scores.values(), reverse=True)[:3] == [-2.0, -3.0, -4.0]
+
+    @functools.cache
+    def brute(word):
+        best = [(0.0, 0)]
+        for i in range(1, len(word) + 1):
+            size = len(word[i - 1].encode())
+            ways = [(best[i - 1][0] + token_counts.BYTE_SCORE * size, best[i - 1][1] - size)]
+            ways += [(best[j][0] + scores[word[j:i]], best[j][1] - 1) for j in range(max(0, i - longest), i) if word[j:i] in scores]
+            best.append(max(ways))
+        return -best[-1][1]
+
+    texts = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(40)
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(texts, path).collect()}
+    assert got == {r.doc_id: sum(brute("▁" + w) for w in re.split("[ \t-\r]+", r.text or "") if w) for r in texts.collect()}
+
+
 def test_decontamination_edges(edges, empty, table):
     bench = table("item_id long, text string, doc_id int", (1, " ".join(WORDS[3:14]).upper(), 0), (2, "one, TWO!", 0), (3, None, 0), (4, "...", 0), (None, "ä ß", 0))
     got = {(r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontaminate.find_passages(edges, bench).collect()}
