@@ -20,7 +20,7 @@ from plumbline.llm import (
     toxicity,
     warc,
 )
-from plumbline.llm.common import read
+from plumbline.llm.common import cut, read
 
 SHARDS = 8
 TOXIC_FROM = 0.7
@@ -57,7 +57,11 @@ def op4_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = warc.archived(read(spark, sf_dir, "pages"), payloads=False).where("gap IS NULL")
+    pages = read(spark, sf_dir, "pages")
+    rows = cut(warc.archived(pages, payloads=False), "archived")
+    gaps, found = rows.agg(F.count("gap"), F.count_if(F.col("gap").isNull())).first()
+    if gaps or found != (wanted := pages.count()):
+        raise RuntimeError(f"{gaps} gaps in the archives, {found} records read" + ("" if gaps else f" of {wanted} pages"))
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -2,7 +2,7 @@
 
 Archives are written by Spark's text writer: a record ends with two line ends, and the last line feed is the writer's
 own separator, so the files are plain WARC. The reader checks each record's header, length, end and digests. After a
-failed check it looks for the next version line (or the next gzip member in a compressed archive), goes on there, and
+failed check it looks for the next version line or gzip member, whatever the archive began with, goes on there, and
 logs the bytes in between as a gap.
 """
 
@@ -22,8 +22,10 @@ from plumbline.session import scratch_path
 
 #: Payloads of fewer bytes are never stored as a reference to another record.
 LEAST_REVISIT = 1000
-#: Most records of a file.
-FILE_RECORDS = 2000
+#: Most records of a file, and bytes that it should not exceed unless it is a single record.
+FILE_RECORDS, FILE_BYTES = 2000, 1 << 28
+#: Bytes of a record's headers without its url.
+HEAD_BYTES = 2000
 
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -90,9 +92,24 @@ def records(pages: DataFrame, date: str = "2026-01-01T00:00:00Z") -> DataFrame:
 
 
 def write_archives(pages: DataFrame, folder: str) -> None:
-    """Plain WARC files of at most ``FILE_RECORDS`` records each in a new folder."""
-    out = records(pages).write.option("maxRecordsPerFile", FILE_RECORDS).option("lineSep", "\n")
-    out.option("compression", "none").text(folder)
+    """Plain WARC files of at most ``FILE_RECORDS`` records and about ``FILE_BYTES`` bytes each in a new folder.
+
+    Records that are too large for ``FILE_RECORDS`` of them are written apart, fewer to a file.
+    """
+    bytes_of = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)).cast("long") for c in ("html", "url")]
+    largest = (pages.agg(F.max(bytes_of[0] + 3 * bytes_of[1])).first()[0] or 0) + HEAD_BYTES
+    rows, usual = records(pages), FILE_BYTES // FILE_RECORDS
+
+    def write(part, count):
+        out = part.write.mode("append").option("maxRecordsPerFile", count).option("lineSep", "\n")
+        out.option("compression", "none").text(folder)
+
+    if largest <= usual:
+        write(rows, FILE_RECORDS)
+        return
+    size = F.octet_length("value")
+    write(rows.where(size <= usual), FILE_RECORDS)
+    write(rows.where(size > usual), max(FILE_BYTES // largest, 1))
 
 
 def _headers(raw: bytes) -> dict[str, str]:
@@ -129,47 +146,86 @@ def _record(data: bytes, at: int) -> tuple[dict[str, str], int, int]:
     return headers, start, end
 
 
-def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str | None]]:
-    """Records and gaps of one plain or gzip archive, as offset, length, headers, block and reason.
+Found = tuple[int, int, dict[str, str] | None, bytes, str | None]
+
 
-    A gap has no headers and names the check that failed. Offsets in a compressed archive are those of its members.
+def salvage(data: bytes) -> Iterator[Found]:
+    """Records and gaps of one archive, as offset, length, headers, block and reason; plain records and gzip members may mix.
+
+    A gap has no headers and names the first check that failed. What a member holds has the member's offset, and its
+    length once: all but the first have length 0. Of a broken member, records before another one's version line are
+    kept with length 0, and its bytes are a gap.
     """
-    if not _MEMBER.match(data):
-        yield from _plain(data, 0)
-        return
-    at = 0
+    at, bad, reason = 0, None, None
+    version = _START.search(data)
     while at < len(data):
-        member = zlib.decompressobj(31)
+        broken = None
         try:
-            plain = member.decompress(data[at:])
-            if not member.eof:
-                raise ValueError("member end")
-            headers, start, end = _record(plain, 0)
-            if end + len(END) != len(plain):
-                raise ValueError("record end")
-            size = len(data) - at - len(member.unused_data)
-            yield at, size, headers, plain[start:end], None
-            at += size
-        except (zlib.error, ValueError) as error:
-            reason = "gzip member" if isinstance(error, zlib.error) else str(error)
-            there = _next_member(data, at + 1)
-            yield at, there - at, None, b"", reason
+            if _START.match(data, at):
+                headers, start, end = _record(data, at)
+                found, there = [(at, end + len(END) - at, headers, data[start:end], None)], end + len(END)
+            elif _MEMBER.match(data, at):
+                plain, there = _unpacked(data, at)
+                inside = list(_plain(plain))
+                if there is None:
+                    found, broken = [f for f in inside if f[2] and _START.match(plain, f[0] + f[1])], "gzip member"
+                elif not any(f[2] for f in inside):
+                    raise ValueError(inside[0][4] if inside else "empty member")
+                else:
+                    found = inside
+                size = there - at if there is not None else 0
+                found = [(at, 0 if i else size, *f[2:]) for i, f in enumerate(found)]
+            else:
+                raise ValueError("version line")
+        except ValueError as error:
+            found, broken = [], str(error)
+        if bad is not None and found:
+            yield bad, at - bad, None, b"", reason
+            bad = None
+        yield from found
+        if broken is None:
             at = there
+            continue
+        if bad is None:
+            bad, reason = at, broken
+        if version and version.start() <= at:
+            version = _START.search(data, at + 1)
+        at = _next_member(data, at + 1, version.start() if version else len(data))
+    if bad is not None:
+        yield bad, len(data) - bad, None, b"", reason
 
 
-def _next_member(data: bytes, at: int) -> int:
-    """Where the next gzip member begins that unpacks to a version line; the end of the data if there is none."""
-    for found in _MEMBER.finditer(data, at):
+def _unpacked(data: bytes, at: int) -> tuple[bytes, int | None]:
+    """What the gzip member at ``at`` holds and where it is over; if it is broken, what comes before that and None."""
+    member, plain, view = zlib.decompressobj(31), [], memoryview(data)
+    while at < len(data) and not member.eof:
+        part, before = view[at : at + (1 << 16)], member.copy()
+        try:
+            plain.append(member.decompress(part))
+        except zlib.error:
+            try:
+                for i in range(len(part)):
+                    plain.append(before.decompress(part[i : i + 1]))
+            except zlib.error:
+                pass
+            return b"".join(plain), None
+        at += len(part)
+    return b"".join(plain), at - len(member.unused_data) if member.eof else None
+
+
+def _next_member(data: bytes, at: int, stop: int) -> int:
+    """Where the next gzip member before ``stop`` begins that unpacks to a version line; ``stop`` if there is none."""
+    for found in _MEMBER.finditer(data, at, stop):
         try:
             if _START.match(zlib.decompressobj(31).decompress(data[found.start() : found.start() + 4096], 64)):
                 return found.start()
         except zlib.error:
             continue
-    return len(data)
+    return stop
 
 
-def _plain(data: bytes, at: int) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str | None]]:
-    bad, reason = None, None
+def _plain(data: bytes) -> Iterator[Found]:
+    at, bad, reason = 0, None, None
     while at < len(data):
         try:
             headers, start, end = _record(data, at)

@@ -197,6 +197,38 @@ def test_warc_salvage(table):
     assert [bool(f[2]) for f in found] == [True, False, True, False, True] and sum(f[1] for f in found) == len(broken)
 
 
+def test_warc_salvage_any_start(table, monkeypatch):
+    """Later members are read whatever the archive begins with, and all records of a member."""
+    rows = [(i, "u", f"<p>page {i}</p>") for i in range(5)]
+    records = [r.value.encode() + b"\n" for r in warc.records(table("page_id long, url string, html string", *rows)).sort("value").collect()]
+    pack = [zlib.compress(r, wbits=31) for r in records]
+    for data, kinds in (
+        (b"\0" + pack[0][1:] + b"".join(pack[1:]), [0, 1, 1, 1, 1]),
+        (b"junk" + b"".join(pack), [0, 1, 1, 1, 1, 1]),
+        (zlib.compress(b"".join(records), wbits=31), [1] * 5),
+        (zlib.compress(b"".join(records[:2]) + b"junk" + records[2], wbits=31) + pack[3], [1, 1, 0, 1, 1]),
+        (b"".join(pack[:2]) + records[2] + pack[3], [1] * 4),
+        (zlib.compress(b"".join(records), wbits=31)[:-9], [1] * 4 + [0]),
+    ):
+        found = list(warc.salvage(data))
+        assert [int(bool(f[2])) for f in found] == kinds and sum(f[1] for f in found) == len(data)
+
+
+def test_warc_files_and_gaps(spark, table, tmp_path, monkeypatch):
+    """Files are bounded by bytes, and the query fails on a gap or a missing page."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 40_000)
+    monkeypatch.setattr(warc, "FILE_RECORDS", 10)
+    rows = [(i, "u", f"{i}" + "x" * (9_000 if i % 2 else 10)) for i in range(40)]
+    warc.write_archives(table("page_id long, url string, html string", *rows).coalesce(1), str(tmp_path / "w"))
+    assert max(f.stat().st_size for f in (tmp_path / "w").glob("part-*")) <= 40_000
+    assert sorted(r.page_id for r in warc.read_archives(spark, str(tmp_path / "w")).collect()) == list(range(40))
+    whole = warc.archived(spark.read.parquet(f"{SF}/pages.parquet"), payloads=False)
+    for broken in (whole.where("page_id <> 3"), whole.withColumn("gap", F.when(F.col("page_id") == 3, "version line"))):
+        monkeypatch.setattr(warc, "archived", lambda pages, payloads, broken=broken: broken)
+        with pytest.raises(RuntimeError):
+            queries.op5_warc_salvage(spark, SF)
+
+
 def test_page_model(table):
     model = page_model.trained_model()
     forest = page_model.Forest()
