@@ -6,7 +6,7 @@ Python worker and no shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -99,41 +99,74 @@ def _clean_type(c: Column) -> Column:
     return F.upper(F.regexp_replace(F.trim(c), r"\s*([,<>()])\s*", "$1"))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is read."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(c: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Each element of an array combined with all before it, by steps of doubling width."""
+
+    def widen(found: Column, k: Column) -> Column:
+        step = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(found, lambda x, i: F.when(i >= step, combine(x, F.get(found, i - step))).otherwise(x))
+
+    rounds = F.ceil(F.log2(F.greatest(F.size(c), F.lit(1)))).cast("int")
+    return F.aggregate(F.sequence(F.lit(0), rounds), c, widen)
+
+
 def _top_level_items(c: Column) -> Column:
     """Comma-separated items of ``c`` up to the parenthesis that closes them, whatever is nested in them.
 
-    One pass over brackets and the text between them keeps the depths. The end
+    The text is cut behind each bracket and comma, depths are running sums over
+    the pieces, and items are the pieces between commas at depth zero. The end
     of an outermost angle bracket is marked, so a type can be cut out later.
     ``closed`` is false when the text ends first.
     """
-    tokens = F.regexp_extract_all(c, F.lit(r"[(),<>]|[^(),<>]++"), F.lit(0))
-    zero, none = F.lit(0), F.array().cast("array<string>")
-    start = F.struct(
-        zero.alias("round"), zero.alias("angle"), F.lit(False).alias("closed"), F.lit("").alias("item"), none.alias("items")
-    )
-
-    def step(s: Column, t: Column) -> Column:
-        outside = s["round"] == 0
-        ends = (t == ")") & outside
-        splits = (t == ",") & outside & (s["angle"] == 0)
-        turn = F.when(t == "(", F.lit(1)).when(t == ")", F.lit(-1)).otherwise(zero)
-        bend = F.when(outside & (t == "<"), F.lit(1)).when(outside & (t == ">") & (s["angle"] > 0), F.lit(-1)).otherwise(zero)
-        token = F.when((bend == -1) & (s["angle"] == 1), F.concat(t, F.lit(TYPE_END))).otherwise(t)
-        cut = F.struct(
-            zero.alias("round"), zero.alias("angle"), ends.alias("closed"), F.lit("").alias("item"),
-            F.concat(s["items"], F.array(s["item"])).alias("items"),
-        )
-        grown = F.struct(
-            (s["round"] + turn).alias("round"), (s["angle"] + bend).alias("angle"), F.lit(False).alias("closed"),
-            F.concat(s["item"], token).alias("item"), s["items"].alias("items"),
-        )
-        return F.when(s["closed"], s).when(ends | splits, cut).otherwise(grown)
-
-    def finish(s: Column) -> Column:
-        rest = F.when(s["closed"], none).otherwise(F.array(s["item"]))
-        return F.struct(F.concat(s["items"], rest).alias("items"), s["closed"].alias("closed"))
-
-    return F.aggregate(tokens, start, step, finish)
+    zero, one = F.lit(0), F.lit(1)
+    pieces = F.regexp_extract_all(c, F.lit(r"[^(),<>]*+[(),<>]|[^(),<>]++\z"), zero)
+
+    def bends(s: Column, rise: str, fall: str, outside: Callable[[Column], Column]) -> Column:
+        turn = lambda x, i: F.when(outside(i) & x.endswith(rise), one).when(outside(i) & x.endswith(fall), -one).otherwise(zero)
+        return F.transform(s, turn)
+
+    def with_rounds(p: Column) -> Column:
+        return F.struct(p.alias("p"), _running(bends(p, "(", ")", lambda i: F.lit(True)), lambda x, y: x + y).alias("round"))
+
+    def with_end(s: Column) -> Column:
+        end = F.array_position(s["round"], -1).cast("int")
+        size = F.when(end > 0, end).otherwise(F.size(s["p"]))
+        return F.struct(F.slice(s["p"], one, size).alias("p"), F.slice(s["round"], one, size).alias("round"), end.alias("end"))
+
+    def with_bends(s: Column) -> Column:
+        bend = bends(s["p"], "<", ">", lambda i: F.get(s["round"], i) == 0)
+        return F.struct(*[s[n].alias(n) for n in ("p", "round", "end")], _running(bend, lambda x, y: x + y).alias("sum"))
+
+    def with_angles(s: Column) -> Column:
+        least = _running(s["sum"], lambda x, y: F.least(x, y))  # a closing bracket without its opening one counts for nothing
+        angle = F.zip_with(s["sum"], least, lambda x, low: x - F.least(zero, low))
+        return F.struct(*[s[n].alias(n) for n in ("p", "round", "end")], angle.alias("angle"))
+
+    def with_cuts(s: Column) -> Column:
+        at = lambda name, i: F.get(s[name], i)
+        ends_type = lambda x, i: x.endswith(">") & (at("round", i) == 0) & (at("angle", i) == 0) & (at("angle", i - 1) == 1)
+        marked = F.transform(s["p"], lambda x, i: F.when(ends_type(x, i), F.concat(x, F.lit(TYPE_END))).otherwise(x))
+        splits = lambda x, i: (x.endswith(",") & (at("round", i) == 0) & (at("angle", i) == 0)) | (i + 1 == s["end"])
+        cuts = F.filter(F.transform(s["p"], lambda x, i: F.when(splits(x, i), i + 1)), lambda i: i.isNotNull())
+        return F.struct(marked.alias("p"), cuts.alias("cuts"), (s["end"] > 0).alias("closed"))
+
+    def items(s: Column) -> Column:
+        before = lambda k: F.when(k > 0, F.get(s["cuts"], k - 1)).otherwise(zero)
+        text = lambda i, n: F.array_join(F.slice(s["p"], i + 1, n), "")
+        whole = F.transform(s["cuts"], lambda end, k: F.regexp_replace(text(before(k), end - before(k)), r".\z", ""))
+        last = before(F.size(s["cuts"]))
+        rest = F.when(s["closed"], F.array().cast("array<string>")).otherwise(F.array(text(last, F.size(s["p"]) - last)))
+        return F.struct(F.concat(whole, rest).alias("items"), s["closed"].alias("closed"))
+
+    out = pieces
+    for step in (with_rounds, with_end, with_bends, with_angles, with_cuts, items):
+        out = _once(out, step)
+    return out
 
 
 def _pairs(items: Column) -> Column:
@@ -156,8 +189,7 @@ def create_columns(c: Column) -> Column:
     head = rf"(?i)create\s+(?:or\s+replace\s+)?table\s+(?:if\s+not\s+exists\s+)?{QUALIFIED}\s*\((?s:(.*))$"
     plain = F.regexp_replace(c, rf"{QUOTED}|{COMMENT}", " ")
     none = F.array().cast("array<struct<name:string,type:string>>")
-    body = F.transform(F.array(F.regexp_extract(plain, head, 3)), _top_level_items)  # bound once, read twice below
-    return F.get(F.transform(body, lambda b: F.when(b["closed"], _pairs(b["items"])).otherwise(none)), F.lit(0))
+    return _once(_top_level_items(F.regexp_extract(plain, head, 3)), lambda b: F.when(b["closed"], _pairs(b["items"])).otherwise(none))
 
 
 def added_columns(c: Column) -> Column:

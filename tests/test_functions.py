@@ -149,6 +149,18 @@ def test_many_columns(one):
     assert time.monotonic() - begun < 5
 
 
+def test_time_of_columns_grows_with_their_number(one):
+    def seconds(n):
+        body = ",\n".join(f"c{i} STRUCT<a NUMERIC(10, {i % 9}), b INT64>" for i in range(n))
+        begun = time.monotonic()
+        assert len(one(f"create table d.t (\n{body}\n) options(x=1)", text.create_columns(C))) == n
+        return time.monotonic() - begun
+
+    seconds(100)
+    few = seconds(5000)
+    assert seconds(50000) < 25 * max(few, 1)
+
+
 def test_columns_with_quotes_comments_and_depth(one):
     deep = "STRUCT<a " * 6 + "ARRAY<INT64>" + ">" * 6
     sql = f"""create table d.t (
