@@ -13,9 +13,12 @@ from plumbline.llm import (
     chosen_path,
     curve_packing,
     decontaminate,
+    group_prefix,
+    hard_negatives,
     hash_tree,
     metric_tree,
     page_model,
+    prefix_trie,
     token_counts,
     toxicity,
     warc,
@@ -93,6 +96,19 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.fold_and_render(chat.events_of(rows)), together=True)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(read(spark, sf_dir, "conversations"))
+
+
+def op13_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_prefix.similar_classes(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')".format(
@@ -107,28 +123,33 @@ def _escaped(column: str) -> str:
     return out
 
 
-CHECKS = {
-    "op1_metric_tree_top_k": """
-        WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)) AS x FROM embeddings
-                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
-        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score
-              FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
-        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
-        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10""",
-    "op3_chosen_path_dedup": r"""
+def _similar(percent: int, columns: str) -> str:
+    """SQL for classes of documents whose sets of five-word shingles have the given similarity."""
+    return rf"""
         WITH RECURSIVE w AS (
-            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
             FROM documents),
         s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4])
                                                  WHEN len(w) > 0 THEN [w] ELSE [] END) AS shingle FROM w),
         n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
         p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
-        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= {percent} * (x.n + y.n - shared)),
         e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
         r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
         c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
-        SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
-        FROM documents JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)""".replace("{upper}", string.ascii_uppercase).replace("{lower}", string.ascii_lowercase),
+        SELECT {columns}
+        FROM documents JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+
+CHECKS = {
+    "op1_metric_tree_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)) AS x FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score
+              FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op3_chosen_path_dedup": _similar(85, "doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept"),
     "op5_warc_salvage": f"""
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS bytes, sha1(coalesce(html, '')) AS digest FROM pages),
         f AS (SELECT digest, max(page_id) AS first FROM p WHERE bytes >= {warc.LEAST_REVISIT} GROUP BY 1)
@@ -159,4 +180,39 @@ CHECKS = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
                sum(length({_escaped('role')}) + length({_escaped('text')}) + {len(chat.START) + 1 + len(chat.END)})::BIGINT AS formatted_chars
         FROM c GROUP BY conv_id""",
+    "op11_hard_negatives": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                          list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x FROM embeddings
+                   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+        s AS (SELECT q.vec_id AS a, c.vec_id AS v, q.label = c.label AS same, list_dot_product(q.x, c.x)::BIGINT AS score
+              FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+        p AS (SELECT a, v AS positive_id, score AS best FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, v) <= 5)
+        SELECT a AS anchor_id, positive_id, (row_number() OVER (PARTITION BY a, positive_id ORDER BY score DESC, v))::INTEGER AS rank,
+               v AS negative_id, best AS positive_score, score AS negative_score
+        FROM p JOIN s USING (a) WHERE NOT same AND 80 * best <= 100 * score AND score <= best
+        QUALIFY row_number() OVER (PARTITION BY a, positive_id ORDER BY score DESC, v) <= 5""",
+    "op12_prefix_trie": """
+        WITH o AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS t,
+                          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+                   FROM conversations WHERE conv_id IS NOT NULL),
+        own AS (SELECT conv_id, list({'r': r, 't': t} ORDER BY place) AS l FROM o GROUP BY 1),
+        -- the CRC-32 of the id's digits, bit by bit
+        bits AS (SELECT conv_id, l, conv_id - conv_id % 20 AS base,
+                        flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda d: [1000 + ascii(d), 0, 0, 0, 0, 0, 0, 0, 0])) AS b FROM own),
+        h AS (SELECT conv_id, l, base, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(b, lambda y: y::BIGINT)),
+                  lambda x, y: CASE WHEN y >= 1000 THEN xor(x, y - 1000) ELSE xor(x >> 1, (x & 1) * 3988292384) END)) % 4 AS h FROM bits),
+        r AS (SELECT h.conv_id, list_concat(coalesce(own.l, [])[1:h], h.l[h + 1:]) AS s FROM h LEFT JOIN own ON own.conv_id = base),
+        q AS (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS depth FROM r),
+        n AS (SELECT depth, s[1:depth] AS k, min(conv_id) AS conv_id, count(*) AS n_convs,
+                     sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(s) = depth), '')) AS ends_sha256
+              FROM q GROUP BY 1, 2),
+        m AS (SELECT n.*, p.conv_id AS parent_conv_id, coalesce(len(regexp_extract_all(k[n.depth].t, '[^\\x20\\x09-\\x0D]+')), 0) AS words
+              FROM n LEFT JOIN (SELECT depth + 1 AS depth, k AS pk, conv_id FROM n) p ON p.depth = n.depth AND p.pk = n.k[1:n.depth - 1]),
+        c AS (SELECT m.*, coalesce(children, 0) AS n_children FROM m
+              LEFT JOIN (SELECT depth - 1 AS d, k[1:depth - 1] AS ck, count(*) AS children FROM n WHERE depth > 0 GROUP BY 1, 2) ON d = depth AND ck = k)
+        SELECT x.conv_id, x.depth, x.parent_conv_id, x.n_convs, x.n_children, count(*) FILTER (y.n_children = 0) AS n_leaves,
+               sum((y.n_convs - 1) * y.words)::BIGINT AS saved_tokens, x.ends_sha256
+        FROM c x JOIN c y ON y.k[1:x.depth] = x.k AND y.depth >= x.depth
+        GROUP BY x.depth, x.k, x.conv_id, x.parent_conv_id, x.n_convs, x.n_children, x.ends_sha256""",
+    "op13_grouped_prefix_join": _similar(80, "doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id"),
 }

@@ -39,7 +39,7 @@ def test_sql(spark, name):
 
 
 def test_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in queries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in queries.QUERIES}
     assert set(queries.QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
 
 
