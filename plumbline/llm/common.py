@@ -44,9 +44,9 @@ def row_key() -> Column:
 BROADCAST_KEYS = 1_000_000
 
 
-def send_if_small(keys: DataFrame) -> DataFrame:
-    """Marks a written table of keys for broadcast if it has at most ``BROADCAST_KEYS`` rows."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+def send_if_small(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """Marks a written table of keys for broadcast if it has at most ``most`` rows."""
+    return F.broadcast(keys) if keys.count() <= most else keys
 
 
 _shipped: set[str] = set()

@@ -26,6 +26,8 @@ WORDS = 5
 MOST_FREQUENT = 200_000
 #: Shingles are counted in slices that stand for about this many bytes of text.
 SLICE_BYTES = 8 << 20
+#: Most keys (8 bytes each) of shared prefix shingles that are sent to every task; more are joined by a shuffle.
+SHARED_KEYS = 2_000_000
 #: Members of a group and groups of a block.
 GROUP, BLOCK = 64, 128
 
@@ -38,51 +40,65 @@ def _bits(texts: DataFrame) -> int:
     return max(7, int(total // SLICE_BYTES).bit_length())
 
 
-def shingle_counts(texts: DataFrame, bits: int, width: int = WORDS) -> DataFrame:
-    """``key`` (the leading ``32 + bits`` binary digits of a shingle's fingerprint) and ``n``, its documents, from 3 on.
+def _planes(numbers: np.ndarray) -> bytes:
+    """Ascending 32-bit numbers as bytes that compress well: their steps, all lowest bytes first."""
+    return np.diff(numbers, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel(), dtype=np.uint32)
+
 
-    Tasks count within chunks of text and send packed counts by slice; a slice is added up in one piece.
+def counts(rows: DataFrame, column: str, numbers, bits: int, least: int) -> DataFrame:
+    """``key`` (the leading ``32 + bits`` binary digits of a 64-bit number) and ``n``, its occurrences, from ``least`` on.
+
+    ``numbers`` gives the arrays of a record batch. Tasks count within chunks and send packed counts by slice, the
+    leading ``bits`` digits; a slice is added up in one piece, to which a chunk gives each key once.
     """
 
     def count(batches):
-        for batch in chunks(batches):
-            found = [s for s in shingle_sets(batch.column("text"), width) if len(s)]
+        for batch in chunks(batches, column):
+            found = [s for s in numbers(batch) if len(s)]
             if not found:
                 continue
             keys, n = np.unique(np.concatenate(found) >> np.uint64(32 - bits), return_counts=True)
             slices = (keys >> np.uint64(32)).astype(np.int64)
             edges = [0, *(np.flatnonzero(np.diff(slices)) + 1), len(keys)]
             low, n = keys.astype(np.uint32), n.astype(np.uint32)
-            parts = list(zip(edges, edges[1:]))
+            parts, again = list(zip(edges, edges[1:])), n > 1
             for at in range(0, len(parts), 4096):
-                some, again = parts[at : at + 4096], n > 1
+                some = parts[at : at + 4096]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(slices[[i for i, _ in some]]),
-                        pa.array([low[i:j][~again[i:j]].tobytes() for i, j in some], pa.binary()),
-                        pa.array([low[i:j][again[i:j]].tobytes() for i, j in some], pa.binary()),
+                        pa.array([_planes(low[i:j][~again[i:j]]) for i, j in some], pa.binary()),
+                        pa.array([_planes(low[i:j][again[i:j]]) for i, j in some], pa.binary()),
                         pa.array([n[i:j][again[i:j]].tobytes() for i, j in some], pa.binary()),
                     ],
                     ["slice", "once", "several", "counts"],
                 )
 
     def add(table: pa.Table) -> pa.Table:
-        once, several, counts = (
-            np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=np.uint32) for c in ("once", "several", "counts")
-        )
+        once, several = (np.concatenate([_from_planes(x) for x in table.column(c).to_pylist()]) for c in ("once", "several"))
+        held = np.frombuffer(b"".join(table.column("counts").to_pylist()), dtype=np.uint32)
         keys, place = np.unique(np.concatenate([once, several]), return_inverse=True)
-        n = np.bincount(place, weights=np.concatenate([np.ones(len(once)), counts])).astype(np.int64)
-        often = n >= 3
-        keys = keys[often].astype(np.int64) + (int(table.column("slice")[0].as_py()) << 32)
-        return pa.table({"key": pa.array(keys, pa.int64()), "n": pa.array(n[often], pa.int64())})
+        n = np.bincount(place, weights=np.concatenate([np.ones(len(once)), held])).astype(np.int64)
+        often = n >= least
+        keys = keys[often].astype(np.uint64) + (np.uint64(table.column("slice")[0].as_py()) << np.uint64(32))
+        return pa.table({"key": pa.array(keys.view(np.int64)), "n": pa.array(n[often], pa.int64())})
 
-    packed = map_arrow(texts.select("text"), count, "slice long, once binary, several binary, counts binary")
+    packed = map_arrow(rows.select(column), count, "slice long, once binary, several binary, counts binary")
     return packed.groupBy("slice").applyInArrow(add, "key long, n long")
 
 
-def frequent(counts: DataFrame, most: int = MOST_FREQUENT) -> np.ndarray:
+def shingle_counts(texts: DataFrame, bits: int, width: int = WORDS) -> DataFrame:
+    """``key`` and ``n``, the number of documents, of the shingles that three documents or more have."""
+    return counts(texts, "text", lambda batch: shingle_sets(batch.column("text"), width), bits, 3)
+
+
+def frequent(found: DataFrame, most: int = MOST_FREQUENT) -> np.ndarray:
     """Keys of the most frequent shingles, by their count; all that have a count are in or out together."""
-    steps = counts.groupBy("n").count().orderBy(F.desc("n")).limit(most).collect()  # each count has a key at least
+    steps = found.groupBy("n").count().orderBy(F.desc("n")).limit(most).collect()  # each count has a key at least
     least, held = None, 0
     for n, keys in steps:
         held += keys
@@ -91,7 +107,7 @@ def frequent(counts: DataFrame, most: int = MOST_FREQUENT) -> np.ndarray:
         least = n
     if least is None:
         return np.empty(0, dtype=np.uint64)
-    rows = counts.where(F.col("n") >= least).select("n", "key").toArrow()
+    rows = found.where(F.col("n") >= least).select("n", "key").toArrow()
     n, keys = (rows.column(c).to_numpy() for c in ("n", "key"))
     return keys[np.lexsort((keys, n))].astype(np.uint64)
 
@@ -140,7 +156,7 @@ def prefixes(documents: DataFrame, order: Order, percent: int, width: int) -> Da
 
 
 def members_and_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct sets (``id``, ``doc_id``, ``high``, ``low``, ``n_shingles``, ``g``), and groups (``g``, ``n_shingles``, ``prefix``, ``members``).
+    """Distinct sets (``id``, ``doc_id``, ``high``, ``low``, ``n_shingles``, ``g``), and groups (``g``, its first member's ``doc_id``, ``high`` and ``low``, ``members``).
 
     A group holds about ``GROUP`` members at most; more members with one prefix and size are several groups.
     """
@@ -152,26 +168,30 @@ def members_and_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     dealt = members.join(parts, key, "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))))
     numbers = dealt.groupBy(*key, "part").agg(F.min("id").alias("g"), F.count(F.lit(1)).alias("members"))
     members = cut(dealt.join(numbers, [*key, "part"]).drop("parts", "part"), "members")
-    known = ["doc_id", *key]
-    with_prefix = usable.select(*known, "prefix").dropDuplicates(known)
-    groups = members.where("id = g").join(with_prefix, known).select("g", "n_shingles", "prefix", "members")
+    groups = members.where("id = g").select("g", "doc_id", "high", "low", "members")
     return members.select("id", "doc_id", "high", "low", "n_shingles", "g"), cut(groups, "groups")
 
 
-def index_nodes(groups: DataFrame) -> DataFrame:
+def with_prefixes(rows: DataFrame, groups: DataFrame, docs: DataFrame) -> DataFrame:
+    """``rows`` with the sizes and prefixes of their groups ``g``, which are read from the groups' first members."""
+    named = rows.join(groups.select("g", "doc_id", "high", "low"), "g")
+    return docs.select("doc_id", "high", "low", "n_shingles", "prefix").join(send_if_small(cut(named, "named")), ["doc_id", "high", "low"])
+
+
+def index_nodes(groups: DataFrame, docs: DataFrame, bits: int) -> DataFrame:
     """``node`` and ``g``: the groups around each prefix shingle that several of them have; equal ones stand once."""
+    indexed = with_prefixes(groups.select("g"), groups, docs).select("g", "prefix")
 
     def unpack(batches):
-        for batch in batches:
-            sizes = [len(x) // 8 for x in batch.column("prefix").to_pylist()]
-            tokens = np.frombuffer(b"".join(batch.column("prefix").to_pylist()), dtype=np.uint64)
-            for at in range(0, len(tokens), 1 << 18):
-                part = slice(at, at + (1 << 18))
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[part].view(np.int64)), pa.array(np.repeat(batch.column("g").to_numpy(), sizes)[part])], ["token", "g"])
-
-    entries = map_arrow(groups.select("g", "prefix"), unpack, "token long, g long")
-    shared = cut(entries.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token"), "tokens")
-    entries = cut(entries.join(shared, "token"), "entries")
+        for batch in chunks(batches, "prefix"):
+            sets = batch.column("prefix").to_pylist()
+            g = np.repeat(batch.column("g").to_numpy(), [len(x) // 8 for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(sets), dtype=np.int64)), pa.array(g)], ["token", "g"])
+
+    numbers = lambda batch: [np.frombuffer(x, dtype=np.uint64) for x in batch.column("prefix").to_pylist()]
+    shared = cut(counts(indexed, "prefix", numbers, bits, 2).select("key"), "shared")
+    entries = map_arrow(indexed, unpack, "token long, g long").withColumn("key", F.shiftrightunsigned("token", 32 - bits))
+    entries = cut(entries.join(send_if_small(shared, SHARED_KEYS), "key").drop("key"), "entries")
     around = entries.groupBy("token").agg(
         F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("g")).alias("x"), F.bit_xor(F.xxhash64("g", F.lit(1))).alias("y")
     )
@@ -223,22 +243,21 @@ def possible_groups(rows: DataFrame, percent: int) -> DataFrame:
     return _by_group(rows, of_block, TOUCHED)
 
 
-MEMBERS = "group long, id long, label long, side int, found binary"
+MEMBERS = ["group", "id", "label", "side", "high", "low", "text"]
 
 
 def confirmed_links(rows: DataFrame, documents: DataFrame, percent: int, width: int) -> DataFrame:
-    """Links ``a < b`` that join the classes of each block: ``rows`` name members, their label, document and set."""
+    """Links ``a < b`` that join the classes of each block: ``rows`` name members, their label, document and set.
 
-    def find(batches):
-        for batch in chunks(batches):
-            sets = [x.tobytes() for x in shingle_sets(batch.column("text"), width)]
-            ours = [_halves(s) == (h, l) for s, h, l in zip(sets, batch.column("high").to_pylist(), batch.column("low").to_pylist())]
-            columns = [batch.column(c) for c in ("group", "id", "label", "side")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sets, pa.binary())], ["group", "id", "label", "side", "found"]).filter(pa.array(ours))
+    Texts are moved, which compress to less than their sets; the sets are made where they are compared.
+    """
 
     def of_block(table):
+        sets = list(shingle_sets(table.column("text").combine_chunks(), width))
+        wanted = zip(table.column("high").to_pylist(), table.column("low").to_pylist())
+        ours = np.flatnonzero([_halves(s.tobytes()) == w for s, w in zip(sets, wanted)])  # not another text of the same id
+        table, sets = table.take(pa.array(ours)), [sets[i] for i in ours]
         side, ids = (table.column(c).to_numpy() for c in ("side", "id"))
-        sets = [np.frombuffer(s, dtype=np.uint64) for s in table.column("found").to_pylist()]
         size = np.array([len(s) for s in sets])
         classes, links = _Classes(table.column("label").to_pylist()), []
         right = np.flatnonzero(side & 2)
@@ -257,14 +276,17 @@ def confirmed_links(rows: DataFrame, documents: DataFrame, percent: int, width:
 
     rows = cut(rows, "rows")
     wanted = documents.join(send_if_small(rows.select("doc_id").distinct()), "doc_id", "left_semi")
-    texts = wanted.join(rows, "doc_id").select("group", "id", "label", "side", "high", "low", "text")
-    return _by_group(map_arrow(texts, find, MEMBERS), of_block, "a long, b long").distinct()
+    texts = wanted.join(rows, "doc_id").select(MEMBERS)
+    return _by_group(texts, of_block, "a long, b long").distinct()
 
 
-def first_blocks(nodes: DataFrame) -> DataFrame:
-    """``group``, ``g`` and ``side``: the first group of each node (1) with the others (2), each pair once."""
+def first_blocks(nodes: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """``group``, ``g`` and ``side``: the first group of each node (1) with the others of like size (2), each pair once."""
     first = nodes.groupBy("node").agg(F.min("g").alias("a"))
     pairs = nodes.join(first, "node").where("g != a").select("a", "g").distinct()
+    size = sizes.select("g", "n_shingles")
+    both = pairs.join(size, "g").join(size.select(F.col("g").alias("a"), F.col("n_shingles").alias("n")), "a")
+    pairs = cut(both.where(F.lit(percent) * F.greatest("n", "n_shingles") <= 100 * F.least("n", "n_shingles")).select("a", "g"), "pairs")
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     others = pairs.join(parts, "a").select(F.xxhash64("a", F.pmod(F.xxhash64("g"), F.col("parts"))).alias("group"), "g", F.lit(2).alias("side"))
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
@@ -303,16 +325,21 @@ def similar_classes(documents: DataFrame, percent: int = 80, width: int = WORDS)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bits = _bits(texts)
     last = frequent(cut(shingle_counts(texts, bits, width), "counts"))
-    docs = cut(prefixes(texts, Order(last, bits), percent, width), "prefixes")
+    all_docs = cut(prefixes(texts, Order(last, bits), percent, width), "prefixes")
+    repeated = cut(texts.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.take(1):  # repeated rows are compared once
+        docs, texts = _once(all_docs, repeated, "high", "low"), _once(texts, repeated, "text")
+    else:
+        docs = all_docs
     members, groups = members_and_groups(docs)
-    nodes = index_nodes(groups)
+    nodes = index_nodes(groups, docs, bits)
 
     def links(blocks: DataFrame, labels: DataFrame, inside: DataFrame | None = None) -> DataFrame:
         """Links of members in blocks of groups; ``labels`` has the class of each member."""
         by_group = labels.groupBy("g").agg(F.min("label").alias("label"), F.max("label").alias("most"))
         one_class = F.when(F.col("label") == F.col("most"), F.col("label")).otherwise(-1 - F.col("g"))
         names = [f.split()[0] for f in ENTRIES.split(", ")]
-        entries = blocks.join(by_group.select("g", one_class.alias("label")), "g").join(groups, "g")
+        entries = with_prefixes(blocks.join(by_group.select("g", one_class.alias("label")), "g"), groups, docs)
         left = possible_groups(entries.select(names), percent)
         if inside is not None:
             left = left.unionByName(inside)
@@ -321,7 +348,7 @@ def similar_classes(documents: DataFrame, percent: int = 80, width: int = WORDS)
 
     alone = members.withColumn("label", F.col("id"))
     several = groups.where("members > 1").select(F.xxhash64("g", F.lit("inside")).alias("group"), "g", F.lit(3).alias("side"))
-    found = links(first_blocks(nodes), alone, several).unionByName(_same_id(docs, members))
+    found = links(first_blocks(nodes, members.where("id = g"), percent), alone, several).unionByName(_same_id(docs, members))
     found = cut(found, "links")
 
     def labelled() -> DataFrame:
@@ -336,11 +363,17 @@ def similar_classes(documents: DataFrame, percent: int = 80, width: int = WORDS)
         labels = labelled()
     smallest = labels.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     reached = labels.join(smallest, "label").select("high", "low", "component_id")
-    joined = docs.select("doc_id", "n_shingles", "high", "low").join(reached, ["high", "low"], "left")
+    joined = all_docs.select("doc_id", "n_shingles", "high", "low").join(reached, ["high", "low"], "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
+def _once(rows: DataFrame, repeated: DataFrame, *columns: str) -> DataFrame:
+    """One of the rows that agree in ``doc_id`` and the given columns."""
+    several = rows.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", *columns])
+    return rows.join(repeated, "doc_id", "left_anti").unionByName(several)
+
+
 def _same_id(docs: DataFrame, members: DataFrame) -> DataFrame:
     """Links between the sets of one ``doc_id``."""
     sets = docs.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "high", "low")
