@@ -178,8 +178,17 @@ def with_prefixes(rows: DataFrame, groups: DataFrame, docs: DataFrame) -> DataFr
     return docs.select("doc_id", "high", "low", "n_shingles", "prefix").join(send_if_small(cut(named, "named")), ["doc_id", "high", "low"])
 
 
-def index_nodes(groups: DataFrame, docs: DataFrame, bits: int) -> DataFrame:
-    """``node`` and ``g``: the groups around each prefix shingle that several of them have; equal ones stand once."""
+def size_class(size: str, percent: int) -> F.Column:
+    """Sets that can be similar are of one class or of classes that follow each other."""
+    return F.floor(F.log(F.col(size)) / F.log(F.lit(100 / percent + 1e-6))).cast("int")
+
+
+def index_nodes(groups: DataFrame, docs: DataFrame, bits: int, percent: int) -> DataFrame:
+    """``node``, ``of``, ``g`` and ``n_shingles``: the groups around each prefix shingle, by the class ``of`` of their sizes.
+
+    A group stands in its own size class and the next, so a node's pairs of interest have a group of its class ``of``.
+    Of nodes with the same groups, that of the smallest shingle is kept.
+    """
     indexed = with_prefixes(groups.select("g"), groups, docs).select("g", "prefix")
 
     def unpack(batches):
@@ -191,15 +200,20 @@ def index_nodes(groups: DataFrame, docs: DataFrame, bits: int) -> DataFrame:
     numbers = lambda batch: [np.frombuffer(x, dtype=np.uint64) for x in batch.column("prefix").to_pylist()]
     shared = cut(counts(indexed, "prefix", numbers, bits, 2).select("key"), "shared")
     entries = map_arrow(indexed, unpack, "token long, g long").withColumn("key", F.shiftrightunsigned("token", 32 - bits))
-    entries = cut(entries.join(send_if_small(shared, SHARED_KEYS), "key").drop("key"), "entries")
-    around = entries.groupBy("token").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("g")).alias("x"), F.bit_xor(F.xxhash64("g", F.lit(1))).alias("y")
-    )
-    once = around.groupBy("n", "x", "y").agg(F.min("token").alias("token")).select("token")
-    return cut(entries.join(once, "token").select(F.col("token").alias("node"), "g"), "nodes")
-
-
-ENTRIES = "group long, g long, side int, n_shingles long, label long, prefix binary"
+    entries = entries.join(send_if_small(shared, SHARED_KEYS), "key").select("token", "g")
+    sizes = docs.select("high", "low", "n_shingles").join(send_if_small(groups.select("g", "doc_id", "high", "low")), ["high", "low"])
+    sizes = cut(sizes.select("g", "n_shingles").distinct(), "sizes")
+    sized = cut(entries.distinct().join(sizes, "g"), "entries")
+    own = size_class("n_shingles", percent)
+    dealt = sized.select("token", "g", "n_shingles", own.alias("own"), F.explode(F.array(own, own + 1)).alias("of"))
+    around = dealt.groupBy("token", "of").agg(
+        F.count(F.lit(1)).alias("n"), F.max("own").alias("most"), F.bit_xor(F.xxhash64("g")).alias("x"), F.bit_xor(F.xxhash64("g", F.lit(1))).alias("y")
+    ).where("n > 1 AND most = of")
+    once = around.groupBy("of", "n", "x", "y").agg(F.min("token").alias("token")).select("token", "of")
+    return cut(dealt.join(once, ["token", "of"]).select(F.col("token").alias("node"), "of", "g", "n_shingles"), "nodes")
+
+
+ENTRIES = ["group", "g", "side", "n_shingles", "label", "prefix", "node", "of"]
 TOUCHED = "group long, g long, side int"
 
 
@@ -223,22 +237,46 @@ def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
     return out
 
 
+def _rests(sets: list[np.ndarray], size: np.ndarray, last: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """What is left of set ``x`` behind the end of the prefix of ``y``, where that ends first."""
+    before = np.stack([np.searchsorted(sets[i], last[y], side="right") for i in x])
+    return size[x][:, None] - before
+
+
 def possible_groups(rows: DataFrame, percent: int) -> DataFrame:
-    """Rows of a block with a partner of another class on the other side that sizes and prefixes do not rule out."""
+    """Rows of a block with a partner of another class on the other side that sizes and prefixes do not rule out.
+
+    Where a block has a ``node``, a pair counts only at the first shingle that both prefixes have, in its size class ``of``.
+    """
 
     def of_block(table):
         side, size, label, g = (table.column(c).to_numpy() for c in ("side", "n_shingles", "label", "g"))
         sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("prefix").to_pylist()]
+        node, of = (table.column(c)[0].as_py() for c in ("node", "of"))
         length, last = np.array([len(s) for s in sets]), np.array([s[-1] for s in sets])
         x, y = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
         if not len(x) or not len(y):
             return table.slice(0, 0)
+        low, high = np.minimum(size[x][:, None], size[y][None, :]), np.maximum(size[x][:, None], size[y][None, :])
+        good = (label[x][:, None] != label[y][None, :]) & (g[x][:, None] != g[y][None, :]) & (100 * low >= percent * high)
+        if node is not None:
+            own = np.floor(np.log(size) / np.log(100 / percent + 1e-6)).astype(int)
+            good &= np.maximum(own[x][:, None], own[y][None, :]) == of
+        if not good.any():
+            return table.slice(0, 0)
         shared = _shared_counts([sets[i] for i in x], [sets[i] for i in y])
-        # Up to the end of the prefix that ends first, common shingles are in both; the rest of its set may be common, too.
-        rest = np.where(last[x][:, None] <= last[y][None, :], (size - length)[x][:, None], (size - length)[y][None, :])
-        enough = (shared + rest) * (100 + percent) >= percent * (size[x][:, None] + size[y][None, :])
-        enough &= (label[x][:, None] != label[y][None, :]) & (g[x][:, None] != g[y][None, :]) & (shared > 0)
-        return table.take(pa.array(np.concatenate([x[enough.any(axis=1)], y[enough.any(axis=0)]])))
+        # Up to the end of the prefix that ends first, common shingles are in both; what is left of both sets may be common, too.
+        rest = np.where(
+            last[x][:, None] <= last[y][None, :],
+            np.minimum((size - length)[x][:, None], _rests(sets, size, last, y, x).T),
+            np.minimum((size - length)[y][None, :], _rests(sets, size, last, x, y)),
+        )
+        good &= ((shared + rest) * (100 + percent) >= percent * (low + high)) & (shared > 0)
+        if node is not None:
+            signed = [s.view(np.int64) for s in sets]
+            for i, j in zip(*np.nonzero(good)):
+                good[i, j] = np.intersect1d(signed[x[i]], signed[y[j]], assume_unique=True)[0] == node
+        return table.take(pa.array(np.concatenate([x[good.any(axis=1)], y[good.any(axis=0)]])))
 
     return _by_group(rows, of_block, TOUCHED)
 
@@ -281,34 +319,34 @@ def confirmed_links(rows: DataFrame, documents: DataFrame, percent: int, width:
 
 
 def first_blocks(nodes: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """``group``, ``g`` and ``side``: the first group of each node (1) with the others of like size (2), each pair once."""
-    first = nodes.groupBy("node").agg(F.min("g").alias("a"))
-    pairs = nodes.join(first, "node").where("g != a").select("a", "g").distinct()
-    size = sizes.select("g", "n_shingles")
-    both = pairs.join(size, "g").join(size.select(F.col("g").alias("a"), F.col("n_shingles").alias("n")), "a")
+    """``group``, ``g``, ``side``, and no ``node`` and ``of``: the first group of each node (1) with the others of like size (2), each pair once."""
+    first = nodes.groupBy("node", "of").agg(F.min("g").alias("a"))
+    pairs = nodes.join(first, ["node", "of"]).where("g != a").select("a", "g", "n_shingles").distinct()
+    both = pairs.join(sizes.select(F.col("g").alias("a"), F.col("n_shingles").alias("n")), "a")
     pairs = cut(both.where(F.lit(percent) * F.greatest("n", "n_shingles") <= 100 * F.least("n", "n_shingles")).select("a", "g"), "pairs")
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     others = pairs.join(parts, "a").select(F.xxhash64("a", F.pmod(F.xxhash64("g"), F.col("parts"))).alias("group"), "g", F.lit(2).alias("side"))
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
     heads = parts.select("a", each).select(F.xxhash64("a", "part").alias("group"), F.col("a").alias("g"), F.lit(1).alias("side"))
-    return others.unionByName(heads)
+    return others.unionByName(heads).select("*", F.lit(None).cast("long").alias("node"), F.lit(None).cast("int").alias("of"))
 
 
 def open_blocks(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """Blocks of the nodes with more than one class: groups outside a node's largest class (1) with all of its groups (2)."""
+    key = ["node", "of"]
     labelled = cut(nodes.join(labels, "g"), "open")
-    by_label = labelled.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
-    top = by_label.groupBy("node").agg(
+    by_label = labelled.groupBy(*key, "label").agg(F.count(F.lit(1)).alias("n"))
+    top = by_label.groupBy(*key).agg(
         F.max(F.struct("n", "label"))["label"].alias("top"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("others")
     ).where("others > 0")
-    blocks = top.select("node", "top", F.ceil(F.col("others") / BLOCK).alias("lefts"), F.ceil(F.col("all") / BLOCK).alias("rights"))
-    rows = labelled.join(blocks, "node")
+    blocks = top.select(*key, "top", F.ceil(F.col("others") / BLOCK).alias("lefts"), F.ceil(F.col("all") / BLOCK).alias("rights"))
+    rows = labelled.join(blocks, key)
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias("at")
     own = lambda n: F.pmod(F.xxhash64("g"), F.col(n)).alias("own")
-    left = rows.where("label != top").select("node", "g", own("lefts"), each("rights"))
-    left = left.select(F.xxhash64("node", "own", "at").alias("group"), "g", F.lit(1).alias("side"))
-    right = rows.select("node", "g", own("rights"), each("lefts"))
-    right = right.select(F.xxhash64("node", "at", "own").alias("group"), "g", F.lit(2).alias("side"))
+    left = rows.where("label != top").select(*key, "g", own("lefts"), each("rights"))
+    left = left.select(F.xxhash64(*key, "own", "at").alias("group"), "g", F.lit(1).alias("side"), *key)
+    right = rows.select(*key, "g", own("rights"), each("lefts"))
+    right = right.select(F.xxhash64(*key, "at", "own").alias("group"), "g", F.lit(2).alias("side"), *key)
     return left.unionByName(right)
 
 
@@ -332,15 +370,14 @@ def similar_classes(documents: DataFrame, percent: int = 80, width: int = WORDS)
     else:
         docs = all_docs
     members, groups = members_and_groups(docs)
-    nodes = index_nodes(groups, docs, bits)
+    nodes = index_nodes(groups, docs, bits, percent)
 
     def links(blocks: DataFrame, labels: DataFrame, inside: DataFrame | None = None) -> DataFrame:
         """Links of members in blocks of groups; ``labels`` has the class of each member."""
         by_group = labels.groupBy("g").agg(F.min("label").alias("label"), F.max("label").alias("most"))
         one_class = F.when(F.col("label") == F.col("most"), F.col("label")).otherwise(-1 - F.col("g"))
-        names = [f.split()[0] for f in ENTRIES.split(", ")]
         entries = with_prefixes(blocks.join(by_group.select("g", one_class.alias("label")), "g"), groups, docs)
-        left = possible_groups(entries.select(names), percent)
+        left = possible_groups(entries.select(ENTRIES), percent)
         if inside is not None:
             left = left.unionByName(inside)
         rows = left.join(labels.select("g", "id", "label", "doc_id", "high", "low"), "g").drop("g")
