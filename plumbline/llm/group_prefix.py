@@ -112,6 +112,17 @@ def frequent(found: DataFrame, most: int = MOST_FREQUENT) -> np.ndarray:
     return keys[np.lexsort((keys, n))].astype(np.uint64)
 
 
+def packed(codes: np.ndarray) -> bytes:
+    """Ascending ordering numbers, the leading 48 binary digits of them, as bytes that compress well."""
+    return np.diff(codes >> np.uint64(16), prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    steps = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    steps[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(6, -1).T
+    return np.cumsum(steps.view("<i8").ravel())
+
+
 class Order:
     """The order of shingles: rare ones by fingerprint, then the frequent ones by their count."""
 
@@ -146,7 +157,7 @@ def prefixes(documents: DataFrame, order: Order, percent: int, width: int) -> Da
         for batch in chunks(batches):
             rows = []
             for found in shingle_sets(batch.column("text"), width):
-                prefix = shared.value.prefix(found, percent).tobytes() if len(found) else b""
+                prefix = packed(shared.value.prefix(found, percent)) if len(found) else b""
                 rows.append((len(found), *_halves(found.tobytes()), prefix, *_halves(prefix)))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
             columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
@@ -193,13 +204,13 @@ def index_nodes(groups: DataFrame, docs: DataFrame, bits: int, percent: int) ->
 
     def unpack(batches):
         for batch in chunks(batches, "prefix"):
-            sets = batch.column("prefix").to_pylist()
-            g = np.repeat(batch.column("g").to_numpy(), [len(x) // 8 for x in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(sets), dtype=np.int64)), pa.array(g)], ["token", "g"])
+            sets = [unpacked(x) for x in batch.column("prefix").to_pylist()]
+            g = np.repeat(batch.column("g").to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(g)], ["token", "g"])
 
-    numbers = lambda batch: [np.frombuffer(x, dtype=np.uint64) for x in batch.column("prefix").to_pylist()]
+    numbers = lambda batch: [np.unique(unpacked(x)).astype(np.uint64) << np.uint64(16) for x in batch.column("prefix").to_pylist()]
     shared = cut(counts(indexed, "prefix", numbers, bits, 2).select("key"), "shared")
-    entries = map_arrow(indexed, unpack, "token long, g long").withColumn("key", F.shiftrightunsigned("token", 32 - bits))
+    entries = map_arrow(indexed, unpack, "token long, g long").withColumn("key", F.shiftrightunsigned(F.shiftleft("token", 16), 32 - bits))
     entries = entries.join(send_if_small(shared, SHARED_KEYS), "key").select("token", "g")
     sizes = docs.select("high", "low", "n_shingles").join(send_if_small(groups.select("g", "doc_id", "high", "low")), ["high", "low"])
     sizes = cut(sizes.select("g", "n_shingles").distinct(), "sizes")
@@ -207,8 +218,8 @@ def index_nodes(groups: DataFrame, docs: DataFrame, bits: int, percent: int) ->
     own = size_class("n_shingles", percent)
     dealt = sized.select("token", "g", "n_shingles", own.alias("own"), F.explode(F.array(own, own + 1)).alias("of"))
     around = dealt.groupBy("token", "of").agg(
-        F.count(F.lit(1)).alias("n"), F.max("own").alias("most"), F.bit_xor(F.xxhash64("g")).alias("x"), F.bit_xor(F.xxhash64("g", F.lit(1))).alias("y")
-    ).where("n > 1 AND most = of")
+        F.count(F.lit(1)).alias("n"), F.max("own").alias("most"), F.max("n_shingles").alias("largest"), F.min("n_shingles").alias("smallest"), F.bit_xor(F.xxhash64("g")).alias("x"), F.bit_xor(F.xxhash64("g", F.lit(1))).alias("y")
+    ).where("n > 1 AND most = of").where((F.col("n") > 2) | (F.lit(percent) * F.col("largest") <= 100 * F.col("smallest")))
     once = around.groupBy("of", "n", "x", "y").agg(F.min("token").alias("token")).select("token", "of")
     return cut(dealt.join(once, ["token", "of"]).select(F.col("token").alias("node"), "of", "g", "n_shingles"), "nodes")
 
@@ -218,7 +229,7 @@ TOUCHED = "group long, g long, side int"
 
 
 def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """How many numbers each set on the left shares with each on the right."""
+    """How many numbers each set on the left shares with each on the right, or more where numbers repeat in a set."""
     rows = [np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (left, right)]
     tokens, place = np.unique(np.concatenate([*left, *right]), return_inverse=True)
     places = place[: len(rows[0])], place[len(rows[0]) :]
@@ -231,7 +242,7 @@ def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
             column = np.minimum(np.searchsorted(some, p), len(some) - 1)
             hit = some[column] == p
             matrix = np.zeros((len(s), len(some)), dtype=np.float32)
-            matrix[r[hit], column[hit]] = 1
+            np.add.at(matrix, (r[hit], column[hit]), 1)
             dense.append(matrix)
         out += dense[0] @ dense[1].T
     return out
@@ -239,7 +250,7 @@ def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
 
 def _rests(sets: list[np.ndarray], size: np.ndarray, last: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """What is left of set ``x`` behind the end of the prefix of ``y``, where that ends first."""
-    before = np.stack([np.searchsorted(sets[i], last[y], side="right") for i in x])
+    before = np.stack([np.searchsorted(sets[i], last[y], side="left") for i in x])
     return size[x][:, None] - before
 
 
@@ -251,7 +262,7 @@ def possible_groups(rows: DataFrame, percent: int) -> DataFrame:
 
     def of_block(table):
         side, size, label, g = (table.column(c).to_numpy() for c in ("side", "n_shingles", "label", "g"))
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("prefix").to_pylist()]
+        sets = [unpacked(x) for x in table.column("prefix").to_pylist()]
         node, of = (table.column(c)[0].as_py() for c in ("node", "of"))
         length, last = np.array([len(s) for s in sets]), np.array([s[-1] for s in sets])
         x, y = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
@@ -266,16 +277,14 @@ def possible_groups(rows: DataFrame, percent: int) -> DataFrame:
             return table.slice(0, 0)
         shared = _shared_counts([sets[i] for i in x], [sets[i] for i in y])
         # Up to the end of the prefix that ends first, common shingles are in both; what is left of both sets may be common, too.
-        rest = np.where(
-            last[x][:, None] <= last[y][None, :],
-            np.minimum((size - length)[x][:, None], _rests(sets, size, last, y, x).T),
-            np.minimum((size - length)[y][None, :], _rests(sets, size, last, x, y)),
-        )
+        ends_x = np.minimum((size - length)[x][:, None], _rests(sets, size, last, y, x).T)
+        ends_y = np.minimum((size - length)[y][None, :], _rests(sets, size, last, x, y))
+        first = np.sign(last[x][:, None] - last[y][None, :])
+        rest = np.where(first < 0, ends_x, np.where(first > 0, ends_y, np.maximum((size - length)[x][:, None], (size - length)[y][None, :])))
         good &= ((shared + rest) * (100 + percent) >= percent * (low + high)) & (shared > 0)
         if node is not None:
-            signed = [s.view(np.int64) for s in sets]
             for i, j in zip(*np.nonzero(good)):
-                good[i, j] = np.intersect1d(signed[x[i]], signed[y[j]], assume_unique=True)[0] == node
+                good[i, j] = np.intersect1d(sets[x[i]], sets[y[j]])[0] == node
         return table.take(pa.array(np.concatenate([x[good.any(axis=1)], y[good.any(axis=0)]])))
 
     return _by_group(rows, of_block, TOUCHED)
