@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindings.registry import CHECK_VIEWS, query
 from plumbline.constants import DIFFERENCE_COLUMNS, DIFFERENCE_TYPES, DIRECT, DIRECTIONS, MATRIX_ORDER, MERGE_BASE
-from plumbline.operators import branches, executive, history, reconcile
+from plumbline.operators import branches, executive, history, reconcile, similarity, trees
+from plumbline.session import scratch_path
 
 V = CHECK_VIEWS
 AS_OF = datetime(2002, 1, 1)
@@ -181,6 +183,25 @@ def _(v):
     return history.patch_fingerprint(v.commit_files)
 
 
+BLANKS = r"'[\x20\x09\x0B-\x0D]'"
+V["content_lines"] = f"""
+SELECT *, string_split(regexp_replace(old_text, {BLANKS}, '', 'g'), chr(10)) AS l FROM {{content_changes}} WHERE old_text <> new_text OR old_text IS NULL"""
+# Where the changed line stands is known here, so its hunk is put together from its neighbours.
+V["content_hunks"] = f"""
+SELECT repo, sha, path, sha256('@' || chr(10) || CASE
+  WHEN old_text IS NULL THEN array_to_string(list_transform(string_split(regexp_replace(new_text, {BLANKS}, '', 'g'), chr(10)), lambda x: '+' || x || chr(10)), '')
+  WHEN sha[1] = 'c' THEN '+--new' || regexp_extract(path, '[0-9]+') || chr(10) || array_to_string(list_transform(l[1:3], lambda x: ' ' || x || chr(10)), '')
+  ELSE array_to_string(list_transform(l[-3:], lambda x: ' ' || x || chr(10)), '') || '+select' || sha[2:] || chr(10) END) AS diff_hash
+FROM {{content_lines}}"""
+
+
+@query("content_patch_ids", f"""
+SELECT repo, sha, md5(concat_ws('-', w0, w1, w2, w3)) AS patch_id
+FROM (SELECT repo, sha, {WORDS} FROM (SELECT repo, sha, md5(path || '|' || diff_hash) AS w FROM {{content_hunks}}) GROUP BY repo, sha)""")
+def _(v):
+    return history.patch_fingerprint(history.diff_hashes(v.content_commits, v.content_blobs))
+
+
 # --- commit drift ----------------------------------------------------------------------
 V["directed"] = f"""
 SELECT r.repo, p.discrepancy, 'origin/' || p.left_name AS left_branch, 'origin/' || p.right_name AS right_branch,
@@ -320,6 +341,22 @@ def _(v):
     return branches.tree_diff(wide(v, DIRECT), DIRECT)
 
 
+def stored(v, mode: str = MERGE_BASE):
+    path = scratch_path(v.spark, "trees")
+    trees.store_trees(trees.branch_trees(v.branch_files, None if mode == DIRECT else v.base_files), path)
+    return trees.stored_diff(trees.read_trees(v.spark, path), trees.tree_pairs(v.doc_repos, mode))
+
+
+@query("stored_diff_base", "SELECT * FROM {diff_base}")
+def _(v):
+    return stored(v)
+
+
+@query("stored_diff_direct", "SELECT * FROM {diff_direct}")
+def _(v):
+    return stored(v, DIRECT)
+
+
 def renames_sql(diff: str) -> str:
     return f"""
 SELECT * EXCLUDE (k, other), CASE WHEN code = 'A' AND k <= other THEN 'R100' ELSE code END AS raw_change_type FROM (
@@ -347,6 +384,84 @@ def _(v):
     return branches.with_renames(branches.tree_diff(files, DIRECT), files, DIRECT)
 
 
+V["edited_diff"] = f"""
+SELECT coalesce(l.repo, r.repo) AS repo, coalesce(l.discrepancy, r.discrepancy) AS discrepancy, coalesce(l.path, r.path) AS path,
+       CASE WHEN l.path IS NULL THEN 'A' WHEN r.path IS NULL THEN 'D' ELSE 'M' END AS code, l.blob_hash AS left_hash, r.blob_hash AS right_hash
+FROM (SELECT f.*, p.discrepancy FROM {{edited_hashes}} f JOIN {PAIRS} ON p.left_name = f.branch) l
+FULL JOIN (SELECT f.*, p.discrepancy FROM {{edited_hashes}} f JOIN {PAIRS} ON p.right_name = f.branch) r
+  ON l.repo = r.repo AND l.discrepancy = r.discrepancy AND l.path = r.path
+WHERE l.blob_hash IS DISTINCT FROM r.blob_hash"""
+V["edited_renamed"] = renames_sql("edited_diff")
+V["edited_lines"] = """
+SELECT repo, blob, line, count(*) AS m, sum(count(*)) OVER (PARTITION BY repo, blob) AS n
+FROM (SELECT repo, blob, unnest(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))) AS line FROM {edited_blobs}) GROUP BY repo, blob, line"""
+
+
+def similar_sql(code: str, column: str, right: str) -> str:
+    """Scores of 50 to 99 of all pairs of the contents of one code with the contents of added paths, over all their lines."""
+    return f"""
+SELECT l.repo, l.discrepancy, l.b AS lb, r.b AS rb, least(floor(100 * s.shared / s.n), 99)::INTEGER AS score, l.c AS lc, r.c AS rc
+FROM (SELECT repo, discrepancy, {column} AS b, count(*) AS c FROM {{edited_renamed}} WHERE raw_change_type = '{code}' GROUP BY ALL) l
+JOIN (SELECT repo, discrepancy, right_hash AS b, count(*) AS c FROM {right} WHERE raw_change_type = 'A' GROUP BY ALL) r
+  ON l.repo = r.repo AND l.discrepancy = r.discrepancy AND l.b <> r.b
+JOIN (SELECT x.repo, x.blob AS lb, y.blob AS rb, sum(least(x.m, y.m)) AS shared, max(greatest(x.n, y.n)) AS n
+      FROM {{edited_lines}} x JOIN {{edited_lines}} y ON x.repo = y.repo AND x.line = y.line GROUP BY ALL) s
+  ON s.repo = l.repo AND s.lb = l.b AND s.rb = r.b
+WHERE 100 * s.shared >= 50 * s.n"""
+
+
+V["edited_scores"] = similar_sql("D", "left_hash", "{edited_renamed}")
+# Pairs one after the other, best first; each takes as many paths as both contents have left.
+V["edited_taken"] = """
+SELECT repo, discrepancy, lb, rb, score, k, size, coalesce(sum(size) OVER (PARTITION BY repo, discrepancy, lb ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lf,
+       coalesce(sum(size) OVER (PARTITION BY repo, discrepancy, rb ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rf
+FROM (
+  WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY repo, discrepancy ORDER BY score DESC, lb, rb) AS k FROM {edited_scores}),
+  g AS (SELECT repo, discrepancy, 0::BIGINT AS k, NULL::VARCHAR AS lb, NULL::VARCHAR AS rb, 0 AS score, 0::BIGINT AS size, MAP {}::MAP(VARCHAR, BIGINT) AS used
+        FROM (SELECT DISTINCT repo, discrepancy FROM o)
+        UNION ALL
+        SELECT repo, discrepancy, k, lb, rb, score, size,
+               map_concat(used, MAP {'l' || lb: coalesce(used['l' || lb], 0) + size, 'r' || rb: coalesce(used['r' || rb], 0) + size})
+        FROM (SELECT g.repo, g.discrepancy, o.k, o.lb, o.rb, o.score, g.used, least(o.lc - coalesce(g.used['l' || o.lb], 0), o.rc - coalesce(g.used['r' || o.rb], 0)) AS size
+              FROM g JOIN o ON o.repo = g.repo AND o.discrepancy = g.discrepancy AND o.k = g.k + 1))
+  SELECT * FROM g WHERE size > 0)"""
+V["edited_moves"] = """
+SELECT a.repo, a.discrepancy, a.path, d.path AS old_path, t.score
+FROM {edited_taken} t
+JOIN (SELECT *, row_number() OVER (PARTITION BY repo, discrepancy, left_hash ORDER BY path) AS i FROM {edited_renamed} WHERE raw_change_type = 'D') d
+  ON d.repo = t.repo AND d.discrepancy = t.discrepancy AND d.left_hash = t.lb AND d.i > lf AND d.i <= lf + size
+JOIN (SELECT *, row_number() OVER (PARTITION BY repo, discrepancy, right_hash ORDER BY path) AS i FROM {edited_renamed} WHERE raw_change_type = 'A') a
+  ON a.repo = t.repo AND a.discrepancy = t.discrepancy AND a.right_hash = t.rb AND a.i > rf AND a.i <= rf + size AND a.i - rf = d.i - lf"""
+V["edited_similar"] = """
+SELECT r.* EXCLUDE (raw_change_type), CASE WHEN m.score IS NULL THEN raw_change_type ELSE format('R{:03d}', m.score) END AS raw_change_type, m.old_path
+FROM {edited_renamed} r LEFT JOIN {edited_moves} m ON m.repo = r.repo AND m.discrepancy = r.discrepancy AND m.path = r.path
+WHERE NOT (raw_change_type = 'D' AND EXISTS (SELECT 1 FROM {edited_moves} x WHERE x.repo = r.repo AND x.discrepancy = r.discrepancy AND x.old_path = r.path))"""
+
+
+def edited(v) -> DataFrame:
+    return branches.with_renames(branches.tree_diff(branches.wide_files(v.edited_hashes), DIRECT), mode=DIRECT)
+
+
+@query("similar_renames", "SELECT * FROM {edited_similar}")
+def _(v):
+    return similarity.with_similar(edited(v), v.edited_blobs)
+
+
+V["edited_copy_scores"] = similar_sql("M", "left_hash", "{edited_similar}")
+
+
+@query("similar_copies", """
+SELECT s.* EXCLUDE (raw_change_type, old_path), CASE WHEN c.score IS NULL THEN s.raw_change_type ELSE format('C{:03d}', c.score) END AS raw_change_type,
+       coalesce(s.old_path, c.source) AS old_path
+FROM {edited_similar} s LEFT JOIN (
+  SELECT c.repo, c.discrepancy, c.rb, arg_min(c.score, (-c.score, c.lb)) AS score, arg_min(m.path, (-c.score, c.lb)) AS source
+  FROM {edited_copy_scores} c JOIN (SELECT repo, discrepancy, left_hash, min(path) AS path FROM {edited_renamed} WHERE raw_change_type = 'M' GROUP BY ALL) m
+    ON m.repo = c.repo AND m.discrepancy = c.discrepancy AND m.left_hash = c.lb GROUP BY ALL) c
+ON c.repo = s.repo AND c.discrepancy = s.discrepancy AND c.rb = s.right_hash AND s.raw_change_type = 'A'""")
+def _(v):
+    return similarity.with_similar(edited(v), v.edited_blobs, copies=True)
+
+
 KIND = "CASE regexp_replace(raw_change_type, '[0-9]+$', '') " + " ".join(f"WHEN '{k}' THEN '{d}'" for k, d in DIFFERENCE_TYPES.items()) + " END"
 V["diff_kinds"] = f"SELECT *, {KIND} AS difference_type FROM {{renamed_base}}"
 COUNTS = ", ".join(f"count(*) FILTER (WHERE difference_type = '{d}') AS {d}" for d in DIFFERENCE_COLUMNS)

@@ -204,6 +204,39 @@ SELECT repo, branch, path, concat('c', blob_hash) AS created_commit, '2024-01-01
        '2024-02-01' AS last_change_at, 'author_b' AS last_change_author, 'b@x' AS last_change_author_email, branch AS last_change_message
 FROM {branch_files}"""
 
+# --- branch contents whose files moved and changed ---------------------------------------
+DROPPED = "regexp_replace(text, '^[^\n]*\n', '')"  # without the first line
+VIEWS["edited_files"] = f"""
+SELECT * FROM (
+  SELECT source AS repo, 'master' AS branch, {DOC} AS path, text FROM {{documents}} WHERE doc_id % 9 <> 0
+  UNION ALL
+  SELECT source AS repo, 'test' AS branch, CASE WHEN doc_id % 3 = 0 THEN concat('moved/t', cast(doc_id AS string), '.sql') ELSE {DOC} END AS path,
+         CASE doc_id % 4 WHEN 0 THEN concat(text, chr(10), 'select ', source) WHEN 1 THEN {DROPPED} WHEN 2 THEN concat(source, chr(10), {DROPPED}) ELSE text END AS text
+  FROM {{documents}} WHERE doc_id % 13 <> 0
+  UNION ALL
+  SELECT source AS repo, 'production' AS branch, CASE WHEN doc_id % 5 = 0 THEN concat('moved/p', cast(doc_id AS string), '.sql') ELSE {DOC} END AS path,
+         CASE doc_id % 6 WHEN 0 THEN {DROPPED} WHEN 1 THEN concat(text, chr(10), text) WHEN 2 THEN replace(text, chr(10), concat(chr(13), chr(10))) ELSE text END AS text
+  FROM {{documents}} WHERE doc_id % 17 <> 0
+) AS f WHERE text IS NOT NULL"""
+VIEWS["edited_hashes"] = "SELECT repo, branch, path, md5(text) AS blob_hash FROM {edited_files}"
+VIEWS["edited_blobs"] = "SELECT DISTINCT repo, md5(text) AS blob, text FROM {edited_files}"
+
+# --- commits with the contents of their files: the same change at other lines, and changes of several files
+HEAD = "concat(" + ", ".join(["'-- head', chr(10)"] * 9) + ", text)"
+VIEWS["content_changes"] = f"""
+SELECT source AS repo, concat('a', cast(doc_id AS string)) AS sha, {DOC} AS path, text AS old_text, concat(text, chr(10), 'select  ', cast(doc_id AS string)) AS new_text FROM {{documents}}
+UNION ALL
+SELECT source AS repo, concat('b', cast(doc_id AS string)) AS sha, {DOC} AS path, {HEAD} AS old_text, concat({HEAD}, chr(10), 'select ', cast(doc_id AS string)) AS new_text FROM {{documents}}
+UNION ALL
+SELECT source AS repo, concat('c', cast(doc_id % 10 AS string)) AS sha, {DOC} AS path, CASE WHEN doc_id % 7 <> 0 THEN text END AS old_text,
+       CASE WHEN doc_id % 7 <> 0 THEN concat('-- new ', cast(doc_id AS string), chr(10), text) ELSE text END AS new_text
+FROM {{documents}}"""
+VIEWS["content_commits"] = "SELECT repo, sha, path, md5(old_text) AS old_blob, md5(new_text) AS new_blob FROM {content_changes}"
+VIEWS["content_blobs"] = """
+SELECT repo, md5(old_text) AS blob, old_text AS text FROM {content_changes} WHERE old_text IS NOT NULL
+UNION
+SELECT repo, md5(new_text) AS blob, new_text AS text FROM {content_changes} WHERE new_text IS NOT NULL"""
+
 # --- files and catalog -----------------------------------------------------------------
 FILE = (
     "CASE WHEN doc_id % 2 = 0 THEN concat('dbt/models/d', cast(doc_id AS string), '.sql') WHEN doc_id % 3 = 0"

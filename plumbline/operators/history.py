@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.constants import BRANCHES
-from plumbline.session import cut_and_count, cut_lineage
+from plumbline.functions.hunks import diff_hash
+from plumbline.session import cut_and_count, cut_lineage, ship
 
 MAX_ROUNDS = 40  # a line of a trillion commits
 
@@ -282,3 +284,35 @@ def patch_fingerprint(diffs: DataFrame) -> DataFrame:
     parts = [F.conv(F.substring(word, 1 + 8 * i, 8), 16, 10).cast("bigint") for i in range(4)]
     summed = diffs.groupBy("repo", "sha").agg(*[F.sum(p).alias(f"w{i}") for i, p in enumerate(parts)])
     return summed.select("repo", "sha", F.md5(F.concat_ws("-", *[f"w{i}" for i in range(4)])).alias("patch_id"))
+
+
+def diff_hashes(changes: DataFrame, blobs: DataFrame, context: int = 3) -> DataFrame:
+    """``repo, sha, path, diff_hash`` of changed files (repo, sha, path, old_blob, new_blob) from their contents (repo, blob, text).
+
+    Commits that make the same change from the same contents share one line diff, and only its hash is joined back. A side
+    without a blob has no lines; blobs without text (such as binary files) are told apart by their names.
+    """
+    pair = ["repo", "old_blob", "new_blob"]
+    same = lambda a, b: [a[c].eqNullSafe(b[c]) for c in pair]
+    pairs = cut_lineage(changes.select(*pair).distinct(), "blob_pairs")
+    texts = blobs.groupBy("repo", "blob").agg(F.any_value("text").alias("text"))
+    both = pairs
+    for side in ("old", "new"):
+        own = texts.select("repo", F.col("blob").alias(f"{side}_blob"), F.col("text").alias(f"{side}_text"))
+        both = both.join(own, ["repo", f"{side}_blob"], "left")
+    unread = lambda side: F.col(f"{side}_blob").isNotNull() & F.col(f"{side}_text").isNull()
+    named = F.sha2(F.concat_ws("|", F.coalesce("old_blob", F.lit("")), F.coalesce("new_blob", F.lit(""))), 256)
+    read = both.where(~(unread("old") | unread("new")))
+
+    def hashed(batches):
+        for batch in batches:
+            old, new = (batch.column(c).to_pylist() for c in ("old_text", "new_text"))
+            found = pa.array([diff_hash(o, n, context) for o, n in zip(old, new)], pa.string())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in pair], found], [*pair, "diff_hash"])
+
+    ship(changes.sparkSession)
+    lines = read.select(*pair, "old_text", "new_text").mapInArrow(hashed, "repo string, old_blob string, new_blob string, diff_hash string")
+    whole = both.where(unread("old") | unread("new")).select(*pair, named.alias("diff_hash"))
+    found = cut_lineage(lines.unionByName(whole), "diff_hashes")
+    joined = changes.join(found, same(changes, found))
+    return joined.select(changes["repo"], "sha", "path", "diff_hash")
