@@ -92,8 +92,9 @@ def fold_and_render(events: DataFrame) -> DataFrame:
 
     A message without ``open`` has an empty role; null texts and roles are empty; deltas before an edit are lost to it,
     later ones are added to it. Events with an unknown kind are an error. A null ``conv_id`` is a conversation of its
-    own. Repeated events count as often as they occur; other columns are not used. ``loss_start`` and ``loss_length``
-    give the trained span inside ``formatted``, in code points.
+    own. Events of a message with one ``seq`` are taken in the order of kind, role and text. Repeated events count as
+    often as they occur; other columns are not used. ``loss_start`` and ``loss_length`` give the trained span inside
+    ``formatted``, in code points.
     """
 
     def fold(batches):
@@ -127,7 +128,7 @@ def fold_and_render(events: DataFrame) -> DataFrame:
 
         yield from _emit(turns(), TURNS)
 
-    return map_arrow(_by_conversation(events, "message", "seq"), fold, TURNS)
+    return map_arrow(_by_conversation(events, "message", "seq", "kind", "role", "text"), fold, TURNS)
 
 
 def digests(turns: DataFrame, together: bool = False) -> DataFrame:

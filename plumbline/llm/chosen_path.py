@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import chunks, cut, map_arrow, row_key, send_if_small, split_words
+from plumbline.llm.common import chunks, cut, map_arrow, row_key, send_if_small, split_words, unused
 from plumbline.session import cut_and_count
 
 WORDS = 5
@@ -389,19 +389,21 @@ def one_of_each(documents: DataFrame, percent: int = 85, width: int = WORDS) ->
     rows = documents.where("doc_id IS NOT NULL").groupBy(row_key().alias("row")).agg(F.count(F.lit(1)).alias("n"))
     rows = cut(rows, "rows")
     if not rows.groupBy("row.doc_id").agg(F.sum("n").alias("n")).where("n > 1").take(1):
-        dropped = near_classes(documents, percent, width).where("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct()
+        name = unused(documents, "dropped")
+        dropped = near_classes(documents, percent, width).where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
         dropped = send_if_small(cut(dropped, "dropped"))
-        return documents.join(dropped, documents["doc_id"] == dropped["_dropped"], "left_anti")
+        return documents.join(dropped, documents["doc_id"] == dropped[name], "left_anti")
     ordered = rows.orderBy("row.doc_id", "row.text_hash", "row.bytes")
     numbers = cut(ordered.select("row", "n", F.monotonically_increasing_id().alias("number")), "numbers")  # in the order of the ids
     known = send_if_small(numbers.select("row", "number"))
     numbered = documents.select(row_key().alias("row"), "text").join(known, "row").select(F.col("number").alias("doc_id"), "text")
     dropped = near_classes(numbered, percent, width).where("NOT kept").select(F.col("doc_id").alias("number")).distinct()
     dropped = cut(dropped, "dropped")
-    gone = send_if_small(cut(numbers.join(dropped, "number", "left_semi").select(F.col("row").alias("_dropped")), "gone"))
-    again = numbers.where("n > 1").join(dropped, "number", "left_anti").select(F.col("row").alias("_again"))
+    key = unused(documents, "row")
+    gone = send_if_small(cut(numbers.join(dropped, "number", "left_semi").select(F.col("row").alias(key)), "gone"))
+    again = numbers.where("n > 1").join(dropped, "number", "left_anti").select(F.col("row").alias(key))
     again = send_if_small(cut(again, "again"))
-    left = documents.join(gone, row_key() == F.col("_dropped"), "left_anti")
-    once = left.join(again, row_key() == F.col("_again"), "left_anti")
-    repeated = left.join(again, row_key() == F.col("_again"), "left_semi").withColumn("_row", row_key())
-    return once.unionByName(repeated.dropDuplicates(["_row"]).drop("_row"))
+    left = documents.join(gone, row_key() == F.col(key), "left_anti")
+    once = left.join(again, row_key() == F.col(key), "left_anti")
+    repeated = left.join(again, row_key() == F.col(key), "left_semi").withColumn(key, row_key())
+    return once.unionByName(repeated.dropDuplicates([key]).drop(key))

@@ -40,6 +40,14 @@ def row_key() -> Column:
     )
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 #: Most keys (up to 40 bytes each) that are sent to every task; larger key tables are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 

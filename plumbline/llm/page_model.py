@@ -11,7 +11,9 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,20 +39,16 @@ CLOSES = {
 }
 HOLDERS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    rf"|<({'|'.join(RAW)})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:.*?</\1\s*>|.*?(?=<body[\s>])|.*)"
-    r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*+)>"
-    r"|<[!?][^>]*+>",
-    re.DOTALL | re.IGNORECASE,
-)
+_START = re.compile(rf"<(?:(!--)|({'|'.join(RAW)})(?=[\s/>])|(/?)([a-z][a-z0-9:-]*)|[!?])", re.IGNORECASE)
+_ATTRIBUTES = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in RAW}
+_BODY = re.compile(r"<body[\s>]", re.IGNORECASE)
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 FEATURES = 1 << 14
-DEEPEST = 200  # elements nested deeper belong to the one at this depth
 
 
 def _bucket(name: str) -> int:
@@ -113,40 +111,122 @@ def _text_features(text: str, linked: int, tag: str) -> list[int]:
     return [_buckets[n] for n in names]
 
 
-def _ends(source: str) -> dict[int, int]:
+class Token(NamedTuple):
+    """A tag, or (without ``tag``) a comment, a declaration or an element whose text is no page text, with that text."""
+
+    start: int
+    end: int
+    closing: bool = False
+    tag: str | None = None
+    attributes: str = ""
+
+
+class Scanner:
+    """Cuts a page into tokens from any place on, in time proportional to its length: what a search did not find is kept in mind."""
+
+    def __init__(self, source: str):
+        self.source, self.last = source, source.rfind(">")
+        self.absent: set[re.Pattern] = set()
+        self.marks: list[int] | None = None
+        self.ends: list[int] = []
+
+    def _search(self, pattern: re.Pattern, at: int) -> re.Match | None:
+        found = None if pattern in self.absent else pattern.search(self.source, at)
+        if found is None:
+            self.absent.add(pattern)  # nor behind any later place
+        return found
+
+    def _tag_end(self, at: int) -> int:
+        """Behind the ``>`` that ends attributes from ``at`` on and is not inside quotes; -1 without one."""
+        if self.marks is None:
+            if found := _ATTRIBUTES.match(self.source, at):
+                return found.end()
+            # Quotes are open to the end of the page: the end is worked out for every quote at once, from the last one back.
+            self.marks = [m.start() for m in re.finditer("[>\"']", self.source)]
+            self.ends, later = [-1] * (len(self.marks) + 1), {}
+            for i in range(len(self.marks) - 1, -1, -1):
+                mark = self.source[self.marks[i]]
+                self.ends[i] = self.marks[i] + 1 if mark == ">" else self.ends[later[mark] + 1] if mark in later else -1
+                later[mark] = i
+        return self.ends[bisect_left(self.marks, at)]
+
+    def next(self, at: int) -> Token | None:
+        source = self.source
+        while found := _START.search(source, at):
+            start, at = found.span()
+            if found[1]:
+                end = source.find("-->", at)
+                return Token(start, len(source) if end < 0 else end + 3)
+            if at > self.last:
+                continue  # no tag ends any more, but comments may begin
+            if found[2] and (end := self._tag_end(at)) >= 0:
+                close = self._search(_RAW_END[found[2].lower()], end)
+                if close:
+                    return Token(start, close.end())
+                body = self._search(_BODY, end)
+                return Token(start, body.start() if body else len(source))
+            tag = found[2] or found[4]
+            end = self._tag_end(at) if tag else -1
+            end = source.index(">", at) + 1 if end < 0 else end
+            return Token(start, end, bool(found[3]), tag and tag.lower(), source[at : end - 1])
+        return None
+
+
+def _ends(scanner: Scanner) -> dict[int, int]:
     """Where the end tag of each unseen element is over, by where its opening tag starts; of those that have an end tag."""
     ends: dict[int, int] = {}
     open_at: dict[str, list[int]] = {}
-    for token in _TOKEN.finditer(source):
-        tag = (token[3] or "").lower()
-        if tag not in UNSEEN:
+    at = 0
+    while token := scanner.next(at):
+        at = token.end
+        if token.tag not in UNSEEN:
             continue
-        starts = open_at.setdefault(tag, [])
-        if not token[2]:
-            if not (tag in FOREIGN and token[4].endswith("/")):
-                starts.append(token.start())
+        starts = open_at.setdefault(token.tag, [])
+        if not token.closing:
+            if not (token.tag in FOREIGN and token.attributes.endswith("/")):
+                starts.append(token.start)
         elif starts:
-            ends[starts.pop()] = token.end()
+            ends[starts.pop()] = token.end
     return ends
 
 
 def _tokens(source: str):
     """Tags and comments of what is seen. An unseen element without end tag hides no more than its tag, a title its text."""
-    ends, at = None, 0
-    while token := _TOKEN.search(source, at):
-        at = token.end()
-        if not token[2] and (tag := (token[3] or "").lower()) in UNSEEN:
-            ends = _ends(source) if ends is None else ends
-            at = ends.get(token.start(), at)
-            if tag == "title" and token.start() not in ends:
+    scanner, ends, at = Scanner(source), None, 0
+    while token := scanner.next(at):
+        at = token.end
+        if not token.closing and token.tag in UNSEEN:
+            ends = _ends(Scanner(source)) if ends is None else ends
+            at = ends.get(token.start, at)
+            if token.tag == "title" and token.start not in ends:
                 at = len(source) if (found := source.find("<", at)) < 0 else found
         yield token, at
 
 
+class _Open:
+    """The open elements, with the places of each tag's."""
+
+    def __init__(self, root: int):
+        self.stack: list[tuple[str, int, int]] = [("", root, 0)]  # tag, node, label
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, tag: str, node: int, label: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, node, label))
+
+    def last(self, tags) -> int:
+        """Place of the innermost open element of these tags; 0 without one."""
+        return max((places[-1] for tag in tags if (places := self.places.get(tag))), default=0)
+
+    def close(self, place: int) -> None:
+        while len(self.stack) > place:
+            self.places[self.stack.pop()[0]].pop()
+
+
 def parse(forest: Forest, page: int, source: str, label_of=None) -> None:
     """Add a page's nodes. ``label_of`` gives the label an opening tag sets for what it holds, or None to keep the parent's."""
     root = forest.add(-1, 0, [_buckets["tag root"]], "", page, 0)
-    stack: list[tuple[str, int, int]] = [("root", root, 0)]  # tag, node, label
+    held = _Open(root)
     run: list[str] = []
     linked, in_link = 0, 0
 
@@ -154,53 +234,43 @@ def parse(forest: Forest, page: int, source: str, label_of=None) -> None:
         nonlocal linked
         text = _SPACE.sub(" ", html.unescape("".join(run))).strip()
         if text:
-            tag, node, label = stack[-1]
-            forest.add(node, 1, _text_features(text, linked, tag), text, page, label)
+            tag, node, label = held.stack[-1]
+            forest.add(node, 1, _text_features(text, linked, tag or "root"), text, page, label)
         run.clear()
         linked = 0
 
     at = 0
     for token, after in _tokens(source):
-        if token.start() > at:
-            piece = source[at : token.start()]
+        if token.start > at:
+            piece = source[at : token.start]
             run.append(piece)
             linked += len(piece) if in_link else 0
-        at = after
-        closing, tag, attributes = token[2], token[3], token[4]
+        at, tag = after, token.tag
         if tag is None:
             continue
-        tag = tag.lower()
         if tag == "a":
-            in_link = 0 if closing else 1
+            in_link = 0 if token.closing else 1
         if tag in ("br", "wbr", "img", "input"):
             run.append(" " if tag != "wbr" else "")
         if tag not in BLOCKS:
             continue
         flush()
-        if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    in_link = 0
-                    break
+        if token.closing:
+            if place := held.last((tag,)):
+                held.close(place)
+                in_link = 0
             continue
-        if stack[-1][0] == "p":  # a paragraph ends where any block begins
-            stack.pop()
+        if held.stack[-1][0] == "p":  # a paragraph ends where any block begins
+            held.close(len(held.stack) - 1)
         if tag in CLOSES:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in CLOSES[tag]:
-                    del stack[i:]
-                    break
-                if stack[i][0] in HOLDERS.get(tag, ("table",)):
-                    break
+            place = held.last(CLOSES[tag])
+            if place > held.last(HOLDERS.get(tag, ("table",))):
+                held.close(place)
         if tag in ("hr",):
             continue
-        parent_tag, parent, label = stack[-1]
-        label = label if label_of is None or (own := label_of(attributes)) is None else own
-        node = parent
-        if len(stack) < DEEPEST:
-            node = forest.add(parent, 0, _element_features(tag, attributes, parent_tag), "", page, label)
-        stack.append((tag, node, label))
+        parent_tag, parent, label = held.stack[-1]
+        label = label if label_of is None or (own := label_of(token.attributes)) is None else own
+        held.push(tag, forest.add(parent, 0, _element_features(tag, token.attributes, parent_tag or "root"), "", page, label), label)
     if at < len(source):
         rest = source[at:]
         run.append(rest)

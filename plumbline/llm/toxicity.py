@@ -215,9 +215,11 @@ def _flat(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
 def fit(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """A model of the labelled documents (``doc_id``, ``toxic``), at most ``max_train`` of them.
 
-    Labels or ids that are null are not used; an id with several labels counts as toxic if one of them is 1.
+    Labels or ids that are null are not used; an id with several labels counts as toxic if one of them is 1. Of repeated rows
+    and of an id's several texts each is learned from. Without any labelled row there is no model, which is an error.
     """
     usable = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
+    documents = documents.select("doc_id", "text")
     one = usable.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").alias("_toxic"))
     chosen = one.orderBy(F.xxhash64("_id"), "_id").limit(max_train)
     rows = documents.join(F.broadcast(chosen), documents["doc_id"] == chosen["_id"])  # max_train rows of 12 bytes
