@@ -241,9 +241,8 @@ def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
         for r, p, s in zip(rows, places, (left, right)):
             column = np.minimum(np.searchsorted(some, p), len(some) - 1)
             hit = some[column] == p
-            matrix = np.zeros((len(s), len(some)), dtype=np.float32)
-            np.add.at(matrix, (r[hit], column[hit]), 1)
-            dense.append(matrix)
+            cells = np.bincount(r[hit] * len(some) + column[hit], minlength=len(s) * len(some))
+            dense.append(cells.reshape(len(s), len(some)).astype(np.float32))
         out += dense[0] @ dense[1].T
     return out
 
