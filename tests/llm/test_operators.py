@@ -3,6 +3,7 @@
 import functools
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -383,3 +384,46 @@ def test_pipeline(spark):
         before = spark.createDataFrame(after.collect(), docs.schema)
     packed = {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").distinct().collect()}
     assert packed == kept["decontamination"] <= kept["near_dedup"] <= kept["toxicity"] and packed
+
+
+def test_unclosed_tags_take_time_in_proportion():
+    def seconds(text):
+        begun = time.monotonic()
+        page_model.parse(page_model.Forest(), 0, text)
+        return time.monotonic() - begun
+
+    for part in ("<a ", "<script><body>", '<a ">" ', "<script ", "<!", "<div><li></li>", "<p><svg>"):
+        few, many = part * (100_000 // len(part)), part * (1_000_000 // len(part))
+        assert seconds(many) < 30 * max(seconds(few), 0.05), part
+
+
+def test_deep_menu_is_no_content(table):
+    deep = "<div>" * 250
+    html = f"<html><body><article><h1>News of the day</h1><p>{' '.join(WORDS)}. {' '.join(WORDS[::-1])}.</p></article>{deep}<nav class=menu><ul><li><a href=x>Home</a></li><li><a href=y>About</a></li></ul></nav>{'</div>' * 250}</body></html>"
+    row = page_model.extract(table("page_id long, url string, html string", (1, "u", html)), page_model.trained_model()).first()
+    assert "alpha beta" in row.text and "Home" not in row.text
+
+
+def test_long_text_with_passage(table):
+    passage = " ".join(f"k{i}" for i in range(12))
+    long = " ".join(f"w{i % 9973}" for i in range(1_000_000))
+    bench = table("item_id string, text string", ("a", passage), ("b", "one two three"))
+    got = decontaminate.find_passages(table("doc_id long, text string", (1, f"{long} {passage}"), (2, "x one two three")), bench)
+    assert sorted(tuple(r)[:5] for r in got.collect()) == [(1, 1_000_012, 12, 1, ["a"]), (2, 4, 3, 1, ["b"])]
+
+
+def test_stages_with_clashing_names(table):
+    names = ["_id", "_toxic", "_hit", "_dropped", "_again", "_row", "row", "hit", "dropped", "ROW"]
+    schema = "doc_id long, text string, " + ", ".join(f"{n} int" for n in names[:-1])
+    text = " ".join(WORDS)
+    rows = [(1, text), (2, text), (2, text), (3, None), (4, ""), (None, text), (5, "other words of a text that is clean")]
+    df = table(schema, *[(*r, *range(len(names) - 1)) for r in rows])
+    bench = table("item_id string, text string, hit int", ("a", " ".join(WORDS[:12]), 0))
+    assert sorted(r.doc_id for r in decontaminate.clean_documents(df, bench).collect()) == [3, 4, 5]
+    kept = chosen_path.one_of_each(df)
+    assert kept.columns == df.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 3, 4, 5]
+    for stage in (lambda d: decontaminate.clean_documents(d, bench), chosen_path.one_of_each):
+        assert stage(df.where("false")).count() == 0
+    labels = table("doc_id long, toxic int", (1, 1), (5, 0))
+    model = toxicity.fit(df, labels)
+    assert toxicity.without_toxic(df.where("false"), model).count() == 0
