@@ -13,7 +13,7 @@ from plumbline.plans import reports
 from plumbline.session import scratch_path
 from plumbline.sources import catalog as catalog_source
 from plumbline.sources import files as file_source
-from plumbline.sources import ledger
+from plumbline.sources import ledger, published
 from plumbline.sources import reports as sinks
 from plumbline.streaming import ledger_stream
 
@@ -592,6 +592,26 @@ def _(v):
     return as_given(ledger.read_ledger(v.spark, base, "executions").drop("execution_day"))
 
 
+def published_once(v) -> str:
+    """The daily runs with their evidence, published by a call that is repeated."""
+    base = scratch_path(v.spark, "published")
+    for _ in range(2):
+        published.publish(v.spark, base, v.executions, {"branch_drift_evidence": v.evidence})
+    return base
+
+
+@query("published_evidence", "SELECT * FROM {evidence} e WHERE EXISTS (SELECT 1 FROM {executions} x WHERE x.execution_id = e.execution_id)")
+def _(v):
+    rows = published.read_published(v.spark, published_once(v), "branch_drift_evidence")
+    return rows.select(*v.evidence.columns).withColumn("commit_date", F.col("commit_date").cast(v.evidence.schema["commit_date"].dataType))
+
+
+@query("published_latest", "SELECT e.* FROM {evidence} e JOIN {latest_commit} l ON l.execution_id = e.execution_id")
+def _(v):
+    rows = published.read_latest(v.spark, published_once(v), "branch_drift_evidence", "commit_drift")
+    return rows.select(*v.evidence.columns).withColumn("commit_date", F.col("commit_date").cast(v.evidence.schema["commit_date"].dataType))
+
+
 @query("sink_roundtrip", """
 SELECT repo, discrepancy, unique_files_affected, unique_commits, status FROM {totals}""")
 def _(v):
