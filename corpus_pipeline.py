@@ -38,7 +38,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL cannot express the trained toxicity stage; the tests compare with a brute-force version.
+#: SQL cannot express the trained toxicity stage; the tests call the stages one by one, a brute-force version is still to come.
 ORACLE_SQL = None
 
 
