@@ -11,6 +11,7 @@ from bindings.registry import CHECK_VIEWS, query
 from plumbline.constants import DIFFERENCE_COLUMNS, DIFFERENCE_TYPES, DIRECT, DIRECTIONS, MATRIX_ORDER, MERGE_BASE
 from plumbline.operators import branches, executive, history, reconcile, similarity, trees
 from plumbline.session import scratch_path
+from plumbline.sources import snapshots
 
 V = CHECK_VIEWS
 AS_OF = datetime(2002, 1, 1)
@@ -40,6 +41,16 @@ def _(v):
     return reconcile.report_diff(*old_new(v), order="seq")
 
 
+@query("snapshot_diff", f"{one_sided('old', 'new')} UNION ALL {one_sided('new', 'old')}")
+def _(v):
+    names = []
+    for report in old_new(v):
+        path = scratch_path(v.spark, "snapshot")
+        names.append(f"snapshot_{path[-32:]}")
+        snapshots.store_snapshot(report, names[-1], path, reconcile.REPORT_KEY, "seq", buckets=16)
+    return snapshots.compare_snapshots(v.spark, *names)
+
+
 V["pair_delta"] = """
 SELECT coalesce(o.repo, n.repo) AS repo, coalesce(o.discrepancy, n.discrepancy) AS discrepancy, coalesce(o.c, 0) AS count_old, coalesce(n.c, 0) AS count_new,
        coalesce(n.c, 0) - coalesce(o.c, 0) AS delta
@@ -263,6 +274,18 @@ def _(v):
     return commit_kpis(v)[1]
 
 
+V["cut_sides"] = "SELECT DISTINCT c.repo, 'origin/' || c.branch AS side FROM {closure} c ANTI JOIN {cut_commits} k ON k.repo = c.repo AND k.sha = c.sha"
+V["cut_directed"] = """
+SELECT d.* EXCLUDE (status), CASE WHEN d.status = 'ok' AND EXISTS (SELECT 1 FROM {cut_sides} s WHERE s.repo = d.repo AND s.side IN (d.left_branch, d.right_branch))
+       THEN 'error' ELSE d.status END AS status
+FROM {directed} d"""
+
+
+@query("cut_history_status", "SELECT * FROM {cut_directed}")
+def _(v):
+    return branches.history_status(directed(v)[1], closure(v), v.cut_commits)
+
+
 V["presence"] = """
 SELECT r.repo, coalesce(bool_or(t.branch = 'master'), false) AS has_master, coalesce(bool_or(t.branch = 'test'), false) AS has_test,
        coalesce(bool_or(t.branch = 'production'), false) AS has_production

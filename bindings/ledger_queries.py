@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from bindings.registry import CHECK_VIEWS, query
 from plumbline.constants import DIRECTIONS
 from plumbline.functions.labels import output_url, short_id, status_label
-from plumbline.operators import facts, runs
+from plumbline.operators import distinct, facts, runs
 from plumbline.plans import dashboards, tiles
+from plumbline.session import cut_lineage
 
 AS_OF = date(2024, 3, 1)
 BROWSER, BUCKET = "https://console.example/browser/", "bucket"
@@ -223,6 +224,24 @@ def _(v):
     return tiles.authors_per_repo(runs.at_latest(v.evidence, latest, []).where("drift_type = 'commit'"))
 
 
+def author_bitmaps(v, column):
+    """Bitmaps per run, repository and author or month, written once and read by the tiles below."""
+    rows = v.evidence.withColumn("month", F.date_trunc("month", "commit_date").cast("date"))
+    numbers = cut_lineage(distinct.extend(None, rows, column), "numbers")
+    return cut_lineage(distinct.bitmaps(rows, ["execution_id", "repo", "author", "month"], column, numbers), "bitmaps")
+
+
+@query("authors_over_runs", "SELECT author, count(DISTINCT commit_sha) AS commits_out_of_sync FROM {evidence} GROUP BY author")
+def _(v):
+    return distinct.counts(author_bitmaps(v, "commit_sha"), ["author"], "commits_out_of_sync")
+
+
+@query("repo_month_files", """
+SELECT repo, cast(date_trunc('month', commit_date) AS date) AS month, count(DISTINCT file_path) AS distinct_files FROM {evidence} GROUP BY ALL""")
+def _(v):
+    return distinct.counts(author_bitmaps(v, "file_path"), ["repo", "month"], "distinct_files")
+
+
 def timeline_sql(report: str) -> str:
     return f"""
 SELECT e.execution_ts, cast(sum(k.unique_commits) AS bigint) AS unique_commits, cast(sum(k.unique_files) AS bigint) AS unique_files

@@ -167,6 +167,11 @@ SELECT repo, sha, second_parent AS parent_sha, 1 AS parent_index FROM {history}
 VIEWS["tips"] = """
 SELECT repo, CASE age WHEN 1 THEN 'master' WHEN 2 THEN 'test' ELSE 'production' END AS branch, sha
 FROM {history} WHERE age <= 3 AND NOT (age = 2 AND mark = 'P')"""
+# Records of clones that were cut off: repositories of one segment lack all commits of urgent orders.
+VIEWS["cut_commits"] = f"""
+SELECT concat('r', cast(o_custkey AS string)) AS repo, {SHA} AS sha,
+       md5(concat(cast(o_custkey AS string), '-', cast(o_orderkey % 4 AS string))) AS patch_id, o_orderpriority = '5-LOW' AS is_merge
+FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey WHERE NOT (c_mktsegment = 'BUILDING' AND o_orderpriority = '1-URGENT')"""
 VIEWS["commit_files"] = f"""
 SELECT concat('r', cast(o_custkey AS string)) AS repo, concat('c', cast(l_orderkey AS string)) AS sha, {PATH} AS path,
        CASE WHEN l_returnflag = 'A' THEN 'A' WHEN l_returnflag = 'R' THEN 'M' ELSE 'D' END AS change_code,

@@ -64,6 +64,19 @@ def repo_directions(presence: DataFrame) -> DataFrame:
     )
 
 
+def history_status(directed: DataFrame, closure: DataFrame, commits: DataFrame) -> DataFrame:
+    """Set ``error`` on complete pairs with a side whose history cannot be read.
+
+    A history cannot be read when one of its reachable commits has no record, as in a cut-off clone. Its counts
+    would be too small, and a repository without any record would look as if it had no drift.
+    """
+    unread = closure.join(commits.select("repo", "sha"), ["repo", "sha"], "left_anti")
+    sides = unread.groupBy("repo").agg(F.collect_set(ref(F.col("branch"))).alias("_unread"))  # at most one per branch
+    broken = F.array_contains("_unread", F.col("left_branch")) | F.array_contains("_unread", F.col("right_branch"))
+    status = F.when((F.col("status") == "ok") & F.coalesce(broken, F.lit(False)), F.lit("error")).otherwise(F.col("status"))
+    return directed.join(sides, "repo", "left").withColumn("status", status).drop("_unread")
+
+
 def _bits(test) -> Column:
     """Integer with one bit per direction for which ``test(left, right)`` holds."""
     total = F.lit(0)
@@ -119,7 +132,7 @@ def commit_counts(unique: DataFrame, commit_files: DataFrame) -> DataFrame:
 
 
 def commit_kpis(directed: DataFrame, counts: DataFrame) -> DataFrame:
-    """KPI row per repository and direction; zero where nothing differs, NULL where a branch is missing."""
+    """KPI row per repository and direction; zero where nothing differs, NULL where a branch is missing or unreadable."""
 
     def known(name: str) -> Column:
         return F.when(F.col("status") == "ok", F.coalesce(name, F.lit(0))).alias(name)

@@ -35,7 +35,7 @@ def commit_drift(
     """Patch-unique commits in all six directions. A known ``closure`` is reused."""
     closure = history.reachable(parents, tips) if closure is None else closure
     presence = branches.branch_presence(repos, tips)
-    directed = branches.repo_directions(presence)
+    directed = cut_lineage(branches.history_status(branches.repo_directions(presence), closure, commits), "directed")
     unique = branches.patch_unique(commits, closure)
     complete = directed.where(F.col("status") == "ok").select("repo", "discrepancy")
     # Each of these feeds several report files and the ledger, so each is computed once.
