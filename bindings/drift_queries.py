@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from bindings.registry import CHECK_VIEWS, query
 from plumbline.constants import DIFFERENCE_COLUMNS, DIFFERENCE_TYPES, DIRECT, DIRECTIONS, MATRIX_ORDER, MERGE_BASE
-from plumbline.operators import branches, executive, history, reconcile, similarity, trees
+from plumbline.operators import ancestry, branches, executive, history, reconcile, similarity, trees
 from plumbline.session import scratch_path
 from plumbline.sources import snapshots
 
 V = CHECK_VIEWS
 AS_OF = datetime(2002, 1, 1)
+SPLIT_AT = datetime(2000, 1, 1)  # commits before it are stored first
 
 PAIRS = "(VALUES " + ", ".join(f"('{n}', '{l}', '{r}')" for n, l, r in DIRECTIONS) + ") AS p(discrepancy, left_name, right_name)"
 
@@ -106,6 +107,17 @@ def _(v):
     return closure(v)
 
 
+@query("reachable_stored", "SELECT repo, branch, sha FROM {closure}")
+def _(v):
+    """An index of the commits before a day, with each repository's newest of them as a tip, extended by all later commits."""
+    base = scratch_path(v.spark, "ancestry")
+    old = v.commits.where(F.col("authored_at") < F.lit(SPLIT_AT).cast("timestamp")).select("repo", "sha", "authored_at")
+    newest = old.groupBy("repo").agg(F.max_by("sha", F.struct("authored_at", "sha")).alias("sha"))
+    ancestry.extend_index(base, v.commit_parents.join(old, ["repo", "sha"]).drop("authored_at"), newest)
+    ancestry.extend_index(base, v.commit_parents, v.tips)
+    return ancestry.reachable_from_index(v.spark, base, v.tips)
+
+
 V["common"] = """
 SELECT a.repo, a.branch AS left_name, b.branch AS right_name, a.sha FROM {closure} a JOIN {closure} b ON a.repo = b.repo AND a.sha = b.sha
 WHERE (a.branch, b.branch) IN (('master', 'test'), ('master', 'production'), ('test', 'production'))"""

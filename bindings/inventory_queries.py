@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from bindings.registry import CHECK_VIEWS, query
 from plumbline.functions import labels, text
-from plumbline.operators import executive, inventory, reconcile
+from plumbline.operators import executive, inventory, reconcile, runs
 from plumbline.plans import reports
 from plumbline.session import scratch_path
 from plumbline.sources import catalog as catalog_source
 from plumbline.sources import files as file_source
-from plumbline.sources import ledger, published
+from plumbline.sources import ledger, published, tracked_files
 from plumbline.sources import reports as sinks
 from plumbline.streaming import ledger_stream
 
@@ -51,6 +51,43 @@ def _(v):
     return deployed_inventory(v)
 
 
+def text_tree(v) -> str:
+    """All documents as text files, a folder per source."""
+    root = scratch_path(v.spark, "tree")
+    v.documents.select("source", "text").write.partitionBy("source").text(root)
+    return root
+
+
+FOLDER = F.regexp_extract("path", "^source=([^/]*)/", 1).alias("folder")
+
+
+@query("tree_scan", "SELECT source AS folder, sum(octet_length(encode(coalesce(text, ''))) + 1) AS listed, sum(octet_length(encode(coalesce(text, ''))) + 1) AS held FROM {documents} GROUP BY source")
+def _(v):
+    files = file_source.scan_tree(v.spark, text_tree(v)).where("path LIKE '%.txt'")
+    sized = files.select(FOLDER, "length", F.octet_length("content").cast("bigint").alias("held"))
+    return sized.groupBy("folder").agg(F.sum("length").alias("listed"), F.sum("held").alias("held"))
+
+
+@query("text_scan", """
+SELECT source AS folder, md5(line) AS line_md5, count(*) AS lines
+FROM (SELECT source, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM {documents}) GROUP BY ALL""")
+def _(v):
+    files = file_source.scan_text(v.spark, text_tree(v), "*.txt")
+    lines = files.select(FOLDER, F.explode(F.split(F.regexp_replace("text", "\n$", ""), "\n", -1)).alias("line"))
+    return lines.groupBy("folder", F.md5("line").alias("line_md5")).agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query("tracked_inventory", "SELECT source AS folder, sum(octet_length(encode(coalesce(text, ''))) + 1) AS size_bytes FROM {documents} GROUP BY source")
+def _(v):
+    """Short documents come first, then the others: the second run reads their files alone."""
+    root, base = scratch_path(v.spark, "tree"), scratch_path(v.spark, "tracked")
+    short = F.coalesce(F.length("text"), F.lit(0)) < 1000
+    for part in (v.documents.where(short), v.documents.where(~short)):
+        part.select("source", "text").write.mode("append").partitionBy("source").text(root)
+        tracked_files.track_files(v.spark, root, base, "*.txt")
+    return tracked_files.read_tracked(v.spark, base).groupBy(FOLDER).agg(F.sum("size_bytes").alias("size_bytes"))
+
+
 V["file_findings"] = """
 SELECT 'gcs' AS area, coalesce(s.product, d.product) AS product, coalesce(s.path, d.path) AS name, cast(NULL AS string) AS dataset,
        CASE WHEN d.path IS NULL THEN 'only_in_source' WHEN s.path IS NULL THEN 'only_in_gcs' ELSE 'content_mismatch' END AS status,
@@ -621,6 +658,16 @@ def _(v):
     return sinks.read_report_csv(v.spark, path, schema)
 
 
+@query("run_output", """
+SELECT repo, discrepancy, status, 'run-1' AS execution_id, 'content' AS mode, 'out/run-1/totals' AS folder, true AS known, false AS other FROM {totals}""")
+def _(v):
+    base, folder = scratch_path(v.spark, "output"), ledger.run_path("out/", "run-1", "totals")
+    labels.stamp(v.totals.select("repo", "discrepancy", "status"), execution_id="run-1", mode="content").write.parquet(f"{base}/{folder}")
+    written = v.spark.read.parquet(f"{base}/{folder}")
+    seen = {name: runs.run_exists(written, run) for name, run in (("known", "run-1"), ("other", "run-2"))}
+    return labels.stamp(written, folder=folder, **seen)
+
+
 @query("union_rows", """
 SELECT repo, discrepancy, unique_commits, cast(NULL AS string) AS path, cast(NULL AS string) AS compare_hash FROM {totals}
 UNION ALL SELECT NULL, NULL, NULL, path, compare_hash FROM {source_inventory}""")
