@@ -714,6 +714,16 @@ def _(v):
     return as_given(ledger_stream.read_ingested(v.spark, f"{base}/out"))
 
 
+@query("ingest_stream_state", "SELECT execution_id, report_type, execution_ts, status FROM {runs}")
+def _(v):
+    """As above, with the seen ids in a state store."""
+    base = scratch_path(v.spark, "stream")
+    for part in (v.events.where(F.dayofmonth("ts") > 15), v.events):
+        part.write.mode("append").parquet(f"{base}/in")
+        ledger_stream.ingest_with_state(stream_of_runs(v, f"{base}/in"), f"{base}/out", f"{base}/state").awaitTermination()
+    return as_given(ledger_stream.read_ingested(v.spark, f"{base}/out"))
+
+
 @query("daily_summary_stream", "SELECT * FROM {daily}")
 def _(v):
     base = scratch_path(v.spark, "stream")
