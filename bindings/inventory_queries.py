@@ -424,6 +424,25 @@ def _(v):
     return report.files["summary"][0]
 
 
+def scoped(v):
+    """The environment report with products that have no target datasets, and a warning of an earlier step."""
+    earlier = v.scan_targets.select("product", F.lit("some files were not copied").alias("warning"))
+    inputs = (catalog(v), v.catalog_columns, parsed(v), models(v), source_inventory(v), deployed_inventory(v))
+    return reports.env_drift(*inputs, targets=v.scan_targets, warnings=earlier, allow_empty=True)
+
+
+@query("env_scoped_findings", "SELECT * EXCLUDE (source_files, source_path) FROM {finding_sources} WHERE product NOT LIKE '%1'")
+def _(v):
+    return scoped(v).files["bigquery_findings"][0].drop("source_files", "source_path")
+
+
+@query("env_warnings", """
+SELECT product, 'No datasets resolved. BigQuery comparison will be skipped.' AS warning FROM {scan_targets} WHERE datasets = ''
+UNION ALL SELECT product, 'some files were not copied' FROM {scan_targets}""")
+def _(v):
+    return scoped(v).files["warnings"][0]
+
+
 # --- CI settings and orphan datasets ---------------------------------------------------
 V["settings"] = """
 SELECT repo, 'BQ_PROJECT' AS key, 'proj_' || c_nationkey AS value FROM {ci_base}
@@ -517,6 +536,25 @@ def _(v):
     return inventory.orphan_rows(rows, inventory.type_counts(inventory.unmatched_objects(v.dataset_objects, rows)))
 
 
+def owned(v):
+    return reports.orphan_datasets(v.owned_datasets, v.sized_objects, v.ci_texts)
+
+
+@query("orphan_facts", """
+SELECT u.dataset AS dataset_name, u.project_id, 'orphan' AS orphan_status, false AS source_reference_found, coalesce(t.object_count, 0) AS table_count,
+       cast(CASE WHEN coalesce(t.object_count, 0) > 0 THEN 2 ELSE 1 END AS bigint) AS risk_score, o.owner, o.last_modified
+FROM {unmatched} u JOIN {owned_datasets} o ON o.dataset = u.dataset LEFT JOIN {type_counts} t ON t.dataset = u.dataset""")
+def _(v):
+    return owned(v).ledger["orphan_datasets"]
+
+
+@query("orphan_object_facts", """
+SELECT dataset AS dataset_name, object_type, object_name, last_modified, row_count, storage_mb FROM {sized_objects}
+WHERE dataset IN (SELECT dataset FROM {unmatched})""")
+def _(v):
+    return owned(v).ledger["orphan_dataset_objects"]
+
+
 @query("orphan_run_summary", """
 SELECT (SELECT count(*) FROM {catalog_datasets} WHERE NOT regexp_matches(dataset, '^_')) AS datasets_scanned, (SELECT count(*) FROM {customer}) AS repos_scanned,
        (SELECT count(*) FROM {declared} WHERE dataset_count > 0) AS repos_with_dataset_refs, (SELECT count(DISTINCT dataset) FROM {refs}) AS datasets_referenced,

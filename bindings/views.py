@@ -325,6 +325,19 @@ VIEWS["dataset_objects"] = """
 SELECT concat('ds_', cast(o_custkey AS string)) AS dataset, concat('t_', cast(o_orderkey AS string)) AS object_name,
        CASE o_orderstatus WHEN 'F' THEN 'base_table' WHEN 'O' THEN 'view' ELSE 'procedure' END AS object_type
 FROM {orders}"""
+# The same datasets and objects as a catalog shows them that knows owners, times and sizes.
+VIEWS["owned_datasets"] = """
+SELECT concat(CASE WHEN c_custkey % 10 = 0 THEN '_' ELSE '' END, 'ds_', cast(c_custkey AS string)) AS dataset, concat('proj_', cast(c_nationkey AS string)) AS project_id,
+       CASE WHEN c_custkey % 19 = 0 THEN 'tables: denied' END AS error, CASE WHEN c_custkey % 4 <> 0 THEN concat('team_', c_mktsegment) END AS owner, last_modified
+FROM {customer} LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last_modified FROM {orders} GROUP BY o_custkey) AS o ON o_custkey = c_custkey"""
+VIEWS["sized_objects"] = """
+SELECT concat('ds_', cast(o_custkey AS string)) AS dataset, concat('t_', cast(o_orderkey AS string)) AS object_name,
+       CASE o_orderstatus WHEN 'F' THEN 'base_table' WHEN 'O' THEN 'view' ELSE 'procedure' END AS object_type,
+       o_orderdate AS last_modified, cast(o_orderkey % 1000 AS bigint) AS row_count, o_totalprice AS storage_mb
+FROM {orders}"""
+VIEWS["scan_targets"] = """
+SELECT DISTINCT p_brand AS product, 'proj' AS project, 'prod' AS environment, 'bucket' AS bucket, CASE WHEN p_brand LIKE '%1' THEN '' ELSE concat('ds_', p_brand) END AS datasets
+FROM {part}"""
 LOG_HEAD = "concat('@@@c', cast(o_orderkey AS string), '|', cast(cast(o_orderdate AS date) AS string), '|author_', cast(o_custkey % 60 AS string), '|a@x|commit | ', o_orderpriority)"
 VIEWS["log_texts"] = f"""
 SELECT concat('r', cast(o_custkey AS string)) AS repo, o_orderstatus AS discrepancy, o_orderkey,

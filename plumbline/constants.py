@@ -55,6 +55,9 @@ TYPE_ALIASES = {
     "table_function": "function",
 }
 
+# Fixed value: what a run says of a product without target datasets.
+NO_DATASETS = "No datasets resolved. BigQuery comparison will be skipped."
+
 # Suffixes compared as text.
 TEXT_SUFFIXES = ["sql", "yml", "yaml", "py", "txt", "md", "json"]
 

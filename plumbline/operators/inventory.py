@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.constants import DATASETS_KEY, DEPLOY_JOBS
+from plumbline.constants import DATASETS_KEY, DEPLOY_JOBS, NO_DATASETS
 from plumbline.functions.labels import filter_names, is_model, risk_score
 from plumbline.functions.text import (
     added_columns,
@@ -175,6 +175,11 @@ def resolve_targets(
     return rows.select(F.col("repo").alias("product"), *named, F.array_join(given, ",").alias("datasets"))
 
 
+def without_targets(targets: DataFrame) -> DataFrame:
+    """``product, warning`` of products for which no dataset was resolved."""
+    return targets.where(F.coalesce("datasets", F.lit("")) == "").select("product", F.lit(NO_DATASETS).alias("warning")).distinct()
+
+
 def log_rows(logs: DataFrame, keys: Sequence[str] = ("repo", "discrepancy")) -> DataFrame:
     """(commit, file) rows of marker-delimited log texts, one text per cell.
 
@@ -226,7 +231,7 @@ def dataset_errors(scanned: DataFrame) -> DataFrame:
 
 
 def orphan_rows(unmatched: DataFrame, counts: DataFrame) -> DataFrame:
-    """Ledger rows of unmatched datasets with their object count and risk."""
+    """Ledger rows of unmatched datasets with their object count and risk, and owner and last change where they are known."""
     joined = unmatched.join(counts, "dataset", "left")
     n = F.coalesce("object_count", F.lit(0))
     return joined.select(
@@ -236,4 +241,11 @@ def orphan_rows(unmatched: DataFrame, counts: DataFrame) -> DataFrame:
         F.lit(False).alias("source_reference_found"),
         n.alias("table_count"),
         risk_score(n).alias("risk_score"),
+        *[c for c in ("owner", "last_modified") if c in unmatched.columns],
     )
+
+
+def orphan_object_rows(objects: DataFrame) -> DataFrame:
+    """Ledger rows of the objects in unmatched datasets, with last change, rows and storage where they are known."""
+    known = [c for c in ("last_modified", "row_count", "storage_mb") if c in objects.columns]
+    return objects.select(F.col("dataset").alias("dataset_name"), "object_type", "object_name", *known)

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.constants import DIRECT, MERGE_BASE
+from plumbline.constants import DIRECT, MERGE_BASE, NO_DATASETS
 from plumbline.functions.labels import filter_names, stamp
 from plumbline.operators import branches, history, inventory, reconcile
 from plumbline.operators.executive import count_rows
@@ -125,16 +125,38 @@ def numbered(catalog_side: DataFrame, file_side: DataFrame) -> DataFrame:
     return render_findings(rows.select(section, seq.alias("seq"), "status", "name", "source_technology", "source_path", "details"))
 
 
+def out_of(products: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of other products."""
+    return rows.join(products.select("product"), "product", "left_anti")
+
+
 def env_drift(
     catalog: DataFrame, catalog_columns: DataFrame, parsed: DataFrame, models: DataFrame,
     source_files: DataFrame, deployed_files: DataFrame,
+    targets: DataFrame | None = None, warnings: DataFrame | None = None, allow_empty: bool = False,
 ) -> Report:
     """Source definitions and files against the catalog and the file store.
 
     Findings are one row each in the CSV files, the numbered report and the
     ledger; the columns and the source paths behind them are tables of their own.
+
+    ``targets`` (see ``inventory.resolve_targets``) are written as the run's settings. A product without datasets is an
+    error, or, where ``allow_empty``, its catalog side is skipped and a warning says so; definitions of such a product
+    are no findings. ``warnings`` (product, warning) of earlier steps are written with those.
     """
-    in_catalog = cut_lineage(catalog_findings(catalog, catalog_columns, parsed, models), "findings")
+    extra = {}
+    warned = warnings
+    if targets is not None:
+        empty = cut_lineage(inventory.without_targets(targets), "empty")
+        if not allow_empty and not empty.isEmpty():
+            raise ValueError(f"{NO_DATASETS} Products: {[r.product for r in empty.select('product').orderBy('product').limit(5).collect()]}, …")
+        catalog, catalog_columns = out_of(empty, catalog), out_of(empty, catalog_columns)
+        warned = empty if warnings is None else empty.unionByName(warnings.select("product", "warning"))
+        extra["settings"] = (targets, ["product"])
+    if warned is not None:
+        extra["warnings"] = (warned, ["product", "warning"])
+    sources = (parsed, models) if targets is None else (out_of(empty, parsed), out_of(empty, models))
+    in_catalog = cut_lineage(catalog_findings(catalog, catalog_columns, *sources), "findings")
     in_files = cut_lineage(reconcile.compare_files(source_files, deployed_files), "findings")
     with_source = cut_lineage(reconcile.finding_sources(in_catalog, parsed, models), "sources")
     inventories = cut_lineage(inventory.ddl_inventory(parsed), "ddl")
@@ -143,7 +165,7 @@ def env_drift(
         {"env_drift_findings": reconcile.ledger_findings(in_catalog, in_files)},
         {
             "bigquery_findings": (with_source, ["status", "name"]),
-            "schema_columns": (reconcile.column_diff(inventory.ddl_columns(parsed), catalog_columns), [*inventory.OBJECT, "column_name"]),
+            "schema_columns": (reconcile.column_diff(inventory.ddl_columns(sources[0]), catalog_columns), [*inventory.OBJECT, "column_name"]),
             "source_paths": (reconcile.source_paths(in_catalog, parsed, models), ["product", "name", "path"]),
             "gcs_findings": (in_files, ["name"]),
             "summary": (
@@ -153,6 +175,7 @@ def env_drift(
                 ),
                 [],
             ),
+            **extra,
         },
         {"findings": numbered(with_source, in_files)},
         {
@@ -172,6 +195,8 @@ def orphan_datasets(
 
     ``datasets`` holds dataset, project_id and error, the text of a partly
     failed scan; objects of such a dataset are kept as far as they were read.
+    Owner and last change of datasets, and last change, rows and storage of
+    objects go to the ledger where the inputs have them.
     """
     datasets = filter_names(datasets, "dataset", include, exclude)
     declared = cut_lineage(inventory.repo_datasets(ci_texts), "declared")
@@ -179,7 +204,6 @@ def orphan_datasets(
     unmatched = cut_lineage(inventory.unmatched_datasets(datasets, refs, include, exclude), "unmatched")
     held = cut_lineage(inventory.unmatched_objects(objects, unmatched), "held")
     counts = cut_lineage(inventory.type_counts(held), "counts")
-    object_rows = held.select(F.col("dataset").alias("dataset_name"), "object_type", "object_name")
     listing = unmatched.join(counts, "dataset", "left").select(
         "dataset", F.coalesce("object_count", F.lit(0)).alias("object_count"),
         F.coalesce(F.to_json("object_type_counts"), F.lit("{}")).alias("object_type_counts"),
@@ -192,7 +216,7 @@ def orphan_datasets(
     )
     return Report(
         "orphan_datasets",
-        {"orphan_dataset_objects": object_rows, "orphan_datasets": inventory.orphan_rows(unmatched, counts)},
+        {"orphan_dataset_objects": inventory.orphan_object_rows(held), "orphan_datasets": inventory.orphan_rows(unmatched, counts)},
         {
             "unmatched_datasets": (listing, ["dataset"]),
             "unmatched_objects": (held, ["dataset", "object_name"]),

@@ -86,3 +86,16 @@ def test_type_counts_and_risk(table):
     assert counts.first().object_type_counts == {"base_table": 1, "view": 2}
     unmatched = table("dataset string, project_id string", ("a", "p"), ("b", "p"))
     assert rows(inventory.orphan_rows(unmatched, counts).select("dataset_name", "table_count", "risk_score")) == [("a", 3, 2), ("b", 0, 1)]
+
+
+def test_products_without_targets(table):
+    targets = table("product string, datasets string", ("a", "x"), ("b", ""), ("c", None), ("b", ""))
+    assert [r.product for r in inventory.without_targets(targets).orderBy("product").collect()] == ["b", "c"]
+
+
+def test_orphan_facts_pass_where_known(table):
+    unmatched = table("dataset string, project_id string, owner string", ("d", "p", "o"))
+    counts = table("dataset string, object_count bigint", ("d", 3))
+    assert rows(inventory.orphan_rows(unmatched, counts)) == [("d", "p", "orphan", False, 3, 2, "o")]
+    objects = table("dataset string, object_type string, object_name string, row_count bigint", ("d", "view", "v", 7))
+    assert rows(inventory.orphan_object_rows(objects)) == [("d", "view", "v", 7)]

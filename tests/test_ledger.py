@@ -243,3 +243,26 @@ def test_risk_buckets_and_signals(table):
     messages = table("message string", ("REVERT it",), ("revert cherry-pick",), (None,))
     assert dict(rows(message_signals(messages)))["revert"] == 2 and dict(rows(message_signals(messages)))["major:"] == 0
     assert rows(count_rows(a=messages, b=scores)) == [(3, 9)]
+
+
+def test_env_report_without_target_datasets(table):
+    """A product without datasets is an error, or its catalog side is skipped with a warning."""
+    catalog = table(
+        "product string, project string, dataset string, object_name string, object_type string, ddl string, view_query string, definition_body string, column_count int",
+        ("p", "pr", "d", "gone", "base_table", None, None, None, 0),
+    )
+    columns = table("product string, project string, dataset string, object_name string, column_name string, data_type string")
+    texts = table("product string, path string, text string", ("p", "bq/1.sql", "create table d.t (a INT64);"), ("q", "bq/2.sql", "create table d.u (a INT64);"))
+    tree = files.file_inventory(table("product string, path string, content binary", ("q", "dbt/x.sql", bytearray(b"1"))))
+    targets = table("product string, project string, environment string, bucket string, datasets string", ("p", "x", "prod", "b", "d"), ("q", "x", "prod", "b", ""))
+    inputs = (catalog, columns, inventory.ddl_files(texts), inventory.model_inventory(texts.where("false")), tree, tree.where("false"))
+    with pytest.raises(ValueError, match="No datasets"):
+        reports.env_drift(*inputs, targets=targets)
+    report = reports.env_drift(*inputs, targets=targets, allow_empty=True)
+    found = sorted((r.product, r.status, r.name.split(".")[-1]) for r in report.files["bigquery_findings"][0].collect())
+    assert [(p, n) for p, _, n in found] == [("p", "gone"), ("p", "t")]
+    assert report.files["gcs_findings"][0].count() == 1
+    assert [r.product for r in report.files["warnings"][0].collect()] == ["q"]
+    assert report.files["settings"][0].count() == 2
+    plain = reports.env_drift(*inputs)
+    assert "u" in {r.name.split(".")[-1] for r in plain.files["bigquery_findings"][0].collect()} and "warnings" not in plain.files
