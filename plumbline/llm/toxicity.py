@@ -1,10 +1,10 @@
 """Toxicity scores from subword embeddings, averaged over bags of words into a linear softmax.
 
 A word is the mean of the vectors of its character n-grams, which are hashed into a table, so a misspelling not met
-before shares most vectors with the word it comes from. A text is cut into bags of ``BAG`` words; a bag's vector is the
-sum of its words over ``BAG`` (missing words of the last bag are zero), and the text's score is that of its most toxic
-bag, so a long text is not diluted. Table, softmax and bias are trained together. Tasks turn the training texts into
-word hashes and n-gram buckets; only those come to the driver.
+before shares most vectors with the word it comes from. A text's bag holds its ``BAG`` most toxic words, each occurrence
+counting and a run of one word once; the bag's vector is the sum of their vectors over ``BAG`` (missing words are zero).
+So a long text is not diluted, and words that are toxic only when they come again and again add up. Table, softmax and
+bias are trained together. Tasks turn the training texts into word hashes and n-gram buckets; only those come to the driver.
 """
 
 from __future__ import annotations
@@ -27,7 +27,11 @@ BUCKETS, DIMS = 1 << 20, 8
 AT_ONCE = 20_000
 #: Most labelled rows a model is trained on: those with the smallest hashes of their ids.
 MAX_TRAIN = 4000
-STEPS, RATE, DECAY, EPSILON = 100, 0.2, 1e-8, 1e-4
+#: The first steps train on larger bags, before it is known which words are toxic.
+STEPS, WIDE_STEPS, WIDE_BAG = 100, 25, 64
+#: Share of the distinct words that a training step leaves out, so that each toxic word learns to suffice without the others.
+LEFT_OUT = 0.1
+RATE, DECAY, EPSILON = 0.2, 1e-8, 1e-4
 #: Rows of the table that a training step updates at once.
 ROWS_AT_ONCE = 1 << 16
 _PRIME = np.uint64(0x100000001B3)
@@ -75,16 +79,6 @@ def _sliced(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate(found) for found in zip(none, *parts))
 
 
-@dataclass
-class Bags:
-    """Words of many texts cut into bags; a text without words has one empty bag."""
-
-    codes: np.ndarray
-    bag_starts: np.ndarray
-    bag_sizes: np.ndarray
-    text_starts: np.ndarray
-
-
 def runs_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Lower-case words of many texts, as ``split_words`` gives them, but a run of one word counts once."""
     offsets, codes, words = split_words(pc.utf8_lower(pc.fill_null(texts, "")))
@@ -96,13 +90,25 @@ def runs_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return offsets, codes, words
 
 
-def bags_of(offsets: np.ndarray, codes: np.ndarray) -> Bags:
-    sizes = np.diff(offsets)
-    count = np.maximum(-(-sizes // BAG), 1)
-    text_starts = np.cumsum(count) - count
-    within = np.arange(count.sum()) - np.repeat(text_starts, count)
-    starts = np.repeat(offsets[:-1], count) + within * BAG
-    return Bags(codes, starts, np.minimum(BAG, np.repeat(offsets[1:], count) - starts), text_starts)
+def first_of_each(offsets: np.ndarray, most: int) -> np.ndarray:
+    """Places of the first ``most`` entries of each text."""
+    taken = np.minimum(np.diff(offsets), most)
+    return np.arange(taken.sum()) + np.repeat(offsets[:-1] - (np.cumsum(taken) - taken), taken)
+
+
+def most_toxic(by_word: np.ndarray, offsets: np.ndarray, codes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the words with the greatest scores of each text, and their texts; ``places`` are :func:`first_of_each`.
+
+    Words are ranked once, and the ranks are sorted text by text. Equal scores take the smaller code.
+    """
+    order = np.argsort(-by_word, kind="stable")
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    key = np.repeat(np.arange(len(offsets) - 1) * len(order), np.diff(offsets))
+    key += rank[codes]
+    key.sort()
+    key = key[places]
+    return order[key % max(len(order), 1)], key // max(len(order), 1)
 
 
 def _word_scores(table: np.ndarray, buckets: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -111,11 +117,6 @@ def _word_scores(table: np.ndarray, buckets: np.ndarray, counts: np.ndarray) ->
     return np.add.reduceat(table[buckets], np.cumsum(counts) - counts) / counts
 
 
-def _bag_sums(scores: np.ndarray, bags: Bags) -> np.ndarray:
-    sums = np.concatenate([[0.0], np.cumsum(scores[bags.codes])])
-    return (sums[bags.bag_starts + bags.bag_sizes] - sums[bags.bag_starts]) / BAG
-
-
 @dataclass
 class Model:
     """``table`` has each bucket's vector projected on the difference of the two softmax rows, all that scoring needs."""
@@ -125,18 +126,18 @@ class Model:
 
     def score(self, texts: pa.Array) -> np.ndarray:
         offsets, codes, words = runs_of(texts)
-        bags = bags_of(offsets, codes)
         slices = [words[i : i + AT_ONCE] for i in range(0, len(words), AT_ONCE)]
         by_word = np.concatenate([np.zeros(0), *(_word_scores(self.table, *subwords(part)) for part in slices)])
-        logits = _bag_sums(by_word, bags) + self.bias
-        top = np.maximum.reduceat(logits, bags.text_starts) if len(logits) else logits
-        return 1 / (1 + np.exp(-np.clip(top, -50, 50)))
+        word, text = most_toxic(by_word, offsets, codes, first_of_each(offsets, BAG))
+        logits = np.bincount(text, by_word[word], minlength=len(offsets) - 1) / BAG + self.bias
+        return 1 / (1 + np.exp(-np.clip(logits, -50, 50)))
 
 
-def train(bags: Bags, buckets: np.ndarray, counts: np.ndarray, toxic: np.ndarray, seed: int = 7) -> Model:
-    """Adam over all rows on the cross entropy of each text's most toxic bag; constant if only one class is given.
+def train(offsets: np.ndarray, codes: np.ndarray, buckets: np.ndarray, counts: np.ndarray, toxic: np.ndarray, seed: int = 7) -> Model:
+    """Adam over all rows on the cross entropy of each text's bag; constant if only one class is given.
 
-    ``buckets`` and ``counts`` are those of :func:`subwords` for the words that the codes of ``bags`` stand for.
+    The words of text i are ``codes[offsets[i] : offsets[i + 1]]``; ``buckets`` and ``counts`` are those of
+    :func:`subwords` for the words that the codes stand for.
     """
     rate = (toxic.sum() + 0.5) / (len(toxic) + 1)
     bias = float(np.log(rate / (1 - rate)))
@@ -150,8 +151,7 @@ def train(bags: Bags, buckets: np.ndarray, counts: np.ndarray, toxic: np.ndarray
     offset = np.array([0.0, -3.0])
     parameters = [vectors, softmax, offset]
     first, second = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters]
-    bag_text = np.repeat(np.arange(len(toxic)), np.diff(np.append(bags.text_starts, len(bags.bag_starts))))
-    words_of_bag = bags.bag_sizes
+    narrow, wide = first_of_each(offsets, BAG), first_of_each(offsets, WIDE_BAG)
 
     def update(p, g, m, v, step):
         m += 0.1 * (g - m)
@@ -161,13 +161,14 @@ def train(bags: Bags, buckets: np.ndarray, counts: np.ndarray, toxic: np.ndarray
     for step in range(1, STEPS + 1):
         direction = softmax[1] - softmax[0]
         by_word = _word_scores(vectors @ direction.astype(np.float32), buckets, counts)
-        logits = _bag_sums(by_word, bags) + offset[1] - offset[0]
-        logits = np.clip(logits, -30, 30)
-        chance = 1 / (1 + np.exp(-logits))
-        clean = np.exp(np.add.reduceat(-np.log1p(np.exp(logits)), bags.text_starts))  # no bag of the text is toxic
-        pull = np.where(toxic > 0, -clean / np.maximum(1 - clean, 1e-9), 1.0)
-        slope = chance * pull[bag_text] / len(toxic)  # of the loss by each bag's difference of logits
-        by_word = np.bincount(bags.codes, np.repeat(slope, words_of_bag) / BAG, minlength=len(counts))
+        by_word[rng.random(len(by_word)) < LEFT_OUT] = -np.inf
+        word, text = most_toxic(by_word, offsets, codes, wide if step <= WIDE_STEPS else narrow)
+        met = np.isfinite(by_word[word])
+        word, text = word[met], text[met]
+        logits = np.bincount(text, by_word[word], minlength=len(toxic)) / BAG + offset[1] - offset[0]
+        chance = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
+        slope = (chance - toxic) / len(toxic)  # of the loss by each text's difference of logits
+        by_word = np.bincount(word, slope[text] / BAG, minlength=len(counts))
         by_bucket = np.bincount(buckets, np.repeat(by_word / counts, counts), minlength=len(places)).astype(np.float32)
         turn = (by_bucket @ vectors).astype(np.float64)
         for i in range(0, len(places), ROWS_AT_ONCE):
@@ -234,7 +235,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) ->
     del of_texts
     buckets, sizes = _flat(words.column("data"), "<i4")
     del words
-    return train(bags_of(np.concatenate([[0], np.cumsum(lengths)]), codes), buckets, sizes, toxic)
+    return train(np.concatenate([[0], np.cumsum(lengths)]), codes, buckets, sizes, toxic)
 
 
 def scores(documents: DataFrame, model: Model) -> DataFrame:

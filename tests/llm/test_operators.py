@@ -285,6 +285,39 @@ def test_toxicity(edges, empty, table):
     assert [r.doc_id for r in toxicity.without_toxic(probe.withColumn("extra", F.lit(1)), model).where("doc_id > 0").collect()] == [1]
 
 
+def test_toxic_words_are_picked_per_text():
+    """The bag of a text against sorting its words one text at a time, with ties, empty and short texts."""
+    rng = np.random.default_rng(3)
+    by_word = rng.integers(-3, 4, 30).astype(float)
+    texts = [rng.integers(0, 30, n) for n in (0, 1, 3, 4, 5, 0, 200, 0)]
+    offsets, codes = np.concatenate([[0], np.cumsum([len(t) for t in texts])]), np.concatenate(texts)
+    word, text = toxicity.most_toxic(by_word, offsets, codes, toxicity.first_of_each(offsets, 4))
+    for i, own in enumerate(texts):
+        wanted = sorted(own, key=lambda c: (-by_word[c], c))[:4]
+        assert list(word[text == i]) == wanted
+    none = np.zeros(0, dtype=np.int64)
+    word, text = toxicity.most_toxic(np.zeros(0), np.array([0, 0]), none, toxicity.first_of_each(np.array([0, 0]), 4))
+    assert len(word) == len(text) == 0
+
+
+def test_toxicity_of_words_that_come_again(table):
+    """A word that clean texts hold once and toxic ones three times: held-out texts are told apart by the count."""
+    rng = np.random.default_rng(5)
+    words = [f"{a}{b}o" for a in "bcdfghjklm" for b in ("an", "el", "ir", "os", "ut")]
+    def text(times):
+        body = list(rng.choice(words, 60))
+        for i in range(times):
+            body.insert(7 + 11 * i, "grumwick" + str(rng.choice(["s", "er", "ing"])))
+        return " ".join(body)
+    rows = [(i, text(3 if i % 8 == 0 else int(i % 8 == 1))) for i in range(1200)]
+    labels = table("doc_id long, toxic int", *[(i, int(i % 8 == 0)) for i in range(800)])
+    df = table("doc_id long, text string", *rows)
+    score = {r.doc_id: r.score for r in toxicity.scores(df, toxicity.fit(df, labels)).collect()}
+    held = range(800, 1200)
+    assert np.mean([score[i] >= 0.7 for i in held if i % 8 == 0]) > 0.9
+    assert np.mean([score[i] >= 0.7 for i in held if i % 8]) < 0.02
+
+
 def test_toxicity_trains_rare_words(table):
     """All 4,000 rows a model may take are learned from, and so is a word that few of them hold."""
     assert toxicity.MAX_TRAIN == 4000

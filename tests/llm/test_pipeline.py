@@ -28,8 +28,7 @@ def toxic_score(model, text):
     found = words((text or "").lower())
     runs = [w for i, w in enumerate(found) if i == 0 or w != found[i - 1]]
     chance = [model.table[toxicity.subwords([w])[0]].mean(dtype=float) for w in runs]
-    bags = [sum(chance[i : i + 4]) / 4 for i in range(0, len(chance), 4)] or [0.0]
-    return 1 / (1 + math.exp(-(max(bags) + model.bias)))
+    return 1 / (1 + math.exp(-(sum(sorted(chance)[-4:]) / 4 + model.bias)))
 
 
 def shingles(text):
