@@ -58,13 +58,14 @@ def text_tree(v) -> str:
     return root
 
 
-FOLDER = F.regexp_extract("path", "^source=([^/]*)/", 1).alias("folder")
+def folder():
+    return F.regexp_extract("path", "^source=([^/]*)/", 1).alias("folder")
 
 
 @query("tree_scan", "SELECT source AS folder, sum(octet_length(encode(coalesce(text, ''))) + 1) AS listed, sum(octet_length(encode(coalesce(text, ''))) + 1) AS held FROM {documents} GROUP BY source")
 def _(v):
     files = file_source.scan_tree(v.spark, text_tree(v)).where("path LIKE '%.txt'")
-    sized = files.select(FOLDER, "length", F.octet_length("content").cast("bigint").alias("held"))
+    sized = files.select(folder(), "length", F.octet_length("content").cast("bigint").alias("held"))
     return sized.groupBy("folder").agg(F.sum("length").alias("listed"), F.sum("held").alias("held"))
 
 
@@ -73,7 +74,7 @@ SELECT source AS folder, md5(line) AS line_md5, count(*) AS lines
 FROM (SELECT source, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM {documents}) GROUP BY ALL""")
 def _(v):
     files = file_source.scan_text(v.spark, text_tree(v), "*.txt")
-    lines = files.select(FOLDER, F.explode(F.split(F.regexp_replace("text", "\n$", ""), "\n", -1)).alias("line"))
+    lines = files.select(folder(), F.explode(F.split(F.regexp_replace("text", "\n$", ""), "\n", -1)).alias("line"))
     return lines.groupBy("folder", F.md5("line").alias("line_md5")).agg(F.count(F.lit(1)).alias("lines"))
 
 
@@ -85,7 +86,7 @@ def _(v):
     for part in (v.documents.where(short), v.documents.where(~short)):
         part.select("source", "text").write.mode("append").partitionBy("source").text(root)
         tracked_files.track_files(v.spark, root, base, "*.txt")
-    return tracked_files.read_tracked(v.spark, base).groupBy(FOLDER).agg(F.sum("size_bytes").alias("size_bytes"))
+    return tracked_files.read_tracked(v.spark, base).groupBy(folder()).agg(F.sum("size_bytes").alias("size_bytes"))
 
 
 V["file_findings"] = """
