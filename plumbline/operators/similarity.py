@@ -27,7 +27,7 @@ def rare_lines(lines: DataFrame, percent: int) -> DataFrame:
     """The rarest lines of each blob (and its number of lines ``n``), one of which every similar blob has among its own.
 
     Lines are ordered by the number of blobs in the repository that have them. What lies behind the lines kept is too
-    little to reach ``percent`` of the blob alone.
+    little to reach ``percent`` of the blob alone. ``rest`` is the number of lines from this one on.
     """
     held = lines.groupBy("repo", "line").agg(F.count(F.lit(1)).alias("blobs"))
     own = W.partitionBy("repo", "blob")
@@ -35,37 +35,48 @@ def rare_lines(lines: DataFrame, percent: int) -> DataFrame:
     ranked = lines.join(held, ["repo", "line"]).select(
         "repo", "blob", "line", F.sum("m").over(own).alias("n"), F.coalesce(F.sum("m").over(before), F.lit(0)).alias("before")
     )
-    return ranked.where(F.col("before") <= F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100)).select("repo", "blob", "line", "n")
+    return ranked.where(F.col("before") <= F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100)).select(
+        "repo", "blob", "line", "n", (F.col("n") - F.col("before")).alias("rest")
+    )
+
+
+def line_sets(lines: DataFrame) -> DataFrame:
+    """``repo``, ``blob``, ``items``: a blob's lines as one set of numbers; the k-th of equal lines has a number of its own."""
+    item = lambda k: F.when(k == 1, F.col("line")).otherwise(F.xxhash64("line", k))
+    items = F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("m")), item)
+    return lines.groupBy("repo", "blob").agg(F.flatten(F.collect_list(items)).alias("items"))
 
 
-def similar_blobs(sides: DataFrame, blobs: DataFrame, percent: int = 50) -> DataFrame:
+def similar_blobs(sides: DataFrame, lines: DataFrame, percent: int = 50) -> DataFrame:
     """``repo, discrepancy, left, right, score`` of all pairs of blobs that share ``percent`` of their lines.
 
-    ``sides`` has the blobs on either side (repo, discrepancy, blob, side: ``left`` or ``right``). The score is the share
+    ``sides`` has the blobs on either side (repo, discrepancy, blob, side: ``left`` or ``right``), ``lines`` those of
+    :func:`line_counts`, best written beforehand. The score is the share
     of common lines in the longer file, in whole percents; files that differ in line ends only have 99.
     """
     sides = cut_lineage(sides.distinct(), "sides")
     used = sides.select("repo", "blob").distinct()
-    lines = cut_lineage(line_counts(blobs.join(used, ["repo", "blob"], "left_semi")), "lines")
+    lines = cut_lineage(lines.join(used, ["repo", "blob"], "left_semi"), "lines")
     rare = cut_lineage(rare_lines(lines, percent), "rare")
+    asking = [F.sort_array(F.collect_set(F.when(F.col("side") == side, F.col("discrepancy")))).alias(f"{side}_in") for side in ("left", "right")]
+    placed = rare.join(sides.groupBy("repo", "blob").agg(*asking), ["repo", "blob"])
     by_side = [
-        rare.join(sides.where(F.col("side") == side).select("repo", "blob").distinct(), ["repo", "blob"]).select(
-            "repo", "line", F.col("blob").alias(side), F.col("n").alias(f"{side}_n")
+        placed.where(F.size(f"{side}_in") > 0).select(
+            "repo", "line", F.col("blob").alias(side), F.col("n").alias(f"{side}_n"), F.col("rest").alias(f"{side}_rest"), f"{side}_in"
         )
         for side in ("left", "right")
     ]
-    alike = F.lit(percent) * F.greatest("left_n", "right_n") <= 100 * F.least("left_n", "right_n")
-    together = by_side[0].join(by_side[1], ["repo", "line"]).where(alike & (F.col("left") != F.col("right")))
-    pairs = together.select("repo", "left", "right", F.greatest("left_n", "right_n").alias("n")).distinct()
-    # Only pairs that a direction asks for are compared.
-    one = sides.where("side = 'left'").select(*DIRECTION, F.col("blob").alias("left"))
-    other = sides.where("side = 'right'").select(*DIRECTION, F.col("blob").alias("right"))
-    asked = cut_lineage(pairs.join(one, ["repo", "left"]).join(other, [*DIRECTION, "right"]), "asked")
-    distinct = asked.select("repo", "left", "right").distinct()
-    first = distinct.join(lines.select("repo", F.col("blob").alias("left"), "line", "m"), ["repo", "left"])
-    second = lines.select("repo", F.col("blob").alias("right"), "line", F.col("m").alias("other"))
-    shared = first.join(second, ["repo", "right", "line"]).groupBy("repo", "left", "right").agg(F.sum(F.least("m", "other")).alias("shared"))
-    scored = asked.join(shared, ["repo", "left", "right"])
+    # The first line that two blobs share leaves no more lines to share than follow it in either. Only pairs that a direction asks for are compared.
+    reachable = F.lit(percent) * F.greatest("left_n", "right_n") <= 100 * F.least("left_rest", "right_rest")
+    together = by_side[0].join(by_side[1], ["repo", "line"]).where(reachable & (F.col("left") != F.col("right")) & F.arrays_overlap("left_in", "right_in"))
+    longer = F.greatest("left_n", "right_n").alias("n")
+    asked = cut_lineage(together.select("repo", "left", "right", longer, F.array_intersect("left_in", "right_in").alias("asked_in")).distinct(), "asked")
+    sets = cut_lineage(line_sets(lines), "sets")
+    scored = asked
+    for side in ("left", "right"):
+        scored = scored.join(sets.select("repo", F.col("blob").alias(side), F.col("items").alias(f"{side}_items")), ["repo", side])
+    scored = scored.withColumn("shared", F.size(F.array_intersect("left_items", "right_items"))).where(F.lit(percent) * F.col("n") <= 100 * F.col("shared"))
+    scored = scored.select("repo", F.explode("asked_in").alias("discrepancy"), "left", "right", "n", "shared")
     score = F.least(F.floor(100 * F.col("shared") / F.col("n")), F.lit(99)).cast("int")
     return scored.select(*DIRECTION, "left", "right", score.alias("score")).where(F.col("score") >= percent)
 
@@ -122,7 +133,8 @@ def with_similar(renamed: DataFrame, blobs: DataFrame, percent: int = 50, copies
     def counted(rows: DataFrame, side: str) -> DataFrame:
         return rows.groupBy(*DIRECTION, F.col("blob").alias(side)).agg(F.count(F.lit(1)).alias(f"{side}s"))
 
-    scored = similar_blobs(sided(gone, new), blobs, percent)
+    lines = cut_lineage(line_counts(blobs), "all_lines")  # texts are moved no further than here
+    scored = similar_blobs(sided(gone, new), lines, percent)
     pairs = scored.join(counted(gone, "left"), [*DIRECTION, "left"]).join(counted(new, "right"), [*DIRECTION, "right"])
     taken = cut_lineage(assign(pairs.select(*DIRECTION, "left", "right", "score", "lefts", "rights")), "taken")
 
@@ -141,7 +153,7 @@ def with_similar(renamed: DataFrame, blobs: DataFrame, percent: int = 50, copies
     if copies:
         sources = renamed.where(kind == "M").select(*DIRECTION, "path", F.col("left_hash").alias("blob"))
         left_over = new.join(matched, [*DIRECTION, "path"], "left_anti")
-        found = similar_blobs(sided(sources, left_over), blobs, percent)
+        found = similar_blobs(sided(sources, left_over), lines, percent)
         best = found.groupBy(*DIRECTION, F.col("right").alias("blob")).agg(F.min(F.struct(-F.col("score"), "left")).alias("b"))
         first = sources.groupBy(*DIRECTION, F.col("blob").alias("left")).agg(F.min("path").alias("copied_path"))
         named = best.select(*DIRECTION, "blob", (-F.col("b.col1")).alias("copy_score"), F.col("b.left").alias("left")).join(first, [*DIRECTION, "left"])

@@ -71,6 +71,19 @@ def test_no_pair_beyond_shared_rare_lines(table, monkeypatch):
     assert [df.count() for label, df in seen if label == "asked"] == [0]
 
 
+def test_pairs_no_direction_asks_for_are_not_met(table, monkeypatch):
+    """Left and right contents of different directions, and files too short behind their first shared line, are no candidates."""
+    seen = []
+    cut = similarity.cut_lineage
+    monkeypatch.setattr(similarity, "cut_lineage", lambda df, label="step": seen.append((label, out := cut(df, label))) or out)
+    blobs = table(BLOBS, *[("r", f"{s}{i}", text(*L[:19], f"{s}{i}")) for i in range(12) for s in "ln"], ("r", "long", text(*L, *[f"own {k}" for k in range(18)])))
+    diff = table(DIFF, *[row for i in range(12) for row in (deleted(f"d/{i}", f"l{i}", f"x{i}"), added(f"n/{i}", f"n{i}", f"x{i}"))], added("n/long", "long", "x0"))
+    assert {k for _, k, _ in kinds(similarity.with_similar(diff, blobs, copies=True))} == {"R095", "A"}
+    asked = [df for label, df in seen if label == "asked"][0]
+    assert sorted((r.left, r.right, r.asked_in) for r in asked.collect() if r.right != "long") == sorted((f"l{i}", f"n{i}", [f"x{i}"]) for i in range(12))
+    assert len([1 for label, _ in seen if label == "all_lines"]) == 1
+
+
 # Folder hashes
 
 FILES = "repo string, tree string, path string, blob_hash string"
