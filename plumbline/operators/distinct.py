@@ -2,7 +2,8 @@
 
 A value has one number in a dictionary that only grows, so bitmaps of different runs speak of the same values. A count
 over any set of runs or groups is then an OR of bitmaps: the rows behind them are not read again, and the count is exact.
-A bitmap covers 32,768 numbers; a key has a row per range of numbers that occurs in it.
+A bitmap is a word that covers 64 numbers; a key has a row per range of numbers that occurs in it, so keys with few values
+stay as small as their rows, and words are combined where the rows are read.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from plumbline.operators.skew import rank_within
 
 DICTIONARY = "value string, number bigint"
+WORD = 64
 
 
 def extend(known: DataFrame | None, values: DataFrame, column: str) -> DataFrame:
@@ -34,11 +36,11 @@ def extend(known: DataFrame | None, values: DataFrame, column: str) -> DataFrame
 def bitmaps(rows: DataFrame, keys: Sequence[str], column: str, dictionary: DataFrame) -> DataFrame:
     """``keys, bucket, bits``: the numbers of the values of ``column`` per key.
 
-    Rows are made distinct by key and value first, so a key with a third of all rows is spread over its values. A key
+    A key with a third of all rows is spread over the ranges of its values, each combined before rows are moved. A key
     whose values are all NULL has one row with NULL ``bucket`` and ``bits``. A value the dictionary lacks is an error, since
     leaving it out would give a count that is too small.
     """
-    pairs = rows.select(*keys, F.col(column).cast("string").alias("value")).distinct()
+    pairs = rows.select(*keys, F.col(column).cast("string").alias("value"))
     numbered = pairs.join(dictionary.select("value", "number"), "value", "left")
     unknown = F.raise_error(F.concat(F.lit("no number in the dictionary: "), F.col("value"))).cast("bigint")
     number = F.when(F.col("value").isNotNull() & F.col("number").isNull(), unknown).otherwise(F.col("number"))
@@ -46,20 +48,18 @@ def bitmaps(rows: DataFrame, keys: Sequence[str], column: str, dictionary: DataF
 
 
 def _construct(numbered: DataFrame, keys: Sequence[str]) -> DataFrame:
-    bits = F.bitmap_construct_agg(F.bitmap_bit_position("number"))
-    grouped = numbered.groupBy(*keys, F.bitmap_bucket_number("number").alias("bucket")).agg(bits.alias("bits"))
-    return grouped.withColumn("bits", F.when(F.col("bucket").isNotNull(), F.col("bits")))
+    bit = F.expr(f"shiftleft(1L, cast(number % {WORD} AS int))")
+    return numbered.groupBy(*keys, F.expr(f"number div {WORD}").alias("bucket")).agg(F.bit_or(bit).alias("bits"))
 
 
 def merged(stored: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
     """Bitmaps by coarser ``keys``, such as those of all runs or of a month."""
-    grouped = stored.groupBy(*keys, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-    return grouped.withColumn("bits", F.when(F.col("bucket").isNotNull(), F.col("bits")))
+    return stored.groupBy(*keys, "bucket").agg(F.bit_or("bits").alias("bits"))
 
 
 def counts(stored: DataFrame, keys: Sequence[str | Column], name: str) -> DataFrame:
     """Exact number of distinct values per key; zero for keys that have none."""
     joined = merged(stored, keys)
     kept = [c for c in joined.columns if c not in ("bucket", "bits")]
-    number = F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0))
+    number = F.coalesce(F.sum(F.bit_count("bits")), F.lit(0))
     return joined.groupBy(*kept).agg(number.alias(name))

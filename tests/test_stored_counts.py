@@ -37,6 +37,15 @@ def test_merged_counts_equal_counts_of_rows(spark):
         assert rows(distinct.counts(both, keys, "n")) == rows(facts.groupBy(*keys).agg(F.countDistinct("v").alias("n")))
 
 
+def test_keys_of_one_value_stay_small(spark):
+    """Every value with a key of its own: words, not bitmaps of thousands of numbers, and no rows sorted to combine them."""
+    facts = spark.range(5_000).select(F.col("id").cast("string").alias("k"), F.col("id").cast("string").alias("v"))
+    maps = distinct.bitmaps(facts, ["k"], "v", cut_lineage(distinct.extend(None, facts, "v")))
+    assert dict(maps.dtypes)["bits"] == "bigint" and maps.count() == 5_000
+    assert "SortAggregate" not in maps._jdf.queryExecution().executedPlan().toString()
+    assert maps.groupBy().agg(F.sum(F.bit_count("bits"))).first()[0] == 5_000
+
+
 def test_counts_of_nothing(table):
     numbers = table(distinct.DICTIONARY, ("x", 1))
     maps = distinct.bitmaps(table(FACTS, ("1", "a", None), ("1", "b", "x"), ("1", None, "x")), ["k"], "v", numbers)
