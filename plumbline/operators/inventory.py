@@ -25,6 +25,7 @@ from plumbline.functions.text import (
     unquote,
 )
 from plumbline.operators.skew import fill_forward
+from plumbline.session import spread
 
 OBJECT = ["product", "dataset", "object_name"]
 
@@ -34,7 +35,7 @@ def ddl_files(files: DataFrame) -> DataFrame:
 
     A file that names no object stands for its stem. Only this step reads texts.
     """
-    parsed = files.withColumn("t", ddl_target(F.col("text")))
+    parsed = spread(files.select("product", "path", "text")).withColumn("t", ddl_target(F.col("text")))
     tabular = F.col("t.kind").isin("table", "alter_table")
     none = F.array().cast("array<struct<name:string,type:string>>")
     return parsed.select(

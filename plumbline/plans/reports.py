@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from datetime import datetime
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,19 @@ from plumbline.sources.ledger import new_runs, read_ledger, record_run, run_path
 from plumbline.sources.reports import render_findings, write_report_csv, write_snapshot_json, write_text_report
 
 
+class Frames(dict):
+    """Entries by name; one given as a function is made when it is first read."""
+
+    def __getitem__(self, name):
+        value = super().__getitem__(name)
+        if callable(value):
+            value = self[name] = value()
+        return value
+
+    def items(self):
+        return [(name, self[name]) for name in self]
+
+
 @dataclass
 class Report:
     """Frames of one run: rows for the ledger, CSV files with their sort keys, numbered lines, JSON snapshots by section."""
@@ -155,36 +169,40 @@ def env_drift(
         extra["settings"] = (targets, ["product"])
     if warned is not None:
         extra["warnings"] = (warned, ["product", "warning"])
-    sources = (parsed, models) if targets is None else (out_of(empty, parsed), out_of(empty, models))
-    in_catalog = cut_lineage(catalog_findings(catalog, catalog_columns, *sources), "findings")
-    in_files = cut_lineage(reconcile.compare_files(source_files, deployed_files), "findings")
-    with_source = cut_lineage(reconcile.finding_sources(in_catalog, parsed, models), "sources")
-    inventories = cut_lineage(inventory.ddl_inventory(parsed), "ddl")
+    # Each step feeds several outputs: it is computed once, when the first of them is read.
+    read = cache(lambda: (cut_lineage(parsed, "parsed"), cut_lineage(models, "models")))
+    sources = cache(lambda: read() if targets is None else tuple(out_of(empty, rows) for rows in read()))
+    in_catalog = cache(lambda: cut_lineage(catalog_findings(catalog, catalog_columns, *sources()), "findings"))
+    in_files = cache(lambda: cut_lineage(reconcile.compare_files(source_files, deployed_files), "findings"))
+    with_source = cache(lambda: cut_lineage(reconcile.finding_sources(in_catalog(), *read()), "sources"))
+    inventories = cache(lambda: cut_lineage(inventory.ddl_inventory(read()[0]), "ddl"))
+
+    def summary() -> DataFrame:
+        return count_rows(
+            bigquery_findings=in_catalog(), gcs_findings=in_files(), source_bq_objects=inventories(),
+            source_dbt_models=read()[1], source_files=source_files, actual_bq_objects=catalog, actual_gcs_objects=deployed_files,
+        )
+
+    def snapshot() -> dict[str, DataFrame]:
+        return {
+            "bigquery_findings": with_source(), "gcs_findings": in_files(), "source_bq_objects": inventories(),
+            "source_dbt_models": read()[1], "source_files": source_files, "actual_gcs_objects": deployed_files,
+            "actual_bq_objects": catalog.drop("ddl", "view_query", "definition_body"),
+        }
+
     return Report(
         "env_drift",
-        {"env_drift_findings": reconcile.ledger_findings(in_catalog, in_files)},
-        {
-            "bigquery_findings": (with_source, ["status", "name"]),
-            "schema_columns": (reconcile.column_diff(inventory.ddl_columns(sources[0]), catalog_columns), [*inventory.OBJECT, "column_name"]),
-            "source_paths": (reconcile.source_paths(in_catalog, parsed, models), ["product", "name", "path"]),
-            "gcs_findings": (in_files, ["name"]),
-            "summary": (
-                count_rows(
-                    bigquery_findings=in_catalog, gcs_findings=in_files, source_bq_objects=inventories,
-                    source_dbt_models=models, source_files=source_files, actual_bq_objects=catalog, actual_gcs_objects=deployed_files,
-                ),
-                [],
-            ),
+        Frames(env_drift_findings=lambda: reconcile.ledger_findings(in_catalog(), in_files())),
+        Frames(
+            bigquery_findings=lambda: (with_source(), ["status", "name"]),
+            schema_columns=lambda: (reconcile.column_diff(inventory.ddl_columns(sources()[0]), catalog_columns), [*inventory.OBJECT, "column_name"]),
+            source_paths=lambda: (reconcile.source_paths(in_catalog(), *read()), ["product", "name", "path"]),
+            gcs_findings=lambda: (in_files(), ["name"]),
+            summary=lambda: (summary(), []),
             **extra,
-        },
-        {"findings": numbered(with_source, in_files)},
-        {
-            "snapshot": {
-                "bigquery_findings": with_source, "gcs_findings": in_files, "source_bq_objects": inventories,
-                "source_dbt_models": models, "source_files": source_files, "actual_gcs_objects": deployed_files,
-                "actual_bq_objects": catalog.drop("ddl", "view_query", "definition_body"),
-            }
-        },
+        ),
+        Frames(findings=lambda: numbered(with_source(), in_files())),
+        Frames(snapshot=snapshot),
     )
 
 

@@ -68,6 +68,11 @@ def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows evenly over the cores, before costly expressions over small tables, which are read in few tasks."""
+    return df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def cut_and_count(df: DataFrame, condition: Column, label: str = "step") -> tuple[DataFrame, int]:
     """As :func:`cut_lineage`, and the number of rows that meet ``condition``.
 
