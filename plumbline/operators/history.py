@@ -7,6 +7,7 @@ Inputs: ``commit_parents`` (repo, sha, parent_sha, parent_index), ``tips``
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,28 +25,26 @@ def descendants(nodes: DataFrame, main: DataFrame) -> DataFrame:
 
     In round k a commit knows its ancestor 2**k steps up and how many commits
     are fewer than 2**k steps below it; the counts below that many steps up are
-    added to the ancestor, and the step doubles.
+    added to the ancestor, and the step doubles. Only commits that still climb
+    are carried into the next round; what a commit at its end gains later is a
+    row of its own, and all are summed at last.
     """
-    state, active = cut_and_count(
-        nodes.join(main, ["repo", "sha"], "left").select(
-            "repo", "sha", F.col("parent_sha").alias("up"), F.lit(1).cast("bigint").alias("size")
-        ),
-        F.col("up").isNotNull(),
+    climbs = F.col("up").isNotNull()
+    step = nodes.join(main, ["repo", "sha"], "left").select(
+        "repo", "sha", F.col("parent_sha").alias("up"), F.lit(1).cast("bigint").alias("size")
     )
+    ended = []
     for _ in range(MAX_ROUNDS):
+        state, active = cut_and_count(step, climbs, "climbing")
+        ended.append(state.where(~climbs).select("repo", "sha", "size"))
         if active == 0:
-            return state.select("repo", "sha", "size")
-        climbing = state.where(F.col("up").isNotNull())
-        gained = climbing.groupBy("repo", F.col("up").alias("sha")).agg(F.sum("size").alias("gain"))
-        ahead = state.select("repo", F.col("sha").alias("up"), F.col("up").alias("next"))
-        moved = climbing.join(ahead, ["repo", "up"]).select("repo", "sha", F.col("next").alias("up"), "size")
-        rows = moved.unionByName(state.where(F.col("up").isNull()))
-        state, active = cut_and_count(
-            rows.join(gained, ["repo", "sha"], "left").select(
-                "repo", "sha", "up", (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size")
-            ),
-            F.col("up").isNotNull(),
-        )
+            return reduce(DataFrame.unionByName, ended).groupBy("repo", "sha").agg(F.sum("size").alias("size"))
+        climbing = state.where(climbs)
+        gained = climbing.groupBy("repo", F.col("up").alias("sha")).agg(F.sum("size").alias("size"))
+        ahead = climbing.select("repo", F.col("sha").alias("up"), F.col("up").alias("next"))
+        moved = climbing.join(ahead, ["repo", "up"], "left").select("repo", "sha", F.col("next").alias("up"), "size")
+        rows = moved.unionByName(gained.withColumn("up", F.lit(None).cast("string")))
+        step = rows.groupBy("repo", "sha").agg(F.max("up").alias("up"), F.sum("size").alias("size"))
     raise ValueError("the parent table has a cycle")
 
 
@@ -106,6 +105,8 @@ def reachable(parents: DataFrame, tips: DataFrame) -> DataFrame:
     stands for any number of commits. A round follows the edges that leave the
     newly reached parts; the number of rounds is the depth of side branches.
     """
+    parents = cut_lineage(parents.select("repo", "sha", "parent_sha", "parent_index"), "parents")  # both are read several times below
+    tips = cut_lineage(tips.select("repo", "branch", "sha"), "tips")
     placed = chains(parents, tips)
     edges = parents.where(F.col("parent_sha").isNotNull()).select("repo", "sha", "parent_sha").distinct()
     at = placed.select("repo", "sha", F.col("chain").alias("from_chain"), F.col("pos").alias("from_pos"))
@@ -249,12 +250,18 @@ def branch_gap(
 
 
 def file_meta(closure: DataFrame, commits: DataFrame, commit_files: DataFrame) -> DataFrame:
-    """Last change, last add and first add of each path on each branch."""
+    """Last change, last add and first add of each path on each branch.
+
+    A touched file is moved once by its path, with the branches that reach its
+    commit; they are unfolded and compared where the rows of the path are.
+    """
     facts = ["sha", "authored_at", "author", "author_email", "message"]
     touched = commit_files.select("repo", "sha", "path", "change_code").join(
         commits.select("repo", *facts), ["repo", "sha"]
     )
-    on_branch = touched.join(closure, ["repo", "sha"])
+    branches = closure.groupBy("repo", "sha").agg(F.collect_list("branch").alias("branches"))
+    moved = touched.join(branches, ["repo", "sha"]).repartition("repo", "path")
+    on_branch = moved.withColumn("branch", F.explode("branches")).drop("branches")
     commit = F.struct(*facts)
     age = F.struct("authored_at", "sha")
     added = F.col("change_code") == "A"

@@ -120,3 +120,29 @@ def test_file_meta_prefers_latest_add(table):
     closure = table("repo string, branch string, sha string", *[("r", "master", s) for s in "123"])
     row = history.file_meta(closure, commits, touched).first()
     assert (row.created_commit, row.last_change_commit, row.first_added_commit) == ("2", "3", "1")
+
+
+def test_rounds_carry_climbing_commits_only(table, monkeypatch):
+    """Commits at the end of their line are not written again, and sizes are those of whole lines."""
+    seen = []
+    cut = history.cut_and_count
+    monkeypatch.setattr(history, "cut_and_count", lambda df, condition, label="step": (seen.append(out := cut(df, condition, label)), out)[1])
+    nodes = table("repo string, sha string", *[("r", f"{i:03}") for i in range(40)], ("r", "side"))
+    main = table("repo string, sha string, parent_sha string", *[("r", f"{i:03}", f"{i - 1:03}") for i in range(1, 40)], ("r", "side", "009"))
+    sizes = {r.sha: r.size for r in history.descendants(nodes, main).collect()}
+    assert sizes == {**{f"{i:03}": 40 - i + (i <= 9) for i in range(40)}, "side": 1}
+    active = [n for _, n in seen]
+    assert active == sorted(active, reverse=True) and active[-1] == 0
+    assert all(state.count() <= 2 * before for (state, _), before in zip(seen[1:], active))
+
+
+def test_file_meta_moves_touched_files_once(table):
+    """Branches are unfolded behind the exchange by path, so a file touched on three branches is moved as one row."""
+    commits = table("repo string, sha string, authored_at int, author string, author_email string, message string", ("r", "1", 1, "a", "a@x", "m"), ("r", "2", 2, "b", "b@x", "n"))
+    touched = table("repo string, sha string, path string, change_code string", ("r", "1", "p", "A"), ("r", "2", "p", "M"))
+    closure = table("repo string, branch string, sha string", *[("r", b, "1") for b in ("master", "test", "production")], ("r", "master", "2"))
+    found = history.file_meta(closure, commits, touched)
+    got = sorted((r.branch, r.path, r.created_commit, r.last_change_commit, r.first_added_commit) for r in found.collect())
+    assert got == [("master", "p", "1", "2", "1"), ("production", "p", "1", "1", "1"), ("test", "p", "1", "1", "1")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(branches") < plan.index("RepartitionByExpression")
