@@ -259,9 +259,9 @@ def file_meta(closure: DataFrame, commits: DataFrame, commit_files: DataFrame) -
     touched = commit_files.select("repo", "sha", "path", "change_code").join(
         commits.select("repo", *facts), ["repo", "sha"]
     )
-    branches = closure.groupBy("repo", "sha").agg(F.collect_list("branch").alias("branches"))
+    branches = closure.groupBy("repo", "sha").agg(F.collect_list(F.struct("branch")).alias("branches"))
     moved = touched.join(branches, ["repo", "sha"]).repartition("repo", "path")
-    on_branch = moved.withColumn("branch", F.explode("branches")).drop("branches")
+    on_branch = moved.withColumn("at", F.explode("branches")).withColumn("branch", F.col("at.branch")).drop("branches", "at")
     commit = F.struct(*facts)
     age = F.struct("authored_at", "sha")
     added = F.col("change_code") == "A"
