@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from bindings.registry import CHECK_VIEWS, query
 from plumbline.constants import DIFFERENCE_COLUMNS, DIFFERENCE_TYPES, DIRECT, DIRECTIONS, MATRIX_ORDER, MERGE_BASE
 from plumbline.operators import ancestry, branches, executive, history, reconcile, similarity, trees
-from plumbline.session import scratch_path
+from plumbline.session import cut_lineage, scratch_path
 from plumbline.sources import snapshots
 
 V = CHECK_VIEWS
@@ -111,11 +111,12 @@ def _(v):
 def _(v):
     """An index of the commits before a day, with each repository's newest of them as a tip, extended by all later commits."""
     base = scratch_path(v.spark, "ancestry")
+    parents, tips = cut_lineage(v.commit_parents, "parents"), cut_lineage(v.tips, "tips")
     old = v.commits.where(F.col("authored_at") < F.lit(SPLIT_AT).cast("timestamp")).select("repo", "sha", "authored_at")
     newest = old.groupBy("repo").agg(F.max_by("sha", F.struct("authored_at", "sha")).alias("sha"))
-    ancestry.extend_index(base, v.commit_parents.join(old, ["repo", "sha"]).drop("authored_at"), newest)
-    ancestry.extend_index(base, v.commit_parents, v.tips)
-    return ancestry.reachable_from_index(v.spark, base, v.tips)
+    ancestry.extend_index(base, parents.join(old, ["repo", "sha"], "left_semi"), newest)
+    ancestry.extend_index(base, parents, tips)
+    return ancestry.reachable_from_index(v.spark, base, tips)
 
 
 V["common"] = """

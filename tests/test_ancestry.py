@@ -119,3 +119,43 @@ def test_same_as_unstored(spark, table, tmp_path):
     base = str(tmp_path / "index")
     ancestry.extend_index(base, records(table, edges, edges), tips, buckets=2)
     assert rows(ancestry.reachable_from_index(spark, base, tips)) == rows(history.reachable(records(table, edges, edges), tips))
+
+
+def test_small_repositories_need_no_rounds(spark, table, tmp_path, monkeypatch):
+    def rounds(*_):
+        raise AssertionError("rounds of joins over small repositories")
+
+    monkeypatch.setattr(ancestry, "chains", rounds)
+    base, edges = str(tmp_path / "index"), {"a": [], "b": ["a"], "c": ["a"], "d": ["b", "c"]}
+    tips = {"master": "d", "test": "c"}
+    ancestry.extend_index(base, records(table, edges, ["a", "b"]), tip_rows(table, {"master": "b"}), buckets=2)
+    ancestry.extend_index(base, records(table, edges, edges), tip_rows(table, tips), buckets=2)
+    assert rows(ancestry.reachable_from_index(spark, base, tip_rows(table, tips))) == brute(edges, tips)
+
+
+def test_tasks_and_rounds_write_the_same(spark, table, tmp_path, monkeypatch):
+    """Repositories of all sizes; some commits come late, some twice, some have no index of their parent."""
+    rng = random.Random(11)
+    graphs = {f"r{g}": {f"s{i:02}": [f"s{j:02}" for j in rng.sample(range(max(0, i - 6), i), min(i, rng.choice([1, 1, 2, 3])))] for i in range(4 + 6 * g)} for g in range(6)}
+    calls = []
+    for share in (0.5, 1.0):
+        parents, tips = [], []
+        for repo, edges in graphs.items():
+            end = int(len(edges) * share)
+            late = {f"s{end // 2:02}"} if share < 1 and repo in ("r2", "r4") else set()
+            shas = [c for c in edges if int(c[1:]) < end and c not in late]
+            parents += [(repo, c, p, rng.choice([i, None])) for c in shas for i, p in enumerate(edges[c] or [None])] * 2
+            tips += [(repo, b, rng.choice(shas)) for b in ("master", "test")]
+        calls.append((table(PARENTS, *parents), table(TIPS, *tips)))
+    for base, small in (("tasks", 10_000), ("rounds", -1), ("both", 60)):
+        monkeypatch.setattr(ancestry, "SMALL", small)
+        for parents, tips in calls:
+            ancestry.extend_index(str(tmp_path / base), parents, tips, buckets=2)
+    for name in ancestry.TABLES:
+        tasks, rounds, both = (rows(ancestry.read_table(spark, str(tmp_path / base), name, 2)) for base in ("tasks", "rounds", "both"))
+        assert tasks and tasks == rounds == both, name
+
+
+def test_cycle_in_a_small_repository(table, tmp_path):
+    with pytest.raises(ValueError, match="cycle"):
+        ancestry.extend_index(str(tmp_path / "index"), records(table, {"a": ["b"], "b": ["a"]}, "ab"), tip_rows(table, {"master": "a"}), buckets=2)
