@@ -74,25 +74,28 @@ class WordEncoder:
     def encode(self, words: list[str]) -> list[bytes]:
         out = list(map(self.words.get, words))
         missing = [i for i, ids in enumerate(out) if ids is None]
-        pieces, single, several, new = self.pieces, [], [], {}
+        pieces, single, plain, several, new = self.pieces, [], [], [], {}
         for i in missing:
             word = words[i]
             if word.isalpha() and (word.isascii() or max(word) < "\u0100"):
                 piece = word.lower()
                 ids = out[i] = pieces.get(piece)
                 if ids is None:
-                    single.append((i, piece))
+                    single.append(i)
+                    plain.append(piece)
                     new[piece] = None
             elif word.isprintable() and "<|" not in word and (word.isascii() or max(word) < "\u0100"):
                 own = PIECE.findall(word.lower())
                 several.append((i, own))
-                new.update((p, None) for p in own if p not in pieces)
+                for p in own:
+                    if p not in pieces:
+                        new[p] = None
             else:
                 out[i] = self.whole(word)
         fresh = self.encode_pieces(list(new))
         if len(pieces) < KEPT_PIECES:
             pieces.update(fresh)
-        for i, piece in single:
+        for i, piece in zip(single, plain):
             out[i] = fresh[piece]
         for i, own in several:
             out[i] = b"".join([fresh[p] if p in fresh else pieces[p] for p in own])
