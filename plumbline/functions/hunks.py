@@ -7,11 +7,11 @@ import string
 from bisect import bisect_left
 
 
-def _anchors(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+def _anchors(a: list[str] | list[bytes], b: list[str] | list[bytes]) -> list[tuple[int, int]]:
     """Places of lines that both sides have once, as the longest run that goes forward on both."""
-    once: list[dict[str, int | None]] = []
+    once: list[dict[str | bytes, int | None]] = []
     for side in (a, b):
-        seen: dict[str, int | None] = {}
+        seen: dict[str | bytes, int | None] = {}
         for i, line in enumerate(side):
             seen[line] = None if line in seen else i
         once.append(seen)
@@ -34,7 +34,7 @@ def _anchors(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def changed_ranges(a: list[str], b: list[str]) -> list[tuple[int, int, int, int]]:
+def changed_ranges(a: list[str] | list[bytes], b: list[str] | list[bytes]) -> list[tuple[int, int, int, int]]:
     """Ranges ``(i, k, j, l)``, in order: lines ``i`` to ``k`` of ``a`` became lines ``j`` to ``l`` of ``b``.
 
     Equal lines at both ends are left out, then lines that are unique on both sides divide the rest, each part of which is
@@ -64,7 +64,7 @@ def changed_ranges(a: list[str], b: list[str]) -> list[tuple[int, int, int, int]
 _BLANKS = string.whitespace.replace("\n", "")
 
 
-def _lines(text: str | None) -> list[str]:
+def lines_of(text: str | None) -> list[str]:
     """Lines without white space, which is taken out one character at a time: beyond ASCII, ten times faster than ``str.translate``."""
     if text is None:
         return []
@@ -73,23 +73,101 @@ def _lines(text: str | None) -> list[str]:
     return text.split("\n")
 
 
-def diff_hash(old: str | None, new: str | None, context: int = 3) -> str:
-    """Hash of the hunks from ``old`` to ``new``: their lines without white space, with ``context`` lines around, without line numbers.
+def hunk_parts(ranges: list[tuple[int, int, int, int]], length: int, context: int = 3) -> list[tuple[str, int, int]]:
+    """Parts of the hunks of changed ranges of ``length`` old lines: ``(mark, first line, end)``, and ``("@", 0, 0)`` before each hunk.
 
-    Changes whose context touches are one hunk. A missing side has no lines; a text that ends with a line end has an empty
-    last line.
+    Lines marked ``+`` are those of the new side, all others of the old one. Changes whose context touches are one hunk.
     """
-    a, b = _lines(old), _lines(new)
-    digest, end = hashlib.sha256(), None
-    for i, k, j, l in changed_ranges(a, b):
+    parts, end = [], None
+    for i, k, j, l in ranges:
         if end is None or i - end > 2 * context:
             if end is not None:
-                digest.update("".join(f" {x}\n" for x in a[end : end + context]).encode())
-            digest.update(b"@\n" + "".join(f" {x}\n" for x in a[max(i - context, 0) : i]).encode())
+                parts.append((" ", end, min(end + context, length)))
+            parts += [("@", 0, 0), (" ", max(i - context, 0), i)]
         else:
-            digest.update("".join(f" {x}\n" for x in a[end:i]).encode())
-        digest.update("".join([*(f"-{x}\n" for x in a[i:k]), *(f"+{x}\n" for x in b[j:l])]).encode())
+            parts.append((" ", end, i))
+        parts += [("-", i, k), ("+", j, l)]
         end = k
     if end is not None:
-        digest.update("".join(f" {x}\n" for x in a[end : end + context]).encode())
+        parts.append((" ", end, min(end + context, length)))
+    return parts
+
+
+def hash_of_parts(parts: list[tuple[str, int, int]], old: list[str] | dict[int, str], new: list[str] | dict[int, str]) -> str:
+    """Hash of the lines of hunks, which are all that is looked up on both sides."""
+    digest = hashlib.sha256()
+    for mark, first, end in parts:
+        if mark == "@":
+            digest.update(b"@\n")
+        else:
+            side = new if mark == "+" else old
+            digest.update("".join(f"{mark}{side[n]}\n" for n in range(first, end)).encode())
     return digest.hexdigest()
+
+
+def diff_hash(old: str | None, new: str | None, context: int = 3) -> str:
+    """Hash of the hunks from ``old`` to ``new``: their lines without white space, with ``context`` lines around, without line numbers.
+
+    Changes whose context touches are one hunk. A missing side has no lines; a text that ends with a line end has an empty
+    last line.
+    """
+    a, b = lines_of(old), lines_of(new)
+    return hash_of_parts(hunk_parts(changed_ranges(a, b), len(a), context), a, b)
+
+
+#: Places at which a text has its hash as a whole: added, or removed.
+ADDED, REMOVED = -1, -2
+
+
+def asked_parts(ranges: list[tuple[int, int, int, int]], length: int, context: int = 3) -> list[tuple[str, int, int]]:
+    """Parts of the hunks with lines to be read; of a text that is added or removed as a whole, its hash alone.
+
+    Only a missing side has no lines at all.
+    """
+    if ranges and length == 0:
+        return [("+", ADDED, ADDED + 1)]
+    if ranges and ranges[0] == (0, length, 0, 0):
+        return [("-", REMOVED, REMOVED + 1)]
+    return [part for part in hunk_parts(ranges, length, context) if part[1] < part[2]]
+
+
+def read_hash(ranges: list[tuple[int, int, int, int]], length: int, old: dict[int, str], new: dict[int, str], context: int = 3) -> str:
+    """:func:`diff_hash` from the parts of :func:`asked_parts`, by their places."""
+    asked = asked_parts(ranges, length, context)
+    if asked and asked[0][1] in (ADDED, REMOVED):
+        return (new if asked[0][0] == "+" else old)[asked[0][1]]
+    return hash_of_parts(hunk_parts(ranges, length, context), old, new)
+
+
+_TEXT, _LINE = 8, 12  # bytes that stand for a text, and for a line among those of two texts
+
+
+def outline(lines: list[str]) -> bytes:
+    """What stands for a text, then what stands for each of its lines."""
+    marks = [hashlib.blake2b(x.encode(), digest_size=_LINE).digest() for x in lines]
+    return b"".join([_text_mark(lines), *marks])
+
+
+def outlined_lines(found: bytes | None) -> list[bytes]:
+    """The lines of an outline, by what stands for them; a missing side has none."""
+    return [found[n : n + _LINE] for n in range(_TEXT, len(found), _LINE)] if found is not None else []
+
+
+def excerpt(lines: list[str], places: list[int]) -> bytes:
+    """What stands for the text, then what it has at ``places``; of two texts, outlines and excerpts have the same order."""
+    n = len(lines)
+    whole = {ADDED: ([(0, 0, 0, n)], 0), REMOVED: ([(0, n, 0, 0)], n)}
+    found = [hash_of_parts(hunk_parts(*whole[at]), lines, lines) if at in whole else lines[at] for at in places]
+    return _text_mark(lines) + "\n".join([",".join(map(str, places)), *found]).encode()
+
+
+def excerpted_lines(found: bytes | None) -> dict[int, str]:
+    """The lines of an excerpt, by their places."""
+    if found is None:
+        return {}
+    places, *lines = found[_TEXT:].decode().split("\n")
+    return dict(zip(map(int, places.split(",")), lines, strict=True))
+
+
+def _text_mark(lines: list[str]) -> bytes:
+    return hashlib.blake2b("\n".join(lines).encode(), digest_size=_TEXT).digest()

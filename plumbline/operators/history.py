@@ -9,13 +9,20 @@ from __future__ import annotations
 from datetime import datetime
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.constants import BRANCHES
-from plumbline.functions.hunks import diff_hash
-from plumbline.session import cut_and_count, cut_lineage, ship
+from plumbline.functions.hunks import (
+    REMOVED, asked_parts, changed_ranges, excerpt, excerpted_lines, lines_of, outline, outlined_lines, read_hash,
+)
+from plumbline.functions.wanted import (
+    MOST_NUMBERS, SEGMENTS, content_number, fill_segment, line_numbers, segment, stands, words_for,
+)
+from plumbline.session import cut_and_count, cut_lineage, shuffles_freed, ship
 
 MAX_ROUNDS = 40  # a line of a trillion commits
 
@@ -298,28 +305,154 @@ def diff_hashes(changes: DataFrame, blobs: DataFrame, context: int = 3) -> DataF
 
     Commits that make the same change from the same contents share one line diff, and only its hash is joined back. A side
     without a blob has no lines; blobs without text (such as binary files) are told apart by their names.
+
+    No text is moved whole. Lines are compared by what stands for them, and only lines in a hunk are read from the texts
+    and moved then, so what is moved grows with the number of lines and the size of the diffs. The two readings of
+    ``blobs`` aggregate it at once, which lets the optimizer leave out a ``DISTINCT`` of texts below.
     """
     pair = ["repo", "old_blob", "new_blob"]
     same = lambda a, b: [a[c].eqNullSafe(b[c]) for c in pair]
-    pairs = cut_lineage(changes.select(*pair).distinct(), "blob_pairs")
-    texts = blobs.groupBy("repo", "blob").agg(F.any_value("text").alias("text"))
-    both = pairs
-    for side in ("old", "new"):
-        own = texts.select("repo", F.col("blob").alias(f"{side}_blob"), F.col("text").alias(f"{side}_text"))
-        both = both.join(own, ["repo", f"{side}_blob"], "left")
-    unread = lambda side: F.col(f"{side}_blob").isNotNull() & F.col(f"{side}_text").isNull()
+    spark = changes.sparkSession
+    ship(spark)
+    both = _with_contents(changes.select(*pair).distinct(), blobs.groupBy("repo", "blob").agg(F.max(_outlined("text")).alias("lines")))
+    unread = lambda side: F.col(f"{side}_blob").isNotNull() & F.col(f"{side}_lines").isNull()
     named = F.sha2(F.concat_ws("|", F.coalesce("old_blob", F.lit("")), F.coalesce("new_blob", F.lit(""))), 256)
-    read = both.where(~(unread("old") | unread("new")))
+    either = both.withColumn("diff_hash", F.when(unread("old") | unread("new"), named))
+    schema = "repo string, old_blob string, new_blob string, diff_hash string, ranges array<int>, length int, wanted bigint"
+    with shuffles_freed(spark):
+        compared = cut_lineage(either.mapInArrow(_compared(context), schema), "changed_ranges")
+    wanted = compared.agg(F.sum("wanted")).first()[0] or 0
+    filters = -(-wanted // MOST_NUMBERS) or 1
+    with shuffles_freed(spark):
+        excerpts, held = zip(*[_wanted_lines(compared, blobs, context, wanted // filters, filters, n) for n in range(filters)])
+        hunks = _with_contents(compared.drop("wanted"), reduce(DataFrame.unionByName, excerpts))
+        found = cut_lineage(hunks.mapInArrow(_hashed(context), "repo string, old_blob string, new_blob string, diff_hash string"), "diff_hashes")
+    for each in held:
+        each.destroy()
+    joined = changes.join(found, same(changes, found))
+    return joined.select(changes["repo"], "sha", "path", "diff_hash")
+
+
+def _with_contents(pairs: DataFrame, contents: DataFrame) -> DataFrame:
+    """``pairs`` with the ``lines`` of both sides: ``new_lines``, and last, as context is taken from there, ``old_lines``.
+
+    Pairs without a blob on a side are dealt out by their other blob, and not to one task.
+    """
+    for side, other in (("new", "old"), ("old", "new")):
+        blob = F.col(f"{side}_blob")
+        own = contents.select(F.col("repo").alias("of_repo"), F.col("blob").alias("of_blob"), F.col("lines").alias(f"{side}_lines"))
+        at = (F.col("repo") == F.col("of_repo")) & (F.coalesce(blob, f"{other}_blob") == F.col("of_blob")) & blob.isNotNull()
+        pairs = pairs.join(own, at, "left").drop("of_repo", "of_blob")
+    return pairs
+
+
+def _outlined(text: str) -> Column:
+    def outlined(texts: pa.Array) -> pa.Array:
+        return pa.array((outline(lines_of(x.as_py())) if x.is_valid else None for x in texts), pa.binary())
+
+    return F.arrow_udf(outlined, "binary")(text)
+
+
+def _columns(batch: pa.RecordBatch, *names: str) -> list[list]:
+    return [batch.column(c).to_pylist() for c in names]
+
+
+def _ranges(flat: list[int]) -> list[tuple[int, int, int, int]]:
+    return list(zip(*[iter(flat)] * 4))
+
+
+def _compared(context: int):
+    """Changed ranges of the lines of both sides, four numbers each, and how many lines their hunks have."""
+
+    def compared(batches):
+        for batch in batches:
+            ranges, lengths, wanted = [], [], []
+            for name, old, new in zip(*_columns(batch, "diff_hash", "old_lines", "new_lines")):
+                a, b = outlined_lines(old), outlined_lines(new)
+                found = changed_ranges(a, b) if name is None else []
+                ranges.append([n for x in found for n in x])
+                lengths.append(len(a))
+                wanted.append(sum(end - first for _, first, end in asked_parts(found, len(a), context)))
+            kept = ["repo", "old_blob", "new_blob", "diff_hash"]
+            made = [pa.array(ranges, pa.list_(pa.int32())), pa.array(lengths, pa.int32()), pa.array(wanted, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], [*kept, "ranges", "length", "wanted"])
+
+    return compared
+
+
+def _wanted_lines(
+    compared: DataFrame, blobs: DataFrame, context: int, n: int, filters: int, own: int
+) -> tuple[DataFrame, Broadcast[bytes]]:
+    """``repo, blob, lines``: of contents whose number belongs to filter ``own`` of ``filters``, the lines that hunks ask for.
+
+    Texts are not moved to those who ask; a filter of about ``n`` lines goes to the texts instead. It finds all lines that
+    were asked for and few others. The filter is returned beside, to be destroyed when the lines have been read.
+    """
+    words = words_for(n)
+
+    def asked(batches):
+        for batch in batches:
+            ask = []
+            for repo, old, new, flat, length in zip(*_columns(batch, "repo", "old_blob", "new_blob", "ranges", "length")):
+                if not flat:
+                    continue
+                number = {"old": content_number(repo, old) if old is not None else 0, "new": content_number(repo, new) if new is not None else 0}
+                for mark, first, end in asked_parts(_ranges(flat), length, context):
+                    of = number["new" if mark == "+" else "old"]
+                    if of % filters == own:
+                        ask.append((of, first, end))
+            if not ask:
+                continue
+            numbers = line_numbers(*zip(*ask))
+            at = segment(numbers)
+            order = np.argsort(at, kind="stable")
+            held, starts = np.unique(at[order], return_index=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(held, pa.int32()), pa.array([x.tobytes() for x in np.split(numbers[order], starts[1:])], pa.binary())], ["segment", "numbers"]
+            )
+
+    def filled(table: pa.Table) -> pa.Table:
+        numbers = np.frombuffer(b"".join(table.column("numbers").to_pylist()), np.uint64)
+        return pa.table({"segment": table.column("segment")[:1], "words": pa.array([fill_segment(numbers, words)], pa.binary())})
+
+    asking = compared.select("repo", "old_blob", "new_blob", "ranges", "length").mapInArrow(asked, "segment int, numbers binary")
+    parts = {r.segment: r.words for r in asking.groupBy("segment").applyInArrow(filled, "segment int, words binary").collect()}
+    none = bytes(8 * words // SEGMENTS)
+    whole = blobs.sparkSession.sparkContext.broadcast(b"".join(bytes(parts.get(n, none)) for n in range(SEGMENTS)))
+
+    def excerpted(repos: pa.Array, names: pa.Array, texts: pa.Array) -> pa.Array:
+        out, at, numbers, lines = [None] * len(texts), [], [], []
+        for row, (repo, blob, text) in enumerate(zip(repos.to_pylist(), names.to_pylist(), texts)):
+            if repo is None or blob is None or not text.is_valid:
+                continue
+            of = content_number(repo, blob)
+            if of % filters == own:
+                at.append(row)
+                numbers.append(of)
+                lines.append(lines_of(text.as_py()))
+        ends = [len(x) for x in lines]
+        found = stands(line_numbers(numbers, [REMOVED] * len(at), ends), np.frombuffer(whole.value, np.uint64))
+        for row, own_lines, hits in zip(at, lines, np.split(found, np.cumsum([n - REMOVED for n in ends[:-1]]))):
+            places = (np.flatnonzero(hits) + REMOVED).tolist()
+            if places:
+                out[row] = excerpt(own_lines, places)
+        return pa.array(out, pa.binary())
+
+    read = F.arrow_udf(excerpted, "binary")("repo", "blob", "text")
+    return blobs.groupBy("repo", "blob").agg(F.max(read).alias("lines")).where(F.col("lines").isNotNull()), whole
+
+
+def _hashed(context: int):
+    """Hashes of hunks whose lines have been read; a hash by names stays."""
 
     def hashed(batches):
         for batch in batches:
-            old, new = (batch.column(c).to_pylist() for c in ("old_text", "new_text"))
-            found = pa.array([diff_hash(o, n, context) for o, n in zip(old, new)], pa.string())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in pair], found], [*pair, "diff_hash"])
-
-    ship(changes.sparkSession)
-    lines = read.select(*pair, "old_text", "new_text").mapInArrow(hashed, "repo string, old_blob string, new_blob string, diff_hash string")
-    whole = both.where(unread("old") | unread("new")).select(*pair, named.alias("diff_hash"))
-    found = cut_lineage(lines.unionByName(whole), "diff_hashes")
-    joined = changes.join(found, same(changes, found))
-    return joined.select(changes["repo"], "sha", "path", "diff_hash")
+            found = []
+            for name, flat, length, old, new in zip(*_columns(batch, "diff_hash", "ranges", "length", "old_lines", "new_lines")):
+                if name is None:
+                    name = read_hash(_ranges(flat), length, excerpted_lines(old), excerpted_lines(new), context)
+                found.append(name)
+            kept = ["repo", "old_blob", "new_blob"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found, pa.string())], [*kept, "diff_hash"])
+
+    return hashed

@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +70,24 @@ def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """What is shuffled for a job within is deleted as the job ends, and not only when the driver collects its garbage.
+
+    For jobs whose output is written and read back, which need their shuffles no more.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows evenly over the cores, before costly expressions over small tables, which are read in few tasks."""
     return df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism)

@@ -1,9 +1,15 @@
+import hashlib
 import time
 import random
 
+import numpy as np
+import pytest
+
+from plumbline.functions import wanted
 from plumbline.functions.hunks import changed_ranges, diff_hash
 from plumbline.operators import branches, history, similarity, trees
 from plumbline.constants import DIRECT
+from plumbline.session import shuffles_freed
 from tests.conftest import rows
 
 DIFF = "repo string, discrepancy string, path string, code string, left_hash string, right_hash string, raw_change_type string"
@@ -180,6 +186,94 @@ def test_commits_with_one_change_get_one_id(table):
     assert len({ids[c] for c in ("c1", "c3", "c4", "c5", "c6", "c7")}) == 6
 
 
+CHANGES = "repo string, sha string, path string, old_blob string, new_blob string"
+
+
+@pytest.mark.parametrize("most", [wanted.MOST_NUMBERS, 500])
+def test_hashes_are_those_of_whole_texts(table, monkeypatch, most):
+    """Also if lines are asked for by several filters; a text that is listed without its content and with it has the content."""
+    monkeypatch.setattr(history, "MOST_NUMBERS", most)
+    rng = random.Random(5)
+    texts = {"empty": "", "end": "\n\n", "bin": None, "blank": " \t", "é": "é\r\nß\x0bz\n"}
+    for n in range(30):
+        lines = [f"{rng.randint(0, 60)} é {'x' * rng.randint(0, 9)}" for _ in range(rng.randint(1, 60))]
+        texts[f"{n}a"] = text(*lines)
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randint(0, len(lines))
+            lines[at : at + rng.randint(0, 2)] = [f"new {rng.random()}"] * rng.randint(0, 3)
+        texts[f"{n}b"] = text(*lines)
+    names = [*texts, None]
+    pairs = [(f"{n}a", f"{n}b") for n in range(30)] + [(rng.choice(names), rng.choice(names)) for _ in range(60)]
+    pairs += [(None, None), (None, "empty"), ("empty", None), (None, "3a"), ("3a", None), ("bin", None), ("lost", "3a"), ("empty", "3a")]
+    blobs = table(BLOBS, *[("r", n, t) for n, t in texts.items()], ("r", "3a", None), ("r", "3a", texts["3a"]), ("r", None, "no name"), (None, "3a", "no repo"))
+    changes = table(CHANGES, *[("r", str(n), "p", *pair) for n, pair in enumerate(pairs)], (None, "none", "p", None, None), (None, "lost", "p", None, "3a"))
+    found = {r.sha: r.diff_hash for r in history.diff_hashes(changes, blobs).collect()}
+    assert len(found) == len(pairs) + 2 and found.pop("none") == diff_hash(None, None)
+    known = {str(n): pair for n, pair in enumerate(pairs) if not {"bin", "lost"} & set(pair)}
+    assert {sha: found[sha] for sha in known} == {sha: diff_hash(*[texts[b] if b else None for b in pair]) for sha, pair in known.items()}
+    named = {str(n): hashlib.sha256("|".join(b or "" for b in pair).encode()).hexdigest() for n, pair in enumerate(pairs) if str(n) not in known}
+    assert {sha: found[sha] for sha in named} == named and found["lost"] == hashlib.sha256(b"|3a").hexdigest()
+
+
+def shuffled(plan) -> int:
+    """Bytes of the rows that the exchanges of an executed plan have moved."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return shuffled(plan.executedPlan())
+    if name.endswith("QueryStage"):
+        return shuffled(plan.plan())
+    own = plan.metrics().apply("dataSize").value() if name == "Exchange" else 0
+    children = plan.children()
+    return own + sum(shuffled(children.apply(k)) for k in range(children.size()))
+
+
+def test_lines_outside_of_hunks_are_not_moved(table, monkeypatch):
+    """Less than half of the texts is shuffled, also if their table is made distinct before."""
+    moved, cut = [], history.cut_lineage
+
+    def counted(df, *label):
+        df.collect()
+        moved.append(shuffled(df._jdf.queryExecution().executedPlan()))
+        return cut(df, *label)
+
+    monkeypatch.setattr(history, "cut_lineage", counted)
+    rng = random.Random(3)
+    blobs, changes = [], []
+    for n in range(12):
+        lines = [rng.randbytes(50).hex() for _ in range(300)]
+        at = rng.randint(0, 300)
+        blobs += [("r", f"o{n}", text(*lines)), ("r", f"n{n}", text(*lines[:at], "new", *lines[at:]))]
+        changes.append(("r", f"c{n}", "p", f"o{n}", f"n{n}"))
+    contents = table(BLOBS, *blobs)
+    found = history.diff_hashes(table(CHANGES, *changes), contents.union(contents).distinct()).collect()
+    texts = {b: t for _, b, t in blobs}
+    assert {r.sha: r.diff_hash for r in found} == {sha: diff_hash(texts[o], texts[n]) for _, sha, _, o, n in changes}
+    assert 0 < sum(moved) < sum(len(t) for t in texts.values()) / 2
+
+
+def test_shuffles_are_kept_again_after_a_step(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    with pytest.raises(ValueError), shuffles_freed(spark):
+        assert spark.conf.get(key) == "true"
+        raise ValueError
+    assert spark.conf.get(key) == before == "false"
+
+
+def test_filter_finds_all_that_was_put_in_and_few_others():
+    contents = [wanted.content_number("r", str(n)) for n in range(2_000)]
+    numbers = wanted.line_numbers(contents, [-2] * 2_000, [k % 9 for k in range(2_000)])
+    assert len(numbers) == len(np.unique(numbers)) == sum(k % 9 + 2 for k in range(2_000))
+    assert list(wanted.line_numbers(contents[:2], [1, 0], [2, 1])) == [wanted.line_numbers(contents[:1], [0], [2])[1], wanted.line_numbers(contents[1:2], [0], [1])[0]]
+    words = wanted.words_for(len(numbers))
+    parts = wanted.segment(numbers)
+    found = np.frombuffer(b"".join(wanted.fill_segment(numbers[parts == n], words) for n in range(wanted.SEGMENTS)), np.uint64)
+    assert len(found) == words and wanted.stands(numbers, found).all()
+    others = wanted.line_numbers(contents, [100] * 2_000, [120] * 2_000)
+    assert wanted.stands(others, found).mean() < 0.03
+    assert wanted.words_for(0) == wanted.SEGMENTS and wanted.words_for(1 << 40) == wanted.MOST_WORDS
+
+
 def test_white_space_costs_less_than_translating_it():
     """The lines of a diff are read faster than ``str.translate`` alone would take out their white space."""
     old = "\n".join(f"select  é{i},\tb from t\r" for i in range(30_000))
